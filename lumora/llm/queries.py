@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import media, mixing, quality, shards, simhash, url_trust
+from lumora.llm import media, mixing, packing, quality, shards, simhash, tokens, url_trust
 from lumora.session import load
 
 URL_RULES = {
@@ -71,9 +71,25 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tokens.prefix_tables(load(spark, sf_dir, "documents"), tokenizer_path())
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.best_fit(load(spark, sf_dir, "documents"), tokenizer_path())
+    return out.withColumnRenamed("id", "doc_id").drop("free")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_trust, op2_sharding, op3_simhash, op4_media, op5_quality, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_url_trust, op2_sharding, op3_simhash, op4_media, op5_quality, op7_token_counts, op8_packing, op10_mixing)}
 ORACLES: dict[str, str] = {}
