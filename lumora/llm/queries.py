@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import media, mixing, packing, quality, shards, simhash, tokens, url_trust
+from lumora.llm import media, mixing, packing, pii, quality, shards, simhash, tokens, url_trust
 from lumora.session import load
 
 URL_RULES = {
@@ -71,6 +71,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(load(spark, sf_dir, "documents"), key="query-key")
+    return out.select("doc_id", "text", "n_entities")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -91,5 +96,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_trust, op2_sharding, op3_simhash, op4_media, op5_quality, op7_token_counts, op8_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_url_trust, op2_sharding, op3_simhash, op4_media, op5_quality, op6_surrogates, op7_token_counts, op8_packing, op10_mixing)}
 ORACLES: dict[str, str] = {}
