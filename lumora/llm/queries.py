@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import media, mixing, packing, pii, quality, shards, simhash, tokens, url_trust
+from lumora.llm import lm, media, mixing, packing, pii, quality, shards, simhash, tokens, url_trust
 from lumora.session import load
 
 URL_RULES = {
@@ -92,9 +92,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id").drop("free")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.score_documents(load(spark, sf_dir, "documents"))
+    return out.select(
+        F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_trust, op2_sharding, op3_simhash, op4_media, op5_quality, op6_surrogates, op7_token_counts, op8_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_url_trust, op2_sharding, op3_simhash, op4_media, op5_quality, op6_surrogates, op7_token_counts, op8_packing, op9_lm_scoring, op10_mixing)}
 ORACLES: dict[str, str] = {}
