@@ -1,10 +1,6 @@
 """All named queries of the library and the SQL that gives the same rows."""
 
-from __future__ import annotations
+from lumora.plans import analytics_queries, general_queries, ingest_queries, library_queries
+from lumora.plans.book import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "analytics_queries", "general_queries", "ingest_queries", "library_queries"]
