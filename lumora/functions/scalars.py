@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,11 +134,10 @@ def nearest_city(lat: Column, lon: Column, max_km: float = 500.0) -> Column:
     A later city takes over where it is half a kilometre nearer, or where it has more people and is at most ten
     kilometres farther. The order of the table matters, so this is not a minimum.
     """
-    table = F.array(
-        *(
-            F.struct(*(F.lit(v).alias(n) for v, n in zip(r, ("lat", "lon", "city", "region", "country", "people"))))
-            for r in cities.rows()
-        )
+    names = ("lat", "lon", "city", "region", "country", "people")
+    table = F.from_json(
+        F.lit(json.dumps([dict(zip(names, r)) for r in cities.rows()])),
+        "array<struct<lat:double,lon:double,city:string,region:string,country:string,people:int>>",
     )
     none = "struct<d:double,city:string,region:string,country:string,people:int>"
     start = F.lit(None).cast(none)
