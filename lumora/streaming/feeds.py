@@ -61,9 +61,10 @@ def claimed(jobs: DataFrame, many: int = 1) -> DataFrame:
 def finished(jobs: DataFrame, results: DataFrame) -> DataFrame:
     """jobs after results(id, error): done where error is null, failed else; only running jobs change."""
     told = results.select("id", F.col("error").alias("__e"), F.lit(True).alias("__t"))
-    out = jobs.join(told, "id", "left")
-    ends = F.coalesce("__t", F.lit(False)) & (F.col("state") == "running")
-    return out.withColumn("state", F.when(ends, F.when(F.col("__e").isNull(), "done").otherwise("failed")).otherwise(F.col("state"))).withColumn("error", F.when(ends, F.col("__e")).otherwise(F.col("error"))).drop("__e", "__t")
+    out = jobs.join(told, "id", "left").withColumn("__t", F.coalesce("__t", F.lit(False)) & (F.col("state") == "running"))
+    state = F.when(F.col("__t"), F.when(F.col("__e").isNull(), "done").otherwise("failed")).otherwise(F.col("state"))
+    error = F.when(F.col("__t"), F.col("__e")).otherwise(F.col("error"))
+    return out.withColumns({"state": state, "error": error}).drop("__e", "__t")
 
 
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "2 days", slide: str | None = None) -> DataFrame:
