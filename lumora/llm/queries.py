@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import lm, media, mixing, packing, pii, quality, shards, simhash, tokens, url_trust
+from lumora.llm import lm, media, mixing, oracles, packing, pii, quality, shards, simhash, tokens, url_trust
 from lumora.session import load
 
 URL_RULES = {
@@ -19,7 +19,7 @@ URL_RULES = {
 
 def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_trust.judge_urls(load(spark, sf_dir, "pages"), URL_RULES)
-    return out.withColumnRenamed("id", "page_id")
+    return out.withColumnRenamed("id", "page_id").withColumns({c: F.round(c, 8) for c in ("trust", "distrust")})
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,4 +104,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_trust, op2_sharding, op3_simhash, op4_media, op5_quality, op6_surrogates, op7_token_counts, op8_packing, op9_lm_scoring, op10_mixing)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_url_trust": oracles.url_sql(URL_RULES), "op5_quality": oracles.quality_sql()}
