@@ -26,4 +26,4 @@ def spark():
 
 @pytest.fixture(scope="session")
 def sf():
-    return "/root/testdata/sf0.001"
+    return os.environ.get("LUMORA_TEST_SF", "/root/testdata/sf0.001")
