@@ -104,6 +104,8 @@ def test_density_clusters_equal_a_plain_run(spark):
     df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "id long, x double, y double, z double")
     got = {r["id"]: r["cluster"] for r in A.density_clusters(A.near_points(df, 1.0), df, 4).collect()}
     assert [got[i] for i in range(len(points))] == dbscan(points, 1.0, 4)
+    celled = df.withColumn("cell", A.fine_cell(1.0))
+    assert got == {r["id"]: r["cluster"] for r in A.density_clusters(A.near_points(celled, 1.0), celled, 4).collect()}
 
 
 @pytest.mark.parametrize("rows, want", [("three", 3), ("apart", 2), ("next", 1), ("few", 0)])
