@@ -12,19 +12,20 @@ HONORIFICS = {"m": "Mr|Sir|Herr|Monsieur|Señor|Sr|Don|Г-н|Господин",
 _TITLE = "|".join(HONORIFICS.values())
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})|\(\d{3}\))[ .-]?\d{3,4}[ .-]\d{3,4}(?!\w)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}\b",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    "secret": r"""(?<=(?:password|passwd|secret|token|api_key|apikey)["']?\s{0,3}[:=]\s{0,3}["']?)[A-Za-z0-9_\-]{8,}""",
-    "name": rf"(?<=\b(?:{_TITLE})\.? )\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
+    "secret": r"""(?:(?<=[:="'])|(?<=[:=]\s{1,3}))(?<=(?:password|passwd|secret|token|api_key|apikey)["']?\s{0,3}[:=]\s{0,3}["']?)[A-Za-z0-9_\-]{8,}""",
+    "name": rf"(?=\p{{Lu}})(?<= )(?<=\b(?:{_TITLE})\.? )\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
 }
 ENTITY = "|".join(PATTERNS.values())
 # what a text must hold for any of the patterns to fit; tested first, as most texts hold none of it
-HINT = rf"[0-9@]|(?i:password|passwd|secret|token|api_?key)|\b(?:{_TITLE})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|(?=\p{{Lu}})\b(?:{_TITLE})\.? \p{{Lu}}"
+HINT_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 # fixed values: given names by script and gender, and syllables of made-up family names by script
 GIVEN = {
     "latin": {
@@ -203,7 +204,10 @@ def mentions(text: Column) -> Column:
         return F.struct(p["gaps"].alias("gaps"), F.transform(p["values"], one).alias("found"))
 
     split = F.struct(F.split(text, ENTITY, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(ENTITY), 0).alias("values"))
-    return F.when(text.rlike(HINT), let(split, of))
+    hinted = text.rlike(HINT)
+    for word in HINT_WORDS:
+        hinted = text.contains(word) | hinted
+    return F.when(hinted, let(split, of))
 
 
 def collisions_settled(entities: DataFrame, key: str, max_rounds: int = 20) -> DataFrame:
