@@ -41,14 +41,14 @@ def test_prefix_counts_equal_the_library(vocabulary):
     counter = tokens.PrefixCounts(vocabulary)
     for text in TEXTS + some:
         want = [len(x) for x in library(vocabulary, [text[:i] for i in range(len(text) + 1)])]
-        assert tokens.counts_in(counter.table(text)).tolist() == want, text
+        assert counter.counts(text) == want, text
 
 
 def test_a_full_cache_changes_nothing(vocabulary):
     small = tokens.PrefixCounts(vocabulary, keep=3)
     ids = tokens.ChunkIds(vocabulary, keep=2)
     for text in TEXTS:
-        assert tokens.counts_in(small.table(text))[-1] == len(library(vocabulary, [text])[0])
+        assert small.counts(text)[-1] == len(library(vocabulary, [text])[0])
         assert next(ids.batches([text]))[0] == np.array(library(vocabulary, [text])[0], "<u4").tobytes()
 
 
@@ -56,9 +56,12 @@ def test_prefix_tables_answer_questions(spark, sf, vocabulary):
     F = tokens.F
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    out = tokens.prefix_tables(docs, PATH)
-    out = out.withColumn("half", tokens.tokens_at(F.col("prefix_table"), F.lit(10)))
-    out = out.withColumn("cut", tokens.longest_within(F.col("prefix_table"), F.lit(7)))
+    more = spark.createDataFrame([(-k - 1, t) for k, t in enumerate(TEXTS)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(more)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    out = tokens.prefix_tables(docs, PATH, keep_text=True)
+    out = out.withColumn("half", tokens.tokens_at(F.col("prefix_table"), F.col("text"), F.lit(10), PATH))
+    out = out.withColumn("cut", tokens.longest_within(F.col("prefix_table"), F.col("text"), F.lit(7), PATH))
     keys = sorted(texts)
     true = dict(zip(keys, map(len, library(vocabulary, [texts[k] for k in keys]))))
     for r in out.collect():
