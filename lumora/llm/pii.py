@@ -11,15 +11,39 @@ FEW = 10_000
 HONORIFICS = {"m": "Mr|Sir|Herr|Monsieur|Señor|Sr|Don|Г-н|Господин", "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Doña|Г-жа|Госпожа", "n": "Dr|Prof"}
 _TITLE = "|".join(HONORIFICS.values())
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+# lengths of IBANs by country; all are written compactly or in groups of four, of which the last may be shorter
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_GROUPED = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}"
+
+
+def _iban_form(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    last = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+    return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{last}(?![A-Z0-9])"
+
+
+_IBAN = "|".join(_iban_form(n, c) for n, c in IBAN_LENGTHS.items())
+_S = "[ .-]"
+_AREA = rf"\+\d{{1,3}}{_S}?(?:\(0\){_S}?)?(?:\(\d{{1,5}}\)|\d{{1,5}})"
+_PHONE = "|".join((
+    rf"(?<![\w+])(?:\+\d{{1,3}}{_S}?(?:\(\d{{2,4}}\)|\d{{2,4}})|\(\d{{3}}\)){_S}?\d{{3,4}}{_S}\d{{3,4}}(?!\w)",
+    r"(?<![\w+])\+[1-9]\d{6,14}(?!\w)",
+    rf"(?<![\w+])(?=\+){_AREA}(?:(?:{_S}\d{{2}}){{3,4}}|{_S}?\d{{3}}{_S}\d{{2}}{_S}\d{{2}}|{_S}\d{{4}}{_S}\d{{4}}|{_S}?\d{{4,9}})(?!\w)",
+    r"(?<![\w+.-])(?:1[.-])?[2-9]\d\d(?:-[2-9]\d\d-|\.[2-9]\d\d\.| [2-9]\d\d )\d{4}(?!\w|[.-]\d)",
+))
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})|\(\d{3}\))[ .-]?\d{3,4}[ .-]\d{3,4}(?!\w)",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}\b",
+    "phone": _PHONE,
+    "iban": rf"\b(?=[A-Z]{{2}}\d{{2}})(?:{_IBAN}|{_GROUPED})\b",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    "secret": r"""(?:(?<=[:="'])|(?<=[:=]\s{1,3}))(?<=(?:password|passwd|secret|token|api_key|apikey)["']?\s{0,3}[:=]\s{0,3}["']?)[A-Za-z0-9_\-]{8,}""",
+    "secret": r"""(?:(?<=[:="'])|(?<=[:=]\s{1,3}))(?<=(?i:password|passwd|secret|token|api_key|apikey)["']?\s{0,3}[:=]\s{0,3}["']?)[A-Za-z0-9_\-]{8,}""",
     "name": rf"(?=\p{{Lu}})(?<= )(?<=\b(?:{_TITLE})\.? )\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
 }
 ENTITY = "|".join(PATTERNS.values())
@@ -53,7 +77,8 @@ def kind_of(value: Column) -> Column:
     out = F.when(value.rlike(r"^\p{Lu}[\p{L}'’ -]*$") & ~value.rlike("[0-9_]"), F.lit("name")).otherwise(F.lit("secret"))
     for kind in ("key", "ssn", "card", "iban", "phone", "ip", "email"):
         out = F.when(value.rlike(rf"^(?:{PATTERNS[kind]})$"), F.lit(kind)).otherwise(out)
-    return let(out, lambda k: F.when((k == "card") & ~luhn(F.regexp_replace(value, "[ -]", "")), F.lit("number")).otherwise(k))
+    false = lambda k: ((k == "card") & ~luhn(F.regexp_replace(value, "[ -]", ""))) | ((k == "iban") & ~iban(value))
+    return let(out, lambda k: F.when(false(k), F.lit("number")).otherwise(k))
 
 
 def _luhn_sum(digits: Column, odd: int) -> Column:
@@ -70,6 +95,17 @@ def luhn(digits: Column) -> Column:
     return F.coalesce(_luhn_sum(digits, 0) % 10 == 0, F.lit(False))
 
 
+def iban(value: Column) -> Column:
+    """Written in groups of four, or compact with the remainder 1 by 97."""
+    bare = F.regexp_replace(value, " ", "")
+    turned = F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))
+
+    def step(a: Column, c: Column) -> Column:
+        return let(F.ascii(c), lambda n: F.when(n < 58, a * 10 + n - 48).otherwise(a * 100 + n - 55) % 97)
+
+    return value.contains(" ") | value.rlike(f"^{_GROUPED}$") | (F.aggregate(F.split(turned, ""), F.lit(0), step) == 1)
+
+
 def canonical(kind: Column, value: Column) -> Column:
     """One form for all spellings of an entity, so that every mention gets the same surrogate."""
     bare = F.regexp_replace(value, r"[^\p{L}\p{N}]", "")
@@ -204,7 +240,7 @@ def mentions(text: Column) -> Column:
         return F.struct(p["gaps"].alias("gaps"), F.transform(p["values"], one).alias("found"))
 
     split = F.struct(F.split(text, ENTITY, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(ENTITY), 0).alias("values"))
-    hinted = text.rlike(HINT)
+    hinted = text.rlike(HINT) | F.lower(text).rlike("|".join(HINT_WORDS))
     for word in HINT_WORDS:
         hinted = text.contains(word) | hinted
     return F.when(hinted, let(split, of))
@@ -239,7 +275,8 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text", count_name: st
     entities are gathered (counted per task first, so a hot one costs a row) and checked for collisions; those that had
     to be drawn again are looked up, all others are computed where they stand. Up to `few` of them are broadcast, more
     meet their texts in a join. Texts without entities pass unchanged; null and empty texts stay; no rows in an empty table; repeated
-    rows are treated alike. A number that fails the card checksum is left.
+    rows are treated alike. A number that fails the card checksum is left, and so is
+    a compact IBAN of odd length that fails its own.
     """
     text = F.col(f"`{text_col}`")
     own = [c for c in df.columns if c != count_name]

@@ -1,0 +1,49 @@
+import re
+
+import pytest
+
+from lumora.llm import pii
+
+FORMS = [
+    ("iban", "DE89370400440532013000"),
+    ("iban", "GB82WEST12345698765432"),
+    ("iban", "NL91ABNA0417164300"),
+    ("iban", "FR1420041010050500013M02606"),
+    ("iban", "DE89 3704 0044 0532 0130 00"),
+    ("iban", "FR14 2004 1010 0505 0001 3M02 606"),
+    ("iban", "XX12 3456 7890 1234"),
+    ("phone", "415-555-0132"),
+    ("phone", "415.555.0132"),
+    ("phone", "1-415-555-0132"),
+    ("phone", "415 555 0132"),
+    ("phone", "+14155550132"),
+    ("phone", "+49 30 1234567"),
+    ("phone", "+44 7911 123456"),
+    ("phone", "+33 1 23 45 67 89"),
+    ("phone", "+33 (0)1 23 45 67 89"),
+    ("phone", "+7 495 123-45-67"),
+    ("phone", "+61 4 1234 5678"),
+    ("phone", "+1 (209) 555-1594"),
+    ("phone", "(209) 555-1594"),
+]
+
+
+def test_common_forms_are_replaced_whole(spark):
+    secrets = ["PASSWORD=Tr0ubadour", "API_KEY=abcdefghij", "Token: hunterhunter"]
+    rows = [(k, f"see {v}, or 7 of {v} 12 times") for k, (_, v) in enumerate(FORMS)] + [(100 + k, f"so {v} it is") for k, v in enumerate(secrets)]
+    out = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for k, (kind, v) in enumerate(FORMS):
+        m = re.fullmatch(r"see (.+), or 7 of (.+) 12 times", out[k]["text"])
+        assert m and m[1] == m[2] != v and len(m[1]) == len(v) and out[k]["n_entities"] == 2, v
+        assert re.sub("[0-9]", "9", re.sub("[A-Z]", "A", m[1])) == re.sub("[0-9]", "9", re.sub("[A-Z]", "A", v)), v
+        if kind == "iban":
+            assert m[1][:2] == v[:2] and m[1][-2:] != v[-2:], v
+    for k, v in enumerate(secrets):
+        word, value = re.split("(?<=[=:]) ?", v)
+        assert out[100 + k]["text"].startswith(f"so {word}") and value not in out[100 + k]["text"] and out[100 + k]["n_entities"] == 1
+
+
+@pytest.mark.parametrize("text", ["code DE89370400440532013001 failed", "part DE8937040044053201300", "sum 100-200-3000, 1.415.555.01", "2415-555-0132-77 and v415.555.0132"])
+def test_other_numbers_stay(spark, text):
+    row = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    assert row["text"] == text and row["n_entities"] == 0
