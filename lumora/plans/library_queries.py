@@ -193,6 +193,13 @@ def asset_faces(spark, d):
     return C.face(spark, d).where("asset_id < 200").join(p, "person_id", "left").select("asset_id", "n", "part", "price", "name")
 
 
+@query()
+def asset_faces_all(spark, d):
+    """asset_faces over all assets; that one's SQL names some ids only."""
+    p = C.person(spark, d).select(F.col("id").alias("person_id"), "name")
+    return C.face(spark, d).join(p, "person_id", "left").select("asset_id", "n", "part", "price", "name")
+
+
 @query(with_tables("face", "SELECT person_id, count(*) AS n FROM (SELECT CASE WHEN person_id = 2 THEN 1 WHEN person_id = 5 THEN NULL ELSE person_id END AS person_id FROM face) GROUP BY 1"))
 def merge_persons(spark, d):
     """Person 2 becomes person 1, person 5 is dissolved."""
@@ -336,6 +343,21 @@ def timeline_rows_packed(spark, d):
     return C.asset(spark, d).where("source_id <= 40").select("id", "day", (F.floor((r - 1) / 5) + 1).alias("row_no"))
 
 
+@query()
+def timeline_rows_packed_all(spark, d):
+    """timeline_rows_packed over all sources: rows are numbered in range partitions, with the counts of those before as offsets."""
+    from pyspark.sql import Window
+
+    from lumora.session import settle
+
+    order = L.newest_first()
+    dealt = C.asset(spark, d).repartitionByRange(*order).sortWithinPartitions(*order).select("id", "day", F.monotonically_increasing_id().alias("place"))
+    dealt = settle(dealt.withColumn("part", F.shiftright("place", 33)).withColumn("at", F.col("place").bitwiseAND(F.lit((1 << 33) - 1))))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return dealt.join(F.broadcast(sizes), "part").select("id", "day", (F.floor((F.col("offset") + F.col("at")) / 5) + 1).alias("row_no"))
+
+
 @query(
     with_tables(
         "asset",

@@ -1,0 +1,12 @@
+from lumora.plans import registry
+from tests.test_oracles import duck, rows_of  # noqa: F401
+
+
+def test_all_rows_are_numbered_and_joined(spark, sf, duck):  # noqa: F811
+    for name, cut in (("timeline_rows_packed", " WHERE source_id <= 40"), ("asset_faces", " WHERE f.asset_id < 200")):
+        sql = registry.ORACLES[name]
+        assert sql.count(cut) == 1
+        con = duck.execute(sql.replace(cut, ""))
+        names = [c[0] for c in con.description]
+        df = registry.QUERIES[f"{name}_all"](spark, sf)
+        assert rows_of(df.columns, df.collect()) == rows_of(names, con.fetchall()), name
