@@ -42,7 +42,7 @@ class OpenBins:
         self.count += 1
 
     def add(self, length: int, item) -> Iterator[tuple[int, list]]:
-        """Place an item; yields (free, [(item, offset), ...]) of bins that close."""
+        """Place an item; yields (free, [(item, offset), ...]) of bins that close. rest() yields those still open."""
         fit = self.bits >> length
         if fit:
             free = (fit & -fit).bit_length() - 1 + length
@@ -87,20 +87,21 @@ def token_pieces(df: DataFrame, path: str, limit: int, end_id: int, id_col: str
 
 
 def _pack(pieces: DataFrame, capacity: int, many: int, lead: int) -> DataFrame:
-    """One packing of every partition on its own; sequence ids are unique, free is what the sequence has left."""
+    """One packing of every partition on its own; sequence ids are unique, free is what the sequence has left, open tells
+    that its bin was still open when the partition ended."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bins, number, base, out = OpenBins(capacity, many), 0, None, []
         columns = ["id", "piece", "start", "length", "ids_crc32"]
 
-        def closed(found):
+        def closed(found, still_open=False):
             nonlocal number
             for free, items in found:
-                out.extend((*item, base + number, at, free) for item, at in items)
+                out.extend((*item, base + number, at, free, still_open) for item, at in items)
                 number += 1
 
         def frame_of(rows):
-            return pd.DataFrame(rows, columns=[*columns, "sequence_id", "offset", "free"]).astype({"id": "Int64"})
+            return pd.DataFrame(rows, columns=[*columns, "sequence_id", "offset", "free", "open"]).astype({"id": "Int64"})
 
         for frame in frames:
             if base is None and len(frame):
@@ -111,12 +112,12 @@ def _pack(pieces: DataFrame, capacity: int, many: int, lead: int) -> DataFrame:
             if len(out) > 20_000:
                 yield frame_of(out)
                 out = []
-        closed(bins.rest())
+        closed(bins.rest(), still_open=True)
         if out:
             yield frame_of(out)
 
     return pieces.withColumn("part", F.spark_partition_id().cast("long")).mapInPandas(
-        run, f"{PIECES}, sequence_id long, offset long, free long"
+        run, f"{PIECES}, sequence_id long, offset long, free long, open boolean"
     )
 
 
@@ -136,27 +137,31 @@ def best_fit(
     capacity: int = 4096,
     end_id: int = 1,
     many: int = 512,
-    slack: float = 0.02,
     parts: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, free.
 
-    Partitions pack on their own with `many` open bins each. What sits in sequences with more than slack of
-    their capacity free (mostly the bins still open at the end) is packed again in a sixteenth of the partitions, so
-    the waste does not grow with their number. Only pieces move, never ids or texts. Null texts are a
-    piece of one token, null ids stay null, repeated rows are packed each; no rows in an empty table; other columns are not read.
+    Partitions pack on their own with `many` open bins each. Bins still open when a partition ends are emptied and packed
+    again in a sixteenth of the partitions, so the waste does not grow with their number, until one partition packs them all
+    or a round saves less than a hundredth of its sequences (as where no two pieces fit together). A task of a later round gets the
+    open bins of sixteen tasks, 16 * many at most, whatever the corpus. Only pieces move, never ids or texts.
+    Null and empty texts are a piece of one token (end_id), null ids stay null, a very long text is cut into pieces of capacity,
+    repeated rows are packed each, pieces that tie for a bin are told apart by their order alone; no rows in an empty table;
+    other columns are not read.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     now = settle(token_pieces(df, path, capacity, end_id, id_col, text_col))
-    lead, done = 0, None
+    lead, done, before = 0, None, None
     while True:
-        packed = _pack(_shuffled(now, parts), capacity, many, lead)
-        if parts == 1:
-            return packed if done is None else done.unionByName(packed)
-        packed = settle(packed)
-        full = packed.where(F.col("free") <= int(slack * capacity))
-        done = full if done is None else done.unionByName(full)
-        now = packed.where(F.col("free") > int(slack * capacity)).drop("sequence_id", "offset", "free")
+        packed = settle(_pack(_shuffled(now, parts), capacity, many, lead))
+        used = packed.agg(F.count_distinct("sequence_id")).first()[0]
+        if parts == 1 or (before is not None and used > 0.99 * before):
+            return (packed if done is None else done.unionByName(packed)).drop("open")
+        closed = packed.where("not open")
+        done = closed if done is None else done.unionByName(closed)
+        left = packed.where("open")
+        before = left.agg(F.count_distinct("sequence_id")).first()[0]
+        now = left.select("id", "piece", "start", "length", "ids_crc32")
         parts, lead = max(1, parts // 16), lead + 1

@@ -84,7 +84,14 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokens.prefix_tables(load(spark, sf_dir, "documents"), tokenizer_path())
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+    return out.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        "n_tokens",
+        (F.col("n_tokens") > 2048).alias("over_limit"),
+        tokens.longest_within(F.col("prefix_table"), F.lit(2048)).alias("chars_in_limit"),
+        "prefix_table",
+    )
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Exact token counts at every prefix of a text, stored once, and token ids by white-space chunk."""
+"""Exact token counts at every prefix of a text, stored once, and token ids, both put together from white-space chunks."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,11 +18,13 @@ from pyspark.sql import functions as F
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 # characters that are their own normal form and have one lower-case character each
 SIMPLE = re.compile("[!-~¡-¬®-įı-ɏ]*")
-ASCII = re.compile("[!-~]*")
 # every white-space character; the tokenizer drops them and never joins what stands on either side
 GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space for str.split only
+PIECES_OF_LINES = regex.compile(PIECES.pattern + r"|\n")
 END = "</w>"
+LONG = 64  # characters from which a piece's counts are stepped along instead of asked for all its beginnings
+BATCH = 20_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -41,9 +42,14 @@ class Vocabulary:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.encoder = Tokenizer.from_file(path)
+        # the same model on pieces that are split and normalised already, one a line
+        self.lean = Tokenizer(self.encoder.model)
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.ids = self.encoder.get_vocab()
         self.ends = np.zeros(max(self.ids.values()) + 1, bool)
         self.ends[[n for t, n in self.ids.items() if t.endswith(END)]] = True
@@ -64,6 +70,11 @@ class Vocabulary:
         self._pairs: dict[tuple[str, str], bool] = {}
         self._alone: dict[str, bool] = {}
 
+    def encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): ids of pieces of the split, and where each piece's ids end (its last token is a word's end)."""
+        ids = np.array(self.lean.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        return ids, np.flatnonzero(self.ends[ids]) + 1
+
     @property
     def ranks(self) -> dict[tuple[str, str], int]:
         if not self._ranks:
@@ -109,48 +120,150 @@ class Vocabulary:
         return out
 
 
-class PrefixCounts:
-    """Token counts at every character prefix of a chunk.
+class Chunks:
+    """What is known of white-space chunks (which no token crosses), put together from the pieces of the split.
 
-    Inside a word, the encoding of each prefix ends in exactly one token that can follow the encoding of what is
-    before it, so the count at a prefix is the count at an earlier one plus one: a dynamic program over the
-    characters, shared between words with the same beginning.
+    Chunks are learnt many at a time: one split of all of them, one call of the encoder for the pieces that are new. Caches
+    are bounded and change nothing but the work.
     """
 
-    def __init__(self, vocabulary: Vocabulary, keep: int = 300_000):
+    GAP = b""
+
+    def __init__(self, vocabulary: Vocabulary, keep: int = 800_000):
         self.v = vocabulary
         self.keep = keep
-        self.words: dict[str, tuple[str, int, int, bytes]] = {"": ("", 0, 0, b"")}
-
-    def word(self, letters: str) -> bytes:
-        """Steps of the count over letters[:1], letters[:2], ... as whole words; letters are byte-level characters."""
-        memo = self.words
-        done = len(letters)
-        while letters[:done] not in memo:
-            done -= 1
-        if done == len(letters):
-            return memo[letters][3]
-        if len(letters) > 64:
-            return self._long(letters)
-        for i in range(done + 1, len(letters) + 1):
-            _, _, closed, steps = memo[letters[: i - 1]]
-            last, count = self._last(letters, i, "", memo)
-            _, now = self._last(letters, i, END, memo)
-            memo[letters[:i]] = (last, count, now, steps + (now - closed).to_bytes(2, "little", signed=True))
-        return memo[letters][3]
-
-    def _last(self, letters: str, i: int, end: str, memo) -> tuple[str, int]:
-        """The one token that ends the encoding of letters[:i], and the count there."""
-        v = self.v
-        for k in v.reach.get(letters[max(0, i - 2) : i] + end, ()) or v.reach.get(letters[i - 1 : i] + end, ()):
-            if k <= i:
-                token, before = letters[i - k : i] + end, letters[: i - k]
-                if token in v.ids and (v.follows(memo[before][0], token) if before else v.alone(token)):
-                    return token, memo[before][1] + 1
-        raise ValueError(f"the vocabulary can't spell {letters[:i]!r}")
-
-    def _long(self, letters: str) -> bytes:
-        """The same for a very long word, whose beginnings are not kept; only its last tokens are."""
+        self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def learn_pieces(self, new: list[str]) -> None:
+        raise NotImplementedError
+
+    def cut(self, chunks: list[str], pieces: list[str]) -> list[bytes]:
+        raise NotImplementedError
+
+    def learn_odd(self, chunks: list[str]) -> list[bytes]:
+        raise NotImplementedError
+
+    def learn(self, texts: list[list[str]]) -> None:
+        if len(self.known) > self.keep // 2:  # frequent chunks come over from the older half
+            self.before, self.known = self.known, {"": b""}
+        new = set().union(*texts) - self.known.keys()
+        again = new & self.before.keys()
+        self.known.update(zip(again, map(self.before.__getitem__, again)))
+        plain, odd, fits = [], [], SIMPLE.fullmatch
+        for c in new - again:
+            (plain if fits(c) and "<|" not in c else odd).append(c)
+        for at in range(0, len(plain), BATCH):
+            part = plain[at : at + BATCH]
+            pieces = PIECES_OF_LINES.findall("\n".join([*part, ""]).lower())
+            if len(self.pieces) > self.keep:
+                self.pieces = {}
+            self.learn_pieces(list(set(pieces) - self.pieces.keys() - {"\n"}))
+            self.known.update(zip(part, self.cut(part, pieces)))
+        self.known.update(zip(odd, self.learn_odd(odd)))
+
+    def parts(self, texts: list[str | None], step: int = 256) -> Iterator[list[list[str]]]:
+        """Chunks of each text, a few texts at a time, all of them known."""
+        for at in range(0, len(texts), step):
+            parts = [self.split(t or "") for t in texts[at : at + step]]
+            self.learn(parts)
+            yield parts
+
+    def split(self, text: str) -> list[str]:
+        return GAP.split(text)
+
+    def batches(self, texts: list[str | None]) -> Iterator[list[bytes]]:
+        """What is known of each text, a few texts at a time."""
+        for parts in self.parts(texts):
+            have = self.known.__getitem__
+            yield [self.GAP.join(map(have, p)) for p in parts]
+
+
+class ChunkIds(Chunks):
+    """Token ids of texts as little-endian 32-bit words."""
+
+    MARK = b"\xff" * 4  # no token's id; stands where a chunk ends
+
+    def split(self, text: str) -> list[str]:
+        return GAP.split(text) if ODD_SPACE.search(text) else text.split()
+
+    def learn_pieces(self, new: list[str]) -> None:
+        ids, ends = self.v.encoded(new) if new else (np.zeros(0, "<u4"), [])
+        data, ends = ids.tobytes(), [4 * int(e) for e in ends]
+        self.pieces.update(zip(new, [data[a:b] for a, b in zip([0, *ends], ends)]))
+        self.pieces["\n"] = self.MARK
+
+    def cut(self, chunks: list[str], pieces: list[str]) -> list[bytes]:
+        data = b"".join(map(self.pieces.__getitem__, pieces))
+        ends = (4 * np.flatnonzero(np.frombuffer(data, "<u4") == 0xFFFFFFFF)).tolist()
+        return [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]
+
+    def learn_odd(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.v.encoder.encode_batch_fast(chunks, add_special_tokens=False)]
+
+
+class PrefixSteps(Chunks):
+    """How much each character adds to the token count of the prefix that ends with it: a signed 16-bit word a character.
+
+    The count at a prefix is the count at the end of the piece before it plus that of the beginning of its own piece. So the
+    program runs over pieces, every distinct beginning of a piece is counted once, and sums of the steps are exact
+    counts at every prefix. A step can be negative: a longer word may have fewer tokens.
+    """
+
+    GAP = b"\0\0"
+
+    def learn_pieces(self, new: list[str]) -> None:
+        self.pieces["\n"] = b""
+        short = sorted(p for p in new if len(p) < LONG and (p[0] != "'" or not p[1:2].isalpha()))
+        self.pieces.update((p, self._by_itself(p)) for p in set(new) - set(short))
+        if not short:
+            return
+        size = np.fromiter(map(len, short), np.int64, len(short))
+        wide = int(size.max())
+        letters = np.array(short, f"U{wide}").view("<u4").reshape(-1, wide)
+        same = letters[1:] == letters[:-1]
+        same &= letters[1:] != 0
+        shared = np.concatenate([[0], np.logical_and.accumulate(same, axis=1).sum(axis=1)])
+        # in sorted order, a beginning is new where it is longer than what the piece shares with the one before
+        ask = [p[:i] for p, k in zip(short, shared.tolist()) for i in range(k + 1, len(p) + 1)]
+        place = np.arange(1, wide + 1)
+        within = place <= size[:, None]
+        own = (place > shared[:, None]) & within
+        counts = np.zeros(own.shape, np.int64)
+        counts[own] = np.diff(self.v.encoded(ask)[1], prepend=0)
+        first = np.maximum.accumulate(np.where(own, np.arange(len(short))[:, None], 0), axis=0)
+        steps = np.diff(np.take_along_axis(counts, first, axis=0), axis=1, prepend=0)
+        data, ends = steps[within].astype("<i2").tobytes(), (2 * np.cumsum(size)).tolist()
+        self.pieces.update(zip(short, [data[a:b] for a, b in zip([0, *ends], ends)]))
+
+    def cut(self, chunks: list[str], pieces: list[str]) -> list[bytes]:
+        data = b"".join(map(self.pieces.__getitem__, pieces))
+        ends = (2 * np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def learn_odd(self, chunks: list[str]) -> list[bytes]:
+        return [self._odd(c) for c in chunks]
+
+    def _each(self, beginnings: list[str]) -> bytes:
+        totals = [len(e.ids) for e in self.v.encoder.encode_batch_fast(beginnings, add_special_tokens=False)]
+        return np.diff(totals, prepend=0).astype("<i2").tobytes()
+
+    def _by_itself(self, piece: str) -> bytes:
+        """A very long piece, or one whose beginnings split in another way."""
+        if len(piece) > 1 and piece[0] == "'" and piece[1].isalpha():
+            return self._each([piece[:i] for i in range(1, len(piece) + 1)])
+        data = piece.encode("utf-8")
+        counts = np.cumsum(self._long("".join(map(LETTERS.__getitem__, data))))
+        kept = [c for c, after in zip(counts.tolist(), [*data[1:], 0]) if after & 0xC0 != 0x80]
+        return np.diff(kept, prepend=0).astype("<i2").tobytes()
+
+    def _long(self, letters: str) -> list[int]:
+        """Steps of the count over letters[:1], letters[:2], ... as whole words; letters are byte-level characters.
+
+        The encoding of each beginning ends in exactly one token that can follow the encoding of what is before
+        it, so the count there is an earlier one plus one. Only the states within a token's length are kept.
+        """
         states: dict[int, tuple[str, int]] = {0: ("", 0)}
         v, was, out = self.v, 0, []
         for i in range(1, len(letters) + 1):
@@ -164,51 +277,27 @@ class PrefixCounts:
                 closed = count + 1
                 if not end:
                     states[i] = (token, closed)
-            out.append((closed - was).to_bytes(2, "little", signed=True))
+            out.append(closed - was)
             was = closed
             states.pop(i - v.longest - 1, None)
-        return b"".join(out)
-
-    def _piece(self, piece: str) -> bytes:
-        """Steps of the count over one piece of the split, character by character."""
-        if len(piece) > 1 and piece[0] == "'" and piece[1].isalpha():  # its beginnings split in another way
-            return self._each([len(e) for e in self.v.encoder.encode_batch([piece[:i] for i in range(1, len(piece) + 1)], add_special_tokens=False)])
-        if ASCII.fullmatch(piece):
-            return self.word(piece)
-        data = piece.encode("utf-8")
-        counts = np.cumsum(np.frombuffer(self.word("".join(map(LETTERS.__getitem__, data))), "<i2"))
-        return self._each([c for c, after in zip(counts.tolist(), [*data[1:], 0]) if after & 0xC0 != 0x80])
-
-    @staticmethod
-    def _each(totals: list[int]) -> bytes:
-        return b"".join((n - m).to_bytes(2, "little", signed=True) for m, n in zip([0, *totals], totals))
-
-    def chunk(self, chunk: str) -> bytes:
-        """Steps of the count at each character of a chunk, as signed 16-bit words.
+        return out
 
-        Pieces of the split count on their own, from the step at their first character on: what is before them
-        is complete, so the first step is the whole count of the first character.
-        """
-        if SIMPLE.fullmatch(chunk) and "<|" not in chunk:
-            return b"".join(map(self._piece, PIECES.findall(chunk.lower())))
-        if "<|" not in chunk and all(unicodedata.combining(c) == 0 and len(self._normal(c)) == 1 for c in chunk):
+    def _odd(self, chunk: str) -> bytes:
+        normal = self.v.encoder.normalizer.normalize_str
+        if "<|" not in chunk and all(unicodedata.combining(c) == 0 and len(normal(c)) == 1 for c in chunk):
             # the library's own split of the whole; characters that normalise one by one keep their places
-            whole, out, at = "".join(map(self._normal, chunk)), [], 0
-            for _, (a, b) in self.v.encoder.pre_tokenizer.pre_tokenize_str(whole):
-                out += [b"\0\0" * (a - at), self._piece(whole[a:b])]
+            whole, out, at = "".join(map(normal, chunk)), [], 0
+            found = [(whole[a:b], a, b) for _, (a, b) in self.v.encoder.pre_tokenizer.pre_tokenize_str(whole)]
+            self.learn_pieces(list({p for p, _, _ in found} - self.pieces.keys()))
+            for p, a, b in found:
+                out += [b"\0\0" * (a - at), self.pieces[p]]
                 at = b
             return b"".join([*out, b"\0\0" * (len(whole) - at)])
-        return self._each([len(e) for e in self.v.encoder.encode_batch([chunk[:i] for i in range(1, len(chunk) + 1)], add_special_tokens=False)])
-
-    def _normal(self, text: str) -> str:
-        return self.v.encoder.normalizer.normalize_str(text)
+        return self._each([chunk[:i] for i in range(1, len(chunk) + 1)])
 
     def counts(self, text: str) -> list[int]:
-        """Token counts of the prefixes of 0, 1, 2, ... characters of a short text, such as one chunk."""
-        if len(self.words) > 2 * self.keep:
-            self.words = {"": ("", 0, 0, b"")}
-        steps = b"\0\0".join(map(self.chunk, GAP.split(text)))
-        return [0, *np.cumsum(np.frombuffer(steps, "<i2"), dtype=np.int64).tolist()]
+        """Token counts of the prefixes of 0, 1, 2, ... characters."""
+        return [0, *np.cumsum(np.frombuffer(next(self.batches([text]))[0], "<i2"), dtype=np.int64).tolist()]
 
 
 _HELD: dict[str, object] = {}
@@ -223,143 +312,62 @@ def held(kind: type, path: str):
     return _HELD[key]
 
 
-def prefix_table(sizes: np.ndarray, counts: np.ndarray) -> bytes:
-    """The stored form: for the prefix that ends with each chunk, its characters and its exact token count."""
-    ends = np.cumsum(sizes + 1) - 1
-    return zlib.compress(np.stack([np.diff(ends, prepend=0), counts]).astype("<u4").tobytes(), 1)
+def prefix_table(steps: bytes) -> bytes:
+    """The stored form of a text's steps: one byte a character where all fit into one, else two; compressed."""
+    wide = np.frombuffer(steps, "<i2")
+    narrow = wide.astype("i1")
+    return zlib.compress(b"1" + narrow.tobytes() if (narrow == wide).all() else b"2" + steps, 1)
 
 
-def read_table(table: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(characters, tokens) of the prefixes that end where a chunk ends, the empty one first."""
-    both = np.frombuffer(zlib.decompress(table), "<u4").reshape(2, -1)
-    return tuple(np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in both)
+def read_table(table: bytes) -> np.ndarray:
+    """Exact token counts of the prefixes of 0, 1, 2, ... characters."""
+    data = zlib.decompress(table)
+    steps = np.frombuffer(data, "i1" if data[:1] == b"1" else "<i2", offset=1)
+    return np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
 
 
-def prefix_tables(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """id, n_bytes, n_tokens, prefix_table (binary) and, if asked for, text; one row per row.
+def prefix_tables(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_bytes, n_tokens, prefix_table (binary); one row per row.
 
-    The program runs over the text's chunks between white space, which no token crosses: the count of the prefix that
-    ends with a chunk is the one before plus the chunk's own, and all of these are stored. tokens_at and
-    longest_within find any prefix there; one that ends inside a chunk adds the count of that beginning of a word.
-    Null texts count as empty (0 tokens); ids may be null or repeated; an empty table gives no rows; other columns are
-    not read. path: the tokenizer file, at the same place on every executor. No shuffle.
+    prefix_table holds the exact token count of every prefix of the text, character by character: the library's count of
+    text[:i], for each i. tokens_at and longest_within answer from it alone, without the text or the encoder.
+    Null texts count as empty (0 tokens); ids may be null or repeated; equal texts give equal tables; a very long text costs a byte
+    a character before compression; an empty table gives no rows; other columns are not read, whatever their names. path: the
+    tokenizer file, at the same place on every executor. No shuffle.
     """
 
     @F.pandas_udf("n_tokens long, prefix_table binary")
     def of(texts: pd.Series) -> pd.DataFrame:
-        ids, out = held(ChunkIds, path), []
-        for parts in ids.parts(texts.tolist(), gaps=True):
-            for p in parts:
-                n = np.fromiter(map(len, map(ids.known.__getitem__, p)), np.int64, len(p)) >> 2
-                out.append((int(n.sum()), prefix_table(np.fromiter(map(len, p), np.int64, len(p)), n)))
+        steps = held(PrefixSteps, path)
+        out = [(int(np.frombuffer(s, "<i2").sum(dtype=np.int64)), prefix_table(s)) for some in steps.batches(texts.tolist()) for s in some]
         return pd.DataFrame(out, columns=["n_tokens", "prefix_table"])
 
     return df.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
         of(F.col(text_col)).alias("t"),
-        *([F.col(text_col).alias("text")] if keep_text else []),
-    ).select("id", "n_bytes", "t.n_tokens", "t.prefix_table", *(["text"] if keep_text else []))
-
-
-def _inside(text: str, low: int, high: int, path: str) -> list[int]:
-    return held(PrefixCounts, path).counts(text[low:high])
+    ).select("id", "n_bytes", "t.n_tokens", "t.prefix_table")
 
 
-def tokens_at(table: Column, text: Column, chars: Column, path: str) -> Column:
-    """Tokens of the prefix of that many characters; null where it is longer than the text. Nothing is encoded again
-    but the beginning of one word, where the prefix ends inside it."""
+def tokens_at(table: Column, chars: Column) -> Column:
+    """Tokens of the prefix of that many characters; null where it is longer than the text or negative."""
 
     @F.pandas_udf("long")
-    def at(tables: pd.Series, texts: pd.Series, ends: pd.Series) -> pd.Series:
+    def at(tables: pd.Series, ends: pd.Series) -> pd.Series:
         out = []
-        for t, x, n in zip(tables, texts, ends):
-            chars, sums = read_table(t)
-            k = int(np.searchsorted(chars, n, side="right")) - 1
-            if not 0 <= n <= chars[-1]:
-                out.append(None)
-            else:
-                low = int(chars[k]) + (k > 0)
-                out.append(int(sums[k]) + (_inside(x, low, int(n), path)[-1] if n > low else 0))
+        for t, n in zip(tables, ends):
+            counts = read_table(t)
+            out.append(int(counts[n]) if 0 <= n < len(counts) else None)
         return pd.Series(out, dtype="Int64")
 
-    return at(table, F.coalesce(text, F.lit("")), chars)
+    return at(table, chars)
 
 
-def longest_within(table: Column, text: Column, budget: Column, path: str) -> Column:
-    """Characters of the longest prefix of at most that many tokens, by a search in the table and in one word."""
+def longest_within(table: Column, budget: Column) -> Column:
+    """Characters of the longest prefix of at most that many tokens."""
 
     @F.pandas_udf("long")
-    def of(tables: pd.Series, texts: pd.Series, budgets: pd.Series) -> pd.Series:
-        out = []
-        for t, x, most in zip(tables, texts, budgets):
-            chars, sums = read_table(t)
-            k = int(np.searchsorted(sums, most, side="right")) - 1
-            cut = int(chars[k])
-            if k + 1 < len(chars):
-                low = cut + (k > 0)
-                inside = _inside(x, low, int(chars[k + 1]), path)
-                cut = low + max(i for i, n in enumerate(inside) if sums[k] + n <= most)
-            out.append(cut)
-        return pd.Series(out, dtype="int64")
-
-    return of(table, F.coalesce(text, F.lit("")), budget)
+    def of(tables: pd.Series, budgets: pd.Series) -> pd.Series:
+        return pd.Series([int(np.flatnonzero(read_table(t) <= most)[-1]) for t, most in zip(tables, budgets)], dtype="int64")
 
-
-class ChunkIds:
-    """Token ids of a text, put together from those of its white-space chunks (the split never crosses a space)."""
-
-    def __init__(self, vocabulary: Vocabulary, keep: int = 600_000):
-        self.v = vocabulary
-        self.keep = keep
-        self.known: dict[str, bytes] = {"": b""}
-        self.before: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encode what is new in these chunk lists, plain chunks many to a call."""
-        if len(self.known) > self.keep // 2:  # frequent chunks come over from the older half
-            self.before, self.known = self.known, {"": b""}
-        new = set().union(*texts) - self.known.keys()
-        again = new & self.before.keys()
-        self.known.update(zip(again, map(self.before.__getitem__, again)))
-        plain, rest = {}, []
-        for c in new - again:
-            if SIMPLE.fullmatch(c) and "<|" not in c:
-                plain[c] = PIECES.findall(c.lower())
-            else:
-                rest.append(c)
-        self._learn_pieces(set(chain.from_iterable(plain.values())))
-        have = self.pieces.__getitem__
-        for c, found in plain.items():
-            self.known[c] = have(found[0]) if len(found) == 1 else b"".join(map(have, found))
-        for c, e in zip(rest, self.v.encoder.encode_batch(rest, add_special_tokens=False)):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
-
-    def _learn_pieces(self, wanted: set[str]) -> None:
-        """Encode pieces of the split that are not known, many to a call: each ends where its last token does."""
-        if len(self.pieces) > self.keep:
-            self.pieces = {}
-        new = list(wanted - self.pieces.keys())
-        for at in range(0, len(new), 4000):
-            part = new[at : at + 4000]
-            ids = np.array(self.v.encoder.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = ((np.flatnonzero(self.v.ends[ids]) + 1) * 4).tolist()
-            data = ids.tobytes()
-            self.pieces.update(zip(part, [data[a:b] for a, b in zip([0, *ends], ends)]))
-
-    def ids(self, text_chunks: list[str]) -> bytes:
-        return b"".join(map(self.known.__getitem__, text_chunks))
-
-    def parts(self, texts: list[str | None], gaps: bool = False, step: int = 256) -> Iterator[list[list[str]]]:
-        """Chunks of each text, a few texts at a time, all of them known. gaps: with an empty one for each further space."""
-        for at in range(0, len(texts), step):
-            some = [t or "" for t in texts[at : at + step]]
-            parts = [GAP.split(t) if gaps or ODD_SPACE.search(t) else t.split() for t in some]
-            self.learn(parts)
-            yield parts
-
-    def batches(self, texts: list[str | None]) -> Iterator[list[bytes]]:
-        """Ids of each text as little-endian 32-bit words, a few texts at a time."""
-        for parts in self.parts(texts):
-            yield [self.ids(p) for p in parts]
+    return of(table, budget)

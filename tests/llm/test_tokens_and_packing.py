@@ -38,37 +38,55 @@ def test_prefix_counts_equal_the_library(vocabulary):
     rng = random.Random(0)
     some = ["".join(rng.choice("ab'stre ́éİ<|1½.,\xa0") for _ in range(40)) for _ in range(60)]
     some += ["".join(rng.choice("thanderi") for _ in range(100)) for _ in range(5)]
-    counter = tokens.PrefixCounts(vocabulary)
+    counter = tokens.PrefixSteps(vocabulary)
     for text in TEXTS + some:
         want = [len(x) for x in library(vocabulary, [text[:i] for i in range(len(text) + 1)])]
         assert counter.counts(text) == want, text
 
 
 def test_a_full_cache_changes_nothing(vocabulary):
-    small = tokens.PrefixCounts(vocabulary, keep=3)
+    small = tokens.PrefixSteps(vocabulary, keep=3)
     ids = tokens.ChunkIds(vocabulary, keep=2)
-    for text in TEXTS:
+    for text in TEXTS * 2:
         assert small.counts(text)[-1] == len(library(vocabulary, [text])[0])
         assert next(ids.batches([text]))[0] == np.array(library(vocabulary, [text])[0], "<u4").tobytes()
 
 
+def test_wide_steps_are_stored_too():
+    steps = np.array([1, 300, -299, 0], "<i2").tobytes()
+    assert tokens.read_table(tokens.prefix_table(steps)).tolist() == [0, 1, 301, 2, 2]
+
+
+def test_every_prefix_of_the_query(spark, sf, vocabulary):
+    """The registered query's stored tables hold the library's count of every prefix, and its answers come from them."""
+    from lumora.llm.queries import op7_token_counts
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rng = random.Random(3)
+    few = set(rng.sample(sorted(k for k in texts if len(texts[k]) < 3000), 12))
+    for r in op7_token_counts(spark, sf).collect():
+        counts, text = tokens.read_table(r["prefix_table"]), texts[r["doc_id"]]
+        assert len(counts) == len(text) + 1 and counts[-1] == r["n_tokens"] and r["over_limit"] == (r["n_tokens"] > 2048)
+        assert r["chars_in_limit"] == max(i for i, n in enumerate(counts) if n <= 2048)
+        if r["doc_id"] in few:
+            assert counts.tolist() == [len(x) for x in library(vocabulary, [text[:i] for i in range(len(text) + 1)])]
+
+
 def test_prefix_tables_answer_questions(spark, sf, vocabulary):
     F = tokens.F
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     more = spark.createDataFrame([(-k - 1, t) for k, t in enumerate(TEXTS)], "doc_id long, text string")
-    docs = docs.select("doc_id", "text").unionByName(more)
+    docs = docs.unionByName(more).withColumns({"n_tokens": F.lit("old"), "prefix_table": F.lit(1), "id": F.lit(2), "t": F.lit(3)})
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    out = tokens.prefix_tables(docs, PATH, keep_text=True)
-    out = out.withColumn("half", tokens.tokens_at(F.col("prefix_table"), F.col("text"), F.lit(10), PATH))
-    out = out.withColumn("cut", tokens.longest_within(F.col("prefix_table"), F.col("text"), F.lit(7), PATH))
+    out = tokens.prefix_tables(docs, PATH)
+    out = out.withColumn("half", tokens.tokens_at(F.col("prefix_table"), F.lit(10)))
+    out = out.withColumn("cut", tokens.longest_within(F.col("prefix_table"), F.lit(7)))
     keys = sorted(texts)
     true = dict(zip(keys, map(len, library(vocabulary, [texts[k] for k in keys]))))
     for r in out.collect():
         text = texts[r["id"]]
         assert r["n_tokens"] == true[r["id"]] and r["n_bytes"] == len(text.encode())
-        if len(text) >= 10:
-            assert r["half"] == len(library(vocabulary, [text[:10]])[0])
+        assert r["half"] == (len(library(vocabulary, [text[:10]])[0]) if len(text) >= 10 else None)
         assert len(library(vocabulary, [text[: r["cut"]]])[0]) <= 7
         if r["cut"] < len(text):
             assert len(library(vocabulary, [text[: r["cut"] + 1]])[0]) > 7
@@ -135,3 +153,14 @@ def test_packing_odd_rows(spark):
     assert sizes[2] == sizes[3] == sizes[5] == [1] and len(sizes[None]) == 1
     assert sum(sizes[4]) == 2 * 30_001
     assert packing.best_fit(odd(spark).limit(0), PATH, parts=3).count() == 0
+
+
+def test_pieces_that_do_not_combine_never_meet_in_one_task(spark, monkeypatch):
+    """Documents of about 2500 tokens: each takes a sequence, and the rounds end before one partition holds all rows."""
+    text = " ".join(["the"] * 2500)
+    docs = spark.createDataFrame([(k, text) for k in range(600)], "doc_id long, text string")
+    passes, dealt = [], packing._shuffled
+    monkeypatch.setattr(packing, "_shuffled", lambda pieces, parts: passes.append((pieces.count(), parts)) or dealt(pieces, parts))
+    out = packing.best_fit(docs, PATH, parts=64)
+    assert out.select("sequence_id").distinct().count() == 600
+    assert all(parts > 1 for rows, parts in passes if rows == 600), passes
