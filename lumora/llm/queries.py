@@ -89,7 +89,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_bytes",
         "n_tokens",
         (F.col("n_tokens") > 2048).alias("over_limit"),
-        tokens.longest_within(F.col("prefix_table"), F.lit(2048)).alias("chars_in_limit"),
+        F.col("chars_within").alias("chars_in_limit"),
         "prefix_table",
     )
 

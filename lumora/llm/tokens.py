@@ -24,7 +24,7 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space for str.split only
 PIECES_OF_LINES = regex.compile(PIECES.pattern + r"|\n")
 END = "</w>"
 LONG = 64  # characters from which a piece's counts are stepped along instead of asked for all its beginnings
-BATCH = 20_000
+BATCH = 5_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -213,6 +213,9 @@ class PrefixSteps(Chunks):
 
     GAP = b"\0\0"
 
+    def __init__(self, vocabulary: Vocabulary, keep: int = 300_000):
+        super().__init__(vocabulary, keep)
+
     def learn_pieces(self, new: list[str]) -> None:
         self.pieces["\n"] = b""
         short = sorted(p for p in new if len(p) < LONG and (p[0] != "'" or not p[1:2].isalpha()))
@@ -326,27 +329,35 @@ def read_table(table: bytes) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
 
 
-def prefix_tables(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_tokens, prefix_table (binary); one row per row.
+def _longest(counts: np.ndarray, budget: int) -> int:
+    return int(np.flatnonzero(counts <= budget)[-1])
+
+
+def prefix_tables(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", budget: int = 2048) -> DataFrame:
+    """id, n_bytes, n_tokens, chars_within, prefix_table (binary); one row per row.
 
     prefix_table holds the exact token count of every prefix of the text, character by character: the library's count of
-    text[:i], for each i. tokens_at and longest_within answer from it alone, without the text or the encoder.
+    text[:i], for each i. tokens_at and longest_within answer from it alone, without the text or the encoder; chars_within is
+    longest_within's answer for budget, given at once.
     Null texts count as empty (0 tokens); ids may be null or repeated; equal texts give equal tables; a very long text costs a byte
     a character before compression; an empty table gives no rows; other columns are not read, whatever their names. path: the
     tokenizer file, at the same place on every executor. No shuffle.
     """
 
-    @F.pandas_udf("n_tokens long, prefix_table binary")
+    @F.pandas_udf("n_tokens long, chars_within long, prefix_table binary")
     def of(texts: pd.Series) -> pd.DataFrame:
-        steps = held(PrefixSteps, path)
-        out = [(int(np.frombuffer(s, "<i2").sum(dtype=np.int64)), prefix_table(s)) for some in steps.batches(texts.tolist()) for s in some]
-        return pd.DataFrame(out, columns=["n_tokens", "prefix_table"])
+        out = []
+        for some in held(PrefixSteps, path).batches(texts.tolist()):
+            for steps in some:
+                counts = np.cumsum(np.frombuffer(b"\0\0" + steps, "<i2"), dtype=np.int64)
+                out.append((int(counts[-1]), _longest(counts, budget), prefix_table(steps)))
+        return pd.DataFrame(out, columns=["n_tokens", "chars_within", "prefix_table"])
 
     return df.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
         of(F.col(text_col)).alias("t"),
-    ).select("id", "n_bytes", "t.n_tokens", "t.prefix_table")
+    ).select("id", "n_bytes", "t.*")
 
 
 def tokens_at(table: Column, chars: Column) -> Column:
@@ -368,6 +379,6 @@ def longest_within(table: Column, budget: Column) -> Column:
 
     @F.pandas_udf("long")
     def of(tables: pd.Series, budgets: pd.Series) -> pd.Series:
-        return pd.Series([int(np.flatnonzero(read_table(t) <= most)[-1]) for t, most in zip(tables, budgets)], dtype="int64")
+        return pd.Series([_longest(read_table(t), most) for t, most in zip(tables, budgets)], dtype="int64")
 
     return of(table, budget)
