@@ -14,6 +14,7 @@ from lumora.operators.components import components
 from lumora.session import settle
 
 BYTES = 8
+PIECES = 4  # neighbouring byte positions are posted two by two
 BLOCK = 1 << 15
 
 
@@ -56,7 +57,7 @@ def shared_bytes(a: Column, b: Column) -> Column:
 def _first_shared(a: Column, b: Column, kept: list[tuple[int, ...]]) -> Column:
     """The first posting list that holds both, so that a pair is met once."""
     x = a.bitwiseXOR(b)
-    same = [_byte(x, k) == 0 for k in range(BYTES)]
+    same = [(_byte(x, 2 * k) == 0) & (_byte(x, 2 * k + 1) == 0) for k in range(PIECES)]
     out = F.lit(-1)
     for n, at in reversed(list(enumerate(kept))):
         whole = same[at[0]]
@@ -70,19 +71,20 @@ def links(nodes: DataFrame, max_bits: int = 2, long_list: int = 128) -> DataFram
     """Edges (a, b) whose components are those of all pairs of distinct fingerprints at max_bits or fewer.
 
     nodes: one column fp, distinct. Differing bits touch at most max_bits bytes, so a pair shares at least
-    8 - max_bits positional bytes. Posting lists are keyed by such a choice of positions and their bytes (single
-    positional bytes would hold a 256th of all fingerprints each); the tally of shared bytes picks the one list
-    where a pair counts, and the Hamming distance verifies it. Lists longer than long_list emit no pairs:
-    their members (distinct fingerprints) are linked exactly through keys that only fingerprints within
-    max_bits can share.
+    8 - max_bits positional bytes and 4 - max_bits of the four positional pairs of bytes. The inverted index has a list for each
+    choice of so many pairs and their bytes: at 2 bits six postings a fingerprint, of four bytes each (lists of single
+    bytes would hold a 256th of all fingerprints). Two members of a list share four bytes by chance; the tally of all their
+    shared positional bytes keeps those that reach the guaranteed minimum, and the Hamming distance verifies them.
+    Lists longer than long_list emit no pairs: their members (distinct fingerprints) are linked exactly through keys that
+    only fingerprints within max_bits can share.
     """
     if not 1 <= max_bits <= 2:
         raise ValueError("max_bits is 1 or 2")
-    kept = list(combinations(range(BYTES), BYTES - max_bits))
+    kept = list(combinations(range(PIECES), PIECES - max_bits))
     fp = F.col("fp")
     keys = []
     for n, at in enumerate(kept):
-        mask = sum(255 << (8 * k) for k in at)
+        mask = sum(65535 << (16 * k) for k in at)
         mask = mask - (1 << 64) if mask >> 63 else mask
         keys.append(F.struct(F.lit(n).alias("list"), fp.bitwiseAND(F.lit(mask).cast("long")).alias("bytes")))
     posts = nodes.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.list", "k.bytes")
