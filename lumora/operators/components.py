@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumora.session import settle
+from lumora.session import discard, settle
 
 
 def _toward_minimum(edges: DataFrame, below_only: bool) -> DataFrame:
@@ -44,7 +44,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if row == mark or not row[0]:
             break
         mark = row
-        now = settle(_toward_minimum(_toward_minimum(now, below_only=False), below_only=True))
+        was, now = now, settle(_toward_minimum(_toward_minimum(now, below_only=False), below_only=True))
+        discard(was)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))

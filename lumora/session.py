@@ -16,10 +16,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where nothing is set (a local session, as in tests) is a temporary folder chosen.
+    Where nothing is set, a temporary folder serves a local session, whose executors are the driver itself; on a
+    cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="lumora-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -29,4 +32,14 @@ def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared folder once and read it back: later plans start from files that any executor can read."""
     path = f"{shared_dir(df.sparkSession)}/lumora-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames that settle returned, once everything that reads them is settled itself."""
+    for df in frames:
+        spark, path = df.sparkSession, df.settled_path
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
