@@ -78,6 +78,14 @@ def places(points: DataFrame, samples: int = 6) -> DataFrame:
     return sums.join(taken, "place_id")
 
 
+def map_points(points: DataFrame, day_from: int | None = None, day_to: int | None = None, source_id: int | None = None, hidden: DataFrame | None = None) -> DataFrame:
+    """points(asset_id, source_id, lat, lon, day) that have a position and pass the filters; hidden(asset_id) are left out if given."""
+    out = points.where("lat is not null and lon is not null")
+    for test, value in ((F.col("day") >= day_from, day_from), (F.col("day") <= day_to, day_to), (F.col("source_id") == source_id, source_id)):
+        out = out if value is None else out.where(test)
+    return out if hidden is None else out.join(hidden.select("asset_id"), "asset_id", "left_anti")
+
+
 def map_grid(points: DataFrame, zoom: float) -> DataFrame:
     """(gx, gy, n, lat, lon): buckets of a world grid of 2 / zoom degrees."""
     g = 2.0 / max(zoom, 1.0)

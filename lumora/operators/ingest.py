@@ -9,12 +9,13 @@ from lumora.functions import scalars as S
 from lumora.operators.library import insert_new
 
 # fixed values: extensions taken in, by kind
-IMAGES = "jpg jpeg png webp heic heif gif tif tiff bmp avif".split()
-VIDEOS = "mp4 mov m4v webm".split()
+IMAGES = "jpg jpeg png heic heif webp bmp gif tif tiff".split()
+VIDEOS = "mp4 mov m4v mkv webm".split()
 RAW = "cr2 cr3 nef arw dng raf orf rw2".split()
 # fixed values: first bytes in hex, and extensions, of media types
-MAGIC = (("FFD8FF", "image/jpeg"), ("89504E470D0A1A0A", "image/png"), ("47494638", "image/gif"), ("52494646", "image/webp"), ("49492A00", "image/tiff"), ("4D4D002A", "image/tiff"))
-MIMES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "gif": "image/gif", "heic": "image/heic", "heif": "image/heif", "mp4": "video/mp4", "mov": "video/quicktime", "m4v": "video/x-m4v", "webm": "video/webm"}
+MAGIC = (("FFD8FF", "image/jpeg"), ("89504E470D0A1A0A", "image/png"), ("47494638", "image/gif"), ("424D", "image/bmp"), ("49492A00", "image/tiff"), ("4D4D002A", "image/tiff"))
+RIFF = {"57454250": "image/webp", "57415645": "audio/x-wav", "41564920": "video/x-msvideo"}
+MIMES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "gif": "image/gif", "tif": "image/tiff", "tiff": "image/tiff", "heic": "image/heic", "heif": "image/heic", "mp4": "video/mp4", "m4v": "video/mp4", "mov": "video/quicktime", "mkv": "video/x-matroska", "webm": "video/webm"}
 MARKERS = ("MotionPhoto_Data", "MicroVideo", "MotionPhoto")
 
 
@@ -41,15 +42,25 @@ def is_phone_folder(path: Column) -> Column:
 
 
 def mime_of(path: Column, content: Column) -> Column:
-    """By first bytes, else by extension."""
-    head = F.hex(F.substring(content, 1, 16))
-    out = F.lit(None).cast("string")
-    for ext, mime in MIMES.items():
-        out = F.when(S.extension(path) == ext, mime).otherwise(out)
-    out = F.when(F.substring(head, 9, 8) == "66747970", F.when(S.extension(path).isin("heic", "heif"), "image/heic").otherwise("video/mp4")).otherwise(out)
+    """By first bytes, else by extension; raw files and unknown ones are application/octet-stream."""
+    head, ext = F.hex(F.substring(content, 1, 16)), S.extension(path)
+    out = mime_by_extension(path)
+    brand = F.decode(F.substring(content, 9, 4), "ISO-8859-1")
+    boxed = F.when(brand.isin("heic", "heix", "mif1", "msf1"), "image/heic").when(brand == "qt  ", "video/quicktime").otherwise(F.when(ext.isin("heic", "heif"), "image/heic").otherwise("video/mp4"))
+    out = F.when(F.substring(head, 9, 8) == "66747970", boxed).otherwise(out)
+    out = F.when(head.startswith("1A45DFA3"), F.when(ext == "webm", "video/webm").otherwise("video/x-matroska")).otherwise(out)
+    for kind, mime in RIFF.items():
+        out = F.when(head.startswith("52494646") & (F.substring(head, 17, 8) == kind), mime).otherwise(out)
     for hexa, mime in reversed(MAGIC):
         out = F.when(head.startswith(hexa), mime).otherwise(out)
-    return F.coalesce(out, F.when(is_raw(path), F.lit("image/x-raw")), F.lit("application/octet-stream"))
+    return out
+
+
+def mime_by_extension(path: Column) -> Column:
+    out = F.lit("application/octet-stream")
+    for ext, mime in MIMES.items():
+        out = F.when(S.extension(path) == ext, mime).otherwise(out)
+    return out
 
 
 def has_motion_trailer(content: Column) -> Column:
@@ -81,14 +92,65 @@ def sibling_pairs(paths: DataFrame) -> DataFrame:
 
 
 def bursts(paths: DataFrame) -> DataFrame:
-    """(folder, number, n, paths): pictures with one number, where one is an edit or there are three at least."""
+    """(number, n, paths): pictures with one number over all folders, where one of several is an edit or there are three at least."""
     number = burst_number(stem_of(F.col("path")))
-    own = paths.where(S.extension(F.col("path")).isin(IMAGES)).select("path", folder_of(F.col("path")).alias("folder"), number.alias("number"))
-    edit = F.bool_or(stem_of(F.col("path")).rlike("^(?:IMG_|img_)[Ee]"))
-    by = own.where("number is not null").groupBy("folder", "number").agg(F.count("*").alias("n"), edit.alias("edited"), F.array_sort(F.collect_list("path")).alias("paths"))
+    own = paths.where(S.extension(F.col("path")).isin("jpg", "jpeg", "heic", "heif")).select("path", number.alias("number"))
+    edit = F.bool_or(F.upper(stem_of(F.col("path"))).startswith("IMG_E"))
+    by = own.where("number is not null").groupBy("number").agg(F.count("*").alias("n"), edit.alias("edited"), F.array_sort(F.collect_list("path")).alias("paths"))
     return by.where("(edited and n > 1) or n >= 3").drop("edited")
 
 
+def sidecar_path(path: Column) -> Column:
+    """Where the XMP of a file lies: its full name and `.xmp`."""
+    return F.concat(path, F.lit(".xmp"))
+
+
+def with_sidecar(media: DataFrame, files: DataFrame) -> DataFrame:
+    """media(path) with xmp, the text of the file of files(path, text) that lies beside it; null where there is none."""
+    beside = files.select(F.regexp_extract("path", r"(?i)^(.*)\.xmp$", 1).alias("path"), F.col("text").alias("xmp")).where("path <> ''")
+    return media.join(beside, "path", "left")
+
+
+def merged_record(mime: Column, exif: Column, side: Column) -> Column:
+    """JSON of {mime, exif, sidecar}; a sidecar that is null is left out."""
+    return F.to_json(F.struct(mime.alias("mime"), exif.alias("exif"), side.alias("sidecar")))
+
+
+def display_values(fields: Column) -> Column:
+    """Map from `ifd::tag` to the shown value, of array<struct<ifd, tag, value>>; of equal keys the last."""
+    key = lambda f: F.concat_ws("::", f["ifd"].cast("string"), f["tag"])
+    last = F.filter(fields, lambda f, i: ~F.exists(F.slice(fields, i + 2, F.size(fields)), lambda g: key(g) == key(f)))
+    return F.map_from_entries(F.transform(last, lambda f: F.struct(key(f), f["value"])))
+
+
+def unquoted(value: Column) -> Column:
+    """Without the quotes around it; null if nothing is left."""
+    return F.nullif(F.regexp_replace(value, '^"+|"+$', ""), F.lit(""))
+
+
+def path_key(path: Column, key: str) -> Column:
+    """Keyed digest of a path: 32 hex digits."""
+    return F.substring(F.sha2(F.concat(F.lit(key + "path\x1f"), path), 256), 1, 32)
+
+
+def verified(blobs: DataFrame) -> DataFrame:
+    """blobs(hash, content) with `whole`: the content still has the key it is stored under."""
+    return blobs.withColumn("whole", F.coalesce(content_key(F.col("content")) == F.col("hash"), F.lit(False)))
+
+
+def thumbnail_size(width: Column, height: Column, side: int) -> Column:
+    """struct(width, height) that fits a square; small pictures are not enlarged, no side falls below 1."""
+    scale = F.least(F.lit(1.0), F.lit(float(side)) / F.greatest(width, height))
+    fit = lambda x: F.greatest(F.round(x * scale), F.lit(1.0)).cast("int")
+    return F.struct(fit(width).alias("width"), fit(height).alias("height"))
+
+
+def announced(assets: DataFrame, stored: DataFrame) -> DataFrame:
+    """(id, hash) to be announced: the cached key or else that of the content, without keys that are stored already."""
+    named = assets.select("id", F.coalesce("cached", content_key(F.col("content"))).alias("hash"))
+    return named.join(stored.select("hash"), "hash", "left_anti").select("id", "hash")
+
+
 TAKEOUT = (
     "title string, description string, photoTakenTime struct<timestamp:string>, "
     "geoData struct<latitude:double,longitude:double>, people array<struct<name:string>>"

@@ -50,6 +50,19 @@ def next_cursor(rows: DataFrame) -> tuple[int, int] | None:
     return (last["d"], last["id"]) if last else None
 
 
+def album_page(assets: DataFrame, members: DataFrame, albums: DataFrame, album: int, unlocked: set[int], cursor: tuple[int, int] = FIRST_CURSOR, limit: int | None = None) -> DataFrame:
+    """A page of one of albums(album, has_password); one with a password that is not unlocked shows nothing."""
+    open_ = albums.where((F.col("album") == album) & (~F.col("has_password") | F.lit(album in unlocked))).select(F.col("album").alias("collection_id"))
+    own = members.where(F.col("collection_id") == album).join(open_, "collection_id", "left_semi").select(F.col("asset_id").alias("id"))
+    return page(assets.join(own, "id", "left_semi"), cursor, limit)
+
+
+def counted(collections: DataFrame, members: DataFrame) -> DataFrame:
+    """collections with n, the number of their members, 0 included."""
+    n = members.groupBy(F.col("collection_id").alias("id")).agg(F.count("*").alias("n"))
+    return collections.join(n, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def hydrated(ids: list[int], assets: DataFrame) -> DataFrame:
     """Rows of a list of ids in the list's order; repeats collapse to their first place."""
     spark = assets.sparkSession

@@ -91,9 +91,19 @@ def places_grouped(spark, d):
     return A.places(C.geo(spark, d)).select("place_id", "n", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "sample")
 
 
-@query(with_tables("geo", "SELECT asset_id, lat, lon FROM geo WHERE lat IS NOT NULL AND day BETWEEN 9000 AND 10000"))
+@query(with_tables("geo collection member hidden", "SELECT asset_id, lat, lon, source_id FROM geo WHERE lat IS NOT NULL AND day BETWEEN 9000 AND 10000 AND asset_id NOT IN (SELECT asset_id FROM hidden)"))
 def map_points(spark, d):
-    return C.geo(spark, d).where("lat is not null and day between 9000 and 10000").select("asset_id", "lat", "lon")
+    """Points of a range of days, without hidden ones."""
+    from lumora.operators import library as L
+
+    hidden = L.hidden_assets(C.collection_member(spark, d), C.collection(spark, d))
+    return A.map_points(C.geo(spark, d), 9000, 10000, hidden=hidden).select("asset_id", "lat", "lon", "source_id")
+
+
+@query(with_tables("geo", "SELECT asset_id, lat, lon FROM geo WHERE lat IS NOT NULL AND source_id = 7"))
+def map_points_of_source(spark, d):
+    """Points of one source with the hidden ones unlocked."""
+    return A.map_points(C.geo(spark, d), source_id=7).select("asset_id", "lat", "lon")
 
 
 @query(with_tables("geo", "SELECT CAST(floor(lon / 0.5) AS BIGINT) AS gx, CAST(floor(lat / 0.5) AS BIGINT) AS gy, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM geo WHERE lat IS NOT NULL GROUP BY 1, 2"))

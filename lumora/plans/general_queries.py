@@ -15,8 +15,9 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def _event_stream(spark, d):
+    """A stream over the table's own files, whether it is one file (a stream wants a folder, so a glob names it) or a folder of them."""
     e = load(spark, d, "events")
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _batch(spark, d):

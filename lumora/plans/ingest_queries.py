@@ -74,16 +74,101 @@ def pairs_live(spark, d):
 
 
 @query(
-    """WITH p AS (SELECT '/b/' || (l_suppkey % 5) || '/IMG_' || CASE WHEN l_linenumber = 1 THEN 'E' ELSE '' END || l_orderkey || CASE WHEN l_linenumber = 2 THEN '.JPG' ELSE '.heic' END AS path FROM lineitem),
-q AS (SELECT DISTINCT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, regexp_extract(path, 'IMG_E?([0-9]+)', 1) AS number FROM p)
-SELECT folder, number, count(*) AS n FROM q GROUP BY 1, 2 HAVING count(*) >= 3 OR (count(*) > 1 AND bool_or(path LIKE '%IMG_E%'))"""
+    """WITH p AS (SELECT DISTINCT '/b/' || (l_suppkey % 5) || '/IMG_' || CASE WHEN l_linenumber = 1 THEN 'E' ELSE '' END || l_orderkey || CASE WHEN l_linenumber = 2 THEN '.JPG' WHEN l_linenumber = 6 THEN '.png' ELSE '.heic' END AS path FROM lineitem),
+q AS (SELECT path, regexp_extract(path, 'IMG_E?([0-9]+)', 1) AS number FROM p WHERE path NOT LIKE '%.png')
+SELECT number, count(*) AS n FROM q GROUP BY 1 HAVING count(*) >= 3 OR (count(*) > 1 AND bool_or(path LIKE '%IMG_E%'))"""
 )
 def bursts(spark, d):
     n = F.col("l_linenumber")
     path = F.concat(
-        F.lit("/b/"), (F.col("l_suppkey") % 5).cast("string"), F.lit("/IMG_"), F.when(n == 1, "E").otherwise(""), F.col("l_orderkey").cast("string"), F.when(n == 2, ".JPG").otherwise(".heic")
+        F.lit("/b/"), (F.col("l_suppkey") % 5).cast("string"), F.lit("/IMG_"), F.when(n == 1, "E").otherwise(""), F.col("l_orderkey").cast("string"), F.when(n == 2, ".JPG").when(n == 6, ".png").otherwise(".heic")
     )
-    return I.bursts(load(spark, d, "lineitem").select(path.alias("path")).distinct()).select("folder", "number", "n")
+    return I.bursts(load(spark, d, "lineitem").select(path.alias("path")).distinct()).select("number", "n")
+
+
+EXTENSIONS = "jpg JPEG png heic heif webp bmp gif tif tiff mp4 mov m4v mkv webm cr2 cr3 nef arw dng raf orf rw2 avif txt svg".split()
+EXT_SQL = "['" + "', '".join(EXTENSIONS) + "']"
+
+
+@query(
+    f"""WITH p AS (SELECT event_id, '/a/' || CASE WHEN event_id % 31 = 0 THEN '.' ELSE '' END || 'f' || event_id || '.' || {EXT_SQL}[1 + event_id % {len(EXTENSIONS)}] AS path, lower({EXT_SQL}[1 + event_id % {len(EXTENSIONS)}]) AS ext FROM events)
+SELECT event_id, event_id % 31 <> 0 AND ext NOT IN ('avif', 'txt', 'svg') AS candidate, ext IN ('cr2', 'cr3', 'nef', 'arw', 'dng', 'raf', 'orf', 'rw2') AS raw,
+CASE WHEN ext IN ('jpg', 'jpeg') THEN 'image/jpeg' WHEN ext IN ('png', 'gif', 'webp') THEN 'image/' || ext WHEN ext IN ('heic', 'heif') THEN 'image/heic' WHEN ext IN ('tif', 'tiff') THEN 'image/tiff'
+WHEN ext IN ('mp4', 'm4v') THEN 'video/mp4' WHEN ext = 'mov' THEN 'video/quicktime' WHEN ext = 'mkv' THEN 'video/x-matroska' WHEN ext = 'webm' THEN 'video/webm' ELSE 'application/octet-stream' END AS mime FROM p"""
+)
+def file_kinds(spark, d):
+    """Every extension: taken in or not, raw or not, and its media type."""
+    ext = F.get(F.array(*map(F.lit, EXTENSIONS)), (F.col("event_id") % len(EXTENSIONS)).cast("int"))
+    path = F.concat(F.lit("/a/"), F.when(F.col("event_id") % 31 == 0, ".").otherwise(""), F.lit("f"), F.col("event_id").cast("string"), F.lit("."), ext)
+    e = load(spark, d, "events").select("event_id", path.alias("path"))
+    p = F.col("path")
+    return e.select("event_id", I.is_candidate(p).alias("candidate"), I.is_raw(p).alias("raw"), I.mime_by_extension(p).alias("mime"))
+
+
+@query("SELECT count(*) AS n, sum(strlen(text)) AS bytes FROM documents")
+def scan_totals(spark, d):
+    """Files of a scan and their bytes."""
+    return load(spark, d, "documents").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+@query(
+    """SELECT doc_id, '/m/' || doc_id || '.jpg.xmp' AS side, CASE WHEN doc_id % 3 = 0 THEN nullif(trim(split_part(text, chr(10), 1)), '') END AS title, doc_id % 3 = 0 AS has_xmp FROM documents"""
+)
+def sidecar_beside(spark, d):
+    """The XMP that lies beside a file, found by its path and read."""
+    docs = load(spark, d, "documents").select("doc_id", F.concat(F.lit("/m/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"), F.trim(F.split("text", "\n")[0]).alias("t"))
+    none = F.lit(None).cast("string")
+    files = docs.where("doc_id % 3 = 0").select(I.sidecar_path(F.col("path")).alias("path"), I.render_sidecar(F.col("t"), none, F.array().cast("array<string>")).alias("text"))
+    out = I.with_sidecar(docs, files).withColumn("s", I.sidecar(F.col("xmp")))
+    return out.select("doc_id", I.sidecar_path(F.col("path")).alias("side"), F.col("s.title").alias("title"), F.col("xmp").isNotNull().alias("has_xmp"))
+
+
+@query("SELECT event_id, '{\"mime\":\"' || event_type || '\",\"exif\":{\"user\":' || user_id || '}' || CASE WHEN event_id % 2 = 0 THEN ',\"sidecar\":{\"id\":' || event_id || '}' ELSE '' END || '}' AS record FROM events")
+def exif_records(spark, d):
+    e = load(spark, d, "events")
+    side = F.when(F.col("event_id") % 2 == 0, F.struct(F.col("event_id").alias("id")))
+    return e.select("event_id", I.merged_record(F.col("event_type"), F.struct(F.col("user_id").alias("user")), side).alias("record"))
+
+
+@query("SELECT event_id, event_type AS a, CAST(user_id AS VARCHAR) AS b, nullif(CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END, '') AS device FROM events")
+def exif_display(spark, d):
+    """Fields as a map by `ifd::tag`, the last of equal keys, and a quoted device name."""
+    field = lambda ifd, tag, v: F.struct(F.lit(ifd).alias("ifd"), F.lit(tag).alias("tag"), v.alias("value"))
+    fields = F.array(field(0, "Model", F.lit("old")), field(1, "Lens", F.col("user_id").cast("string")), field(0, "Model", F.col("event_type")))
+    shown = I.display_values(fields)
+    quoted = F.concat(F.lit('"'), F.when(F.col("event_id") % 4 == 0, "").otherwise(F.col("event_type")), F.lit('"'))
+    e = load(spark, d, "events").select("event_id", shown.alias("m"), I.unquoted(quoted).alias("device"))
+    return e.select("event_id", F.col("m")["0::Model"].alias("a"), F.col("m")["1::Lens"].alias("b"), "device")
+
+
+@query("SELECT o_orderkey AS id, substr(sha256('demo-keypath' || chr(31) || '/p/' || o_orderkey), 1, 32) AS path_key FROM orders")
+def path_keys(spark, d):
+    return load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), I.path_key(F.concat(F.lit("/p/"), F.col("o_orderkey").cast("string")), KEY).alias("path_key"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (doc_id % 13 <> 0) AS whole FROM documents")
+def stored_blobs_verified(spark, d):
+    """Stored contents read again; every thirteenth was damaged after its key was taken."""
+    docs = load(spark, d, "documents").select(I.content_key(F.col("text")).alias("hash"), F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("content"))
+    return I.verified(docs).agg(F.count("*").alias("n"), F.count_if("whole").alias("whole"))
+
+
+@query(
+    """WITH s AS (SELECT l_orderkey AS id, l_linenumber AS line, l_partkey % 4000 + 1 AS w, l_suppkey % 3000 + 1 AS h FROM lineitem)
+SELECT id, line, w, h, CAST(greatest(round(w * least(1.0, 1024.0::DOUBLE / greatest(w, h))), 1) AS INT) AS tw, CAST(greatest(round(h * least(1.0, 1024.0::DOUBLE / greatest(w, h))), 1) AS INT) AS th FROM s"""
+)
+def thumbnail_sizes(spark, d):
+    x = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 4000 + 1).alias("w"), (F.col("l_suppkey") % 3000 + 1).alias("h"))
+    x = x.withColumn("t", I.thumbnail_size(F.col("w"), F.col("h"), 1024))
+    return x.select("id", "line", "w", "h", F.col("t.width").alias("tw"), F.col("t.height").alias("th"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'cached' || doc_id ELSE sha256(text) END AS hash FROM documents WHERE doc_id % 5 = 0 OR sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 7 = 0)")
+def announced_blobs(spark, d):
+    docs = load(spark, d, "documents")
+    cached = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("cached"), F.col("doc_id").cast("string")))
+    assets = docs.select(F.col("doc_id").alias("id"), cached.alias("cached"), F.col("text").alias("content"))
+    return I.announced(assets, docs.where("doc_id % 7 = 0").select(I.content_key(F.col("text")).alias("hash")))
 
 
 @query("SELECT hash, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT sha256(text) AS hash, doc_id FROM documents) GROUP BY 1")

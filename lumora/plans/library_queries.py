@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumora.operators import library as L
-from lumora.plans.book import query
+from lumora.plans.book import ORACLES, QUERIES, query
 from lumora.session import load
 from lumora.sources import catalogue as C
 from lumora.sources.catalogue import with_tables
@@ -50,11 +50,21 @@ def album_page(spark, d):
     return L.page(C.asset(spark, d).join(own, "id"), (11000, 0)).select("id", "day")
 
 
-@query(with_tables("asset collection member", "SELECT id, day FROM asset JOIN member ON asset_id = id JOIN collection c ON c.id = collection_id WHERE collection_id = 3 AND c.kind = 'locked'").replace("SELECT id, day FROM asset", "SELECT asset.id, day FROM asset").replace("asset_id = id", "asset_id = asset.id"))
+@query(
+    with_tables(
+        "asset member",
+        f"""SELECT * FROM (SELECT 4 AS album, asset.id, day FROM asset JOIN member ON asset_id = asset.id WHERE collection_id = 4 AND 1 = 0 {FEED.replace(" id ", " asset.id ")} LIMIT 120)
+UNION ALL SELECT * FROM (SELECT 8 AS album, asset.id, day FROM asset JOIN member ON asset_id = asset.id WHERE collection_id = 8 {FEED.replace(" id ", " asset.id ")} LIMIT 120)""",
+    )
+)
 def album_page_locked(spark, d):
-    """A locked album shows an empty page, not an error."""
-    own = C.collection_member(spark, d).where("collection_id = 3").select(F.col("asset_id").alias("id"))
-    return C.asset(spark, d).join(own, "id").select("id", "day").limit(0)
+    """Two albums with a password, of which one is unlocked: the other shows an empty page, not an error."""
+    albums = C.collection(spark, d).where("id in (4, 8)").select(F.col("id").alias("album"), F.lit(True).alias("has_password"))
+    out = None
+    for album in (4, 8):
+        page = L.album_page(C.asset(spark, d), C.collection_member(spark, d), albums, album, unlocked={8}).select(F.lit(album).alias("album"), "id", "day")
+        out = page if out is None else out.unionByName(page)
+    return out
 
 
 @query(with_tables("asset collection member hidden", f"SELECT count(*) AS n FROM asset WHERE {NOT_HIDDEN}"))
@@ -152,15 +162,13 @@ def pets_list(spark, d):
 
 @query(with_tables("collection member", "SELECT c.id, c.kind, count(m.asset_id) AS n FROM collection c LEFT JOIN member m ON m.collection_id = c.id WHERE c.kind IN ('album', 'hidden_vault') GROUP BY 1, 2"))
 def album_counts(spark, d):
-    n = C.collection_member(spark, d).groupBy("collection_id").agg(F.count("*").alias("n"))
-    albums = C.collection(spark, d).where(F.col("kind").isin("album", "hidden_vault"))
-    return albums.join(n, albums["id"] == n["collection_id"], "left").select("id", "kind", F.coalesce("n", F.lit(0)).alias("n"))
+    return L.counted(C.collection(spark, d).where(F.col("kind").isin("album", "hidden_vault")), C.collection_member(spark, d)).select("id", "kind", "n")
 
 
-@query(with_tables("collection member", "SELECT c.id, c.name, count(*) AS n FROM collection c JOIN member m ON m.collection_id = c.id WHERE c.kind = 'trip' GROUP BY 1, 2"))
+@query(with_tables("collection member", "SELECT c.id, c.name, count(m.asset_id) AS n FROM collection c LEFT JOIN (SELECT * FROM member WHERE collection_id <> 7) m ON m.collection_id = c.id WHERE c.kind = 'trip' GROUP BY 1, 2"))
 def trip_collections(spark, d):
-    trips = C.collection(spark, d).where("kind = 'trip'").select(F.col("id").alias("collection_id"), "name")
-    return C.collection_member(spark, d).join(F.broadcast(trips), "collection_id").groupBy(F.col("collection_id").alias("id"), "name").agg(F.count("*").alias("n"))
+    """Trips and their numbers of members; one has lost all of them."""
+    return L.counted(C.collection(spark, d).where("kind = 'trip'"), C.collection_member(spark, d).where("collection_id <> 7")).select("id", "name", "n")
 
 
 @query(with_tables("face", "SELECT person_id, count(*) AS n FROM face GROUP BY 1"))
@@ -187,17 +195,15 @@ def person_best_face(spark, d):
     return L.best_face(C.face(spark, d), C.FACE_ORDER).select("person_id", "asset_id", "quality")
 
 
-@query(with_tables("face person", "SELECT f.asset_id, f.n, f.part, f.price, p.name FROM face f LEFT JOIN person p ON p.id = f.person_id WHERE f.asset_id < 200"))
+@query(with_tables("face person", "SELECT f.asset_id, f.n, f.part, f.price, p.name FROM face f LEFT JOIN person p ON p.id = f.person_id"))
 def asset_faces(spark, d):
+    """The faces of every asset, with the names of their persons."""
     p = C.person(spark, d).select(F.col("id").alias("person_id"), "name")
-    return C.face(spark, d).where("asset_id < 200").join(p, "person_id", "left").select("asset_id", "n", "part", "price", "name")
+    return C.face(spark, d).join(p, "person_id", "left").select("asset_id", "n", "part", "price", "name")
 
 
-@query()
-def asset_faces_all(spark, d):
-    """asset_faces over all assets; that one's SQL names some ids only."""
-    p = C.person(spark, d).select(F.col("id").alias("person_id"), "name")
-    return C.face(spark, d).join(p, "person_id", "left").select("asset_id", "n", "part", "price", "name")
+asset_faces_all = asset_faces
+QUERIES["asset_faces_all"], ORACLES["asset_faces_all"] = asset_faces, ORACLES["asset_faces"]
 
 
 @query(with_tables("face", "SELECT person_id, count(*) AS n FROM (SELECT CASE WHEN person_id = 2 THEN 1 WHEN person_id = 5 THEN NULL ELSE person_id END AS person_id FROM face) GROUP BY 1"))
@@ -314,12 +320,16 @@ def queue_enqueue(spark, d):
     return enqueued(_jobs(spark, d), wanted).select("kind", "asset_id", "state")
 
 
-@query("SELECT event_id, user_id FROM events WHERE value IS NULL OR value > 50 AND ts + INTERVAL 5 DAY > TIMESTAMP '2024-01-20'")
+NOW = 1_705_708_800
+
+
+@query(f"SELECT event_id, user_id FROM events WHERE value <= 50 OR epoch(ts) + 432000 > {NOW}")
 def live_links(spark, d):
-    """Links that have no expiry or are not past it at a pinned now."""
-    e = load(spark, d, "events")
-    live = F.col("value").isNull() | ((F.col("value") > 50) & (F.col("ts") + F.expr("interval 5 days") > F.lit("2024-01-20").cast("timestamp")))
-    return e.where(live).select("event_id", "user_id")
+    """Links that have no expiry or are before it at a pinned now."""
+    from lumora.operators import sharing
+
+    expires = F.when(F.col("value") > 50, F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 + 432000)
+    return sharing.live(load(spark, d, "events").where("value is not null").select("event_id", "user_id", expires.alias("expires")), NOW).select("event_id", "user_id")
 
 
 @query(
@@ -334,18 +344,9 @@ def incoming_share_state(spark, d):
     return out.select("peer", F.coalesce("event_type", F.lit("")).alias("share"), F.when(F.col("user_id").isNull(), "pending").otherwise("accepted").alias("state"))
 
 
-@query(with_tables("asset", "SELECT id, day, 1 + (row_number() OVER (" + FEED + ") - 1) // 5 AS row_no FROM asset WHERE source_id <= 40"))
+@query(with_tables("asset", "SELECT id, day, 1 + (row_number() OVER (" + FEED + ") - 1) // 5 AS row_no FROM asset"))
 def timeline_rows_packed(spark, d):
-    """Five items a display row; a window over a few sources' rows only."""
-    from pyspark.sql import Window
-
-    r = F.row_number().over(Window.orderBy(*L.newest_first()))
-    return C.asset(spark, d).where("source_id <= 40").select("id", "day", (F.floor((r - 1) / 5) + 1).alias("row_no"))
-
-
-@query()
-def timeline_rows_packed_all(spark, d):
-    """timeline_rows_packed over all sources: rows are numbered in range partitions, with the counts of those before as offsets."""
+    """Five items a display row: rows are numbered in range partitions, with the counts of those before as offsets."""
     from pyspark.sql import Window
 
     from lumora.session import settle
@@ -358,6 +359,10 @@ def timeline_rows_packed_all(spark, d):
     return dealt.join(F.broadcast(sizes), "part").select("id", "day", (F.floor((F.col("offset") + F.col("at")) / 5) + 1).alias("row_no"))
 
 
+timeline_rows_packed_all = timeline_rows_packed
+QUERIES["timeline_rows_packed_all"], ORACLES["timeline_rows_packed_all"] = timeline_rows_packed, ORACLES["timeline_rows_packed"]
+
+
 @query(
     with_tables(
         "asset",
