@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumora.functions import cities
@@ -128,17 +129,47 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.asin(F.sqrt(F.least(a, F.lit(1.0)))) * (2 * KM)
 
 
-def nearest_city(lat: Column, lon: Column, max_km: float = 500.0) -> Column:
+CITY = "array<struct<lat:double,lon:double,city:string,region:string,country:string,people:int>>"
+CELL = 5  # degrees; half the diagonal of a cell is 394 km at most
+
+
+def _cities(rows) -> str:
+    return json.dumps([dict(zip(("lat", "lon", "city", "region", "country", "people"), r)) for r in rows])
+
+
+def city_cell(lat: Column, lon: Column) -> Column:
+    return F.floor(lat / CELL) * 1000 + F.floor(lon / CELL)
+
+
+def cities_by_cell(spark, max_km: float = 500.0) -> DataFrame:
+    """(cell, near): for every cell of CELL degrees its cities in the order of the table, without those too far to matter.
+
+    A city more than ten kilometres beyond max_km never takes over from one within it, and one within it always takes over.
+    A few thousand rows, whatever the data.
+    """
+
+    def km(a: float, b: float, c: float, d: float) -> float:
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * KM * math.asin(math.sqrt(min(1.0, h)))
+
+    rows = list(cities.rows())
+    out = []
+    for y in range(-90 // CELL, 90 // CELL + 1):
+        for x in range(-180 // CELL, 180 // CELL + 1):
+            mid = (y + 0.5) * CELL, (x + 0.5) * CELL
+            out.append((y * 1000 + x, _cities(r for r in rows if km(*mid, r[0], r[1]) <= max_km + 10 + 400)))
+    return spark.createDataFrame(out, "cell long, near string").select("cell", F.from_json("near", CITY).alias("near"))
+
+
+def nearest_city(lat: Column, lon: Column, max_km: float = 500.0, table: Column | None = None) -> Column:
     """struct(city, region, country) by an ordered fold over the city table, or null beyond max_km.
 
     A later city takes over where it is half a kilometre nearer, or where it has more people and is at most ten
-    kilometres farther. The order of the table matters, so this is not a minimum.
+    kilometres farther. The order of the table matters, so this is not a minimum. table: the cities of the place's cell, if
+    they were looked up; null means all.
     """
-    names = ("lat", "lon", "city", "region", "country", "people")
-    table = F.from_json(
-        F.lit(json.dumps([dict(zip(names, r)) for r in cities.rows()])),
-        "array<struct<lat:double,lon:double,city:string,region:string,country:string,people:int>>",
-    )
+    every = F.from_json(F.lit(_cities(cities.rows())), CITY)
+    table = every if table is None else F.coalesce(table, every)
     none = "struct<d:double,city:string,region:string,country:string,people:int>"
     start = F.lit(None).cast(none)
 

@@ -60,7 +60,8 @@ def person_years(faces: DataFrame, assets: DataFrame, today: date, least: int =
 def named_points(points: DataFrame) -> DataFrame:
     """points(lat, lon) with place (city, region, country); coordinates are looked up once each."""
     spots = points.where("lat is not null and lon is not null").select("lat", "lon").distinct()
-    named = spots.withColumn("place", S.nearest_city(F.col("lat"), F.col("lon")))
+    met = spots.withColumn("cell", S.city_cell(F.col("lat"), F.col("lon"))).join(F.broadcast(S.cities_by_cell(points.sparkSession)), "cell", "left")
+    named = met.select("lat", "lon", S.nearest_city(F.col("lat"), F.col("lon"), table=F.col("near")).alias("place"))
     return points.join(named, ["lat", "lon"]).where("place is not null")
 
 

@@ -1,5 +1,6 @@
 """Operators on small literals whose results are known by hand."""
 
+import random
 from datetime import date
 
 import numpy as np
@@ -271,3 +272,18 @@ def test_sql_functions(spark):
     S.register(spark)
     r = spark.sql("select hamming64(5, 6) as h, round(haversine_km(0, 0, 0, 1), 2) as km, tokenize('B a, b') as t").first()
     assert (r["h"], r["km"], r["t"]) == (2, 111.19, ["a", "b"])
+
+
+def test_cities_of_a_cell_are_enough(spark):
+    """The fold over a cell's cities gives what the fold over the whole table gives, near cities, at their edges and at the poles."""
+    from lumora.functions import cities
+    from lumora.operators import analytics as A
+
+    rng = random.Random(4)
+    spots = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(300)] + [(90.0, 180.0), (-90.0, -180.0), (0.0, 179.999)]
+    for lat, lon, *_ in cities.rows():
+        spots += [(max(-90.0, min(90.0, lat + rng.uniform(-6, 6))), max(-180.0, min(180.0, lon + rng.uniform(-8, 8)))) for _ in range(6)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "asset_id long, lat double, lon double")
+    want = {r[0]: r[1] for r in points.select("asset_id", S.nearest_city(F.col("lat"), F.col("lon")).alias("p")).collect()}
+    got = {r["asset_id"]: r["place"] for r in A.named_points(points).collect()}
+    assert got == {k: v for k, v in want.items() if v is not None} and len(got) > 200
