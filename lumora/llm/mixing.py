@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumora.session import settle
+
 PIECE = 500.0  # a larger mean is drawn as a sum of independent draws of at most this mean
 FEW = 10_000
+SALTS = 256
 
 
 def poisson_count(rate: Column, seed: int, *key: Column) -> Column:
@@ -56,6 +59,25 @@ def source_rates(df: DataFrame, source_col: str, text_col: str, weights: dict[st
     return sums.join(F.broadcast(total)).select("source", rate.alias("rate"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows(id, content, ...) with at: 0, or different numbers for rows that repeat an id and content.
+
+    Only repeated rows are shuffled, and salted, so that one that makes up much of the table is numbered in many tasks.
+    They are alike, so it doesn't matter which of them gets which number.
+    """
+    again = settle(rows.groupBy("id", "content").agg(F.count("*").alias("n")).where("n > 1").select("id", "content"))
+    many = again.count()
+    if not many:
+        return rows.withColumn("at", F.lit(0).cast("long"))
+    mark = again.select(F.col("id").alias("id2"), F.col("content").alias("content2"), F.lit(True).alias("repeated"))
+    same = F.col("id").eqNullSafe(F.col("id2")) & F.col("content").eqNullSafe(F.col("content2"))
+    met = rows.join(F.broadcast(mark) if many <= FEW else mark, same, "left").drop("id2", "content2")
+    by = Window.partitionBy("id", "content", "salt").orderBy("salt")
+    salted = met.where("repeated").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    number = (F.row_number().over(by) * SALTS + F.col("salt")).cast("long")
+    return met.where("repeated is null").withColumn("at", F.lit(0).cast("long")).unionByName(salted.withColumn("at", number).drop("salt")).drop("repeated")
+
+
 def mix(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -71,26 +93,32 @@ def mix(
     """Every row as often as its Poisson count says, in a global order by hash. Only DataFrame functions.
 
     Returns df's columns and copy (from 0) and mix_key (long, ascending over the whole result); columns of df with
-    these two names give way. A row's count depends on its id and seed alone, with its source's rate as the
-    mean. Null ids and repeated rows draw like any other (equal ids draw alike); null and empty texts weigh no bytes but
-    are repeated at their source's rate; an empty table gives no rows. The sort deals rows by a hash of
-    (seed, id, copy), so a source that holds most rows is spread like any other.
+    these two names give way, all other names are free. A row's count depends on its id and seed alone, with its source's rate as
+    the mean. Rows without an id draw by their text and source, and rows that repeat each draw for themselves. Null and empty texts weigh
+    no bytes but are repeated at their source's rate; a very long text weighs all its bytes; rows that tie in mix_key come in any order;
+    an empty table gives no rows. The sort deals rows by a hash of all that tells them apart, so a source, an id or a text that holds
+    most rows is spread like any other.
     """
-    rates = source_rates(df, source_col, text_col, weights, power, volume).select(
-        F.col("source").alias("__source"), F.col("rate").alias("__rate")
-    )
+    name = lambda c: F.col(f"`{c}`")
+    kept = [c for c in df.columns if c not in (copy_name, order_name)]
+    # the given columns travel in one struct, so none of them can clash with the names below
+    rows = df.select(
+        F.struct(*map(name, kept)).alias("row"), name(id_col).alias("id"), name(source_col).alias("source"), name(text_col).alias("text"),
+        F.when(name(id_col).isNull(), F.xxhash64(F.coalesce(name(text_col), F.lit("")), F.coalesce(name(source_col).cast("string"), F.lit("")))).alias("content"),
+    )
+    rates = source_rates(rows, "source", "text", weights, power, volume).select(F.col("source").alias("source2"), "rate")
     if rates.count() <= FEW:
         rates = F.broadcast(rates)  # counted: few sources; more of them meet in a plain join
-    kept = [c for c in df.columns if c not in (copy_name, order_name)]
-    met = df.select(*(F.col(f"`{c}`") for c in kept)).join(rates, F.col(source_col).eqNullSafe(F.col("__source")))
-    count = poisson_count(F.col("__rate"), seed, F.col(id_col))
+    met = _numbered(rows.drop("text")).join(rates, F.col("source").eqNullSafe(F.col("source2")))
+    told = ["id", "content", "at"]
     out = (
-        met.withColumn("__n", count)
-        .where("__n > 0")
-        .withColumn(copy_name, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-        .withColumn(order_name, F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col(copy_name)))
+        met.withColumn("n", poisson_count(F.col("rate"), seed, *told))
+        .where("n > 0")
+        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        .withColumn("order", F.xxhash64(F.lit(seed + 1), *told, "copy"))
+        .orderBy("order")
     )
-    return out.select(*(f"`{c}`" for c in kept), copy_name, order_name).orderBy(order_name)
+    return out.select("row.*", F.col("copy").alias(copy_name), F.col("order").alias(order_name))
 
 
 def exact_poisson(u: float, rate: float) -> int:

@@ -228,13 +228,51 @@ def test_mix_reaches_the_targets(spark, sf):
     got = mixing.mix(docs, weights={"src0": 3.0, "src1": 1.0}, volume=0.5)
     assert got.columns == [*docs.columns, "copy", "mix_key"]
     by = {r["source"]: r["b"] for r in got.groupBy("source").agg(quality.F.sum(quality.F.octet_length("text")).alias("b")).collect()}
-    assert set(by) == {"src0", "src1"} and 2.0 < by["src0"] / by["src1"] < 4.5
+    assert set(by) == {"src0", "src1"}
+    sizes = defaultdict(list)
+    for r in docs.select("source", quality.F.octet_length("text").alias("b")).collect():
+        sizes[r["source"]].append(r["b"])
+    total = sum(map(sum, sizes.values()))
+    for source, share in (("src0", 0.75), ("src1", 0.25)):  # within three standard deviations of a Poisson sum
+        target = share * 0.5 * total
+        rate = target / sum(sizes[source])
+        assert abs(by[source] - target) < 3 * (rate * sum(b * b for b in sizes[source])) ** 0.5
     keys = [r["mix_key"] for r in got.select("mix_key").collect()]
     assert keys == sorted(keys)
     rows = mixing.mix(odd(spark), power=1.0).collect()
     assert all(r["copy"] >= 0 for r in rows) and mixing.mix(odd(spark).limit(0)).count() == 0
 
 
+def test_mix_counts_by_plain_arithmetic(spark, sf):
+    """Every row's repeats and place in the order, from the rates of its source and the hashes, computed in plain Python."""
+    F = quality.F
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    size, want = defaultdict(int), {}
+    rows = docs.select("*", (F.shiftrightunsigned(F.xxhash64(F.lit(17), F.lit(1), "doc_id", F.lit(0).cast("long")), 11)).alias("u")).collect()
+    for r in rows:
+        size[r["source"]] += len(r["text"].encode())
+    root = {s: b**0.5 for s, b in size.items()}
+    for r in rows:
+        s = r["source"]
+        rate = root[s] / sum(root.values()) * sum(size.values()) / size[s]
+        n = mixing.exact_poisson((r["u"] + 0.5) / (1 << 53), rate)
+        if n:
+            want[r["doc_id"]] = n
+    got = mixing.mix(docs).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in got} == want
+
+
+def test_rows_without_ids_and_repeated_rows_draw_for_themselves(spark):
+    F = quality.F
+    rows = [(None, "same text", "a", 5, 6, 7)] * 4000 + [(None, f"text {k}", "a", 5, 6, 7) for k in range(2000)] + [(9, "x", "a", 5, 6, 7)] * 1000
+    names = "doc_id long, text string, source string, __n int, rate int, row int"
+    got = mixing.mix(spark.createDataFrame(rows, names), power=1.0).withColumn("kind", F.when(F.col("text").startswith("text"), "other").otherwise(F.col("text")))
+    n = {r["kind"]: r["count"] for r in got.groupBy("kind").count().collect()}
+    assert abs(n["same text"] - 4000) < 300 and abs(n["other"] - 2000) < 200 and abs(n["x"] - 1000) < 150
+    assert got.select("__n", "rate", "row").distinct().collect() == [(5, 6, 7)]
+    assert got.select("mix_key").distinct().count() == got.count()
+
+
 def test_url_parts_and_rules(spark):
     F = quality.F
     rows = [
