@@ -29,7 +29,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 
-def url_sql(rules: dict[str, str], rounds: int = 12, damping: float = 0.85, threshold: float = 0.5) -> str:
+def url_sql(rules: dict[str, str], rounds: int, damping: float = 0.85, threshold: float = 0.5) -> str:
     """op1: rules, then the ranks round by round over the graph of hosts. Pages' links must be relative or absolute with a scheme."""
     tests = []
     for rule in sorted(rules, key=len, reverse=True):
@@ -40,7 +40,7 @@ def url_sql(rules: dict[str, str], rounds: int = 12, damping: float = 0.85, thre
     for k in range(1, rounds + 1):
         steps += f""", r{k} AS (SELECT host, sum(good) AS good, sum(bad) AS bad FROM (
 SELECT f.dst AS host, r.good * f.fg * {damping} AS good, r.bad * f.fb * {damping} AS bad FROM r{k - 1} r JOIN flows f ON f.src = r.host
-UNION ALL SELECT host, good * (1 - {damping}), bad * (1 - {damping}) FROM r0) GROUP BY 1)"""
+UNION ALL SELECT host, good, bad FROM r0) GROUP BY 1)"""
     return rf"""
 WITH u AS (SELECT page_id, html, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
@@ -53,7 +53,8 @@ flows AS (SELECT src, dst, sum(fg) AS fg, sum(fb) AS fb FROM (SELECT src, dst, w
 UNION ALL SELECT dst, src, 0.0::DOUBLE, w / sum(w) OVER (PARTITION BY dst) FROM edges) GROUP BY 1, 2),
 per AS (SELECT host, count(*) AS n, count(*) FILTER ({told} = 'allow') AS yes, count(*) FILTER ({told} = 'block') AS no FROM p WHERE host <> '' GROUP BY 1),
 seeds AS (SELECT host, CASE WHEN yes > 0 AND NOT 2 * no > n THEN n ELSE 0 END::DOUBLE AS good, CASE WHEN 2 * no > n THEN n ELSE 0 END::DOUBLE AS bad FROM per),
-r0 AS (SELECT host, coalesce(good / nullif(sum(good) OVER (), 0), 0) AS good, coalesce(bad / nullif(sum(bad) OVER (), 0), 0) AS bad FROM seeds){steps}
+r0 AS (SELECT host, coalesce(good / nullif(sum(good) OVER (), 0), 0) AS good, coalesce(bad / nullif(sum(bad) OVER (), 0), 0) AS bad FROM seeds){steps},
+z AS (SELECT host, coalesce(good / nullif(sum(good) OVER (), 0), 0) AS good, coalesce(bad / nullif(sum(bad) OVER (), 0), 0) AS bad FROM r{rounds})
 SELECT page_id, p.host AS host, path, rule, coalesce({told}, CASE WHEN bad / nullif(good + bad, 0) > {threshold} THEN 'block' ELSE 'allow' END) AS verdict,
-round(coalesce(good, 0), 8) AS trust, round(coalesce(bad, 0), 8) AS distrust FROM p LEFT JOIN r{rounds} r ON r.host = p.host
+round(coalesce(good, 0), 8) AS trust, round(coalesce(bad, 0), 8) AS distrust FROM p LEFT JOIN z r ON r.host = p.host
 """

@@ -111,4 +111,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_trust, op2_sharding, op3_simhash, op4_media, op5_quality, op6_surrogates, op7_token_counts, op8_packing, op9_lm_scoring, op10_mixing)}
-ORACLES: dict[str, str] = {"op1_url_trust": oracles.url_sql(URL_RULES), "op5_quality": oracles.quality_sql()}
+ORACLES: dict[str, str] = {"op1_url_trust": oracles.url_sql(URL_RULES, url_trust.rounds_for(1e-4, 0.85)), "op5_quality": oracles.quality_sql()}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumora.session import settle
+from lumora.session import discard, settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
@@ -69,12 +71,18 @@ def host_edges(pages: DataFrame, host: str, html: str, parent_weight: float) ->
     return edges
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, cut_every: int = 6) -> DataFrame:
+def rounds_for(tolerance: float, damping: float) -> int:
+    """Rounds after which less than tolerance of the rank is undelivered, whatever the graph: each round leaves damping of it."""
+    return max(1, math.ceil(math.log(tolerance) / math.log(damping)))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, cut_every: int = 6) -> DataFrame:
     """(host, trust, distrust): personalised PageRank of edges(src, dst, w) from seeds(host, good, bad).
 
     Trust starts from the good seeds and follows links; distrust starts from the bad ones and follows them back.
-    Both spread in the same join and sum, rounds times (what is left then is below damping ** rounds). Rank that
-    reaches a host without links ends there. Seed columns are scaled to sum 1; all-zero seeds give zero ranks.
+    Both spread in the same join and sum, until less than tolerance of the rank can still be undelivered. Rank that
+    reaches a host without links goes back to the seeds: that only scales all ranks, so each column is scaled to sum 1 at
+    the end. All-zero seeds give zero ranks.
     """
     outs = edges.groupBy(F.col("src").alias("h")).agg(F.sum("w").alias("total"))
     ins = edges.groupBy(F.col("dst").alias("h")).agg(F.sum("w").alias("total"))
@@ -83,26 +91,29 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
         F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("good"), (F.col("w") / F.col("total")).alias("bad")
     )
     flows = settle(ahead.unionByName(back).groupBy("src", "dst").agg(F.sum("good").alias("fg"), F.sum("bad").alias("fb")))
-    sums = seeds.agg(F.sum("good").alias("sg"), F.sum("bad").alias("sb"))
-    start = settle(
-        seeds.join(F.broadcast(sums)).select(
-            "host",
-            F.when(F.col("sg") > 0, F.col("good") / F.col("sg")).otherwise(0.0).alias("good"),
-            F.when(F.col("sb") > 0, F.col("bad") / F.col("sb")).otherwise(0.0).alias("bad"),
-        ).where("good > 0 or bad > 0")
-    )
-    jump = start.select("host", (F.col("good") * (1 - damping)).alias("good"), (F.col("bad") * (1 - damping)).alias("bad"))
-    now = start
-    for k in range(1, rounds + 1):
+    # most hosts' ranks are spread by few sources at first; the join's sides are aggregated, one row a host and an edge
+    start = settle(scaled(seeds).where("good > 0 or bad > 0"))
+    now, used = start, []
+    for k in range(1, rounds_for(tolerance, damping) + 1):
         moved = now.join(flows, now["host"] == flows["src"]).select(
             F.col("dst").alias("host"),
             (F.col("good") * F.col("fg") * damping).alias("good"),
             (F.col("bad") * F.col("fb") * damping).alias("bad"),
         )
-        now = moved.unionByName(jump).groupBy("host").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-        if k % cut_every == 0 and k < rounds:
+        now = moved.unionByName(start).groupBy("host").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        if k % cut_every == 0:
             now = settle(now)
-    return now.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
+            used.append(now)
+    out = settle(scaled(now).select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust")))
+    discard(flows, start, *used)
+    return out
+
+
+def scaled(ranks: DataFrame) -> DataFrame:
+    """ranks(host, good, bad) with both columns divided by their sums; a column without any stays 0."""
+    sums = ranks.agg(F.sum("good").alias("sg"), F.sum("bad").alias("sb"))
+    part = lambda x, total: F.when(F.col(total) > 0, F.col(x) / F.col(total)).otherwise(0.0).alias(x)
+    return ranks.join(F.broadcast(sums)).select("host", part("good", "sg"), part("bad", "sb"))
 
 
 def judge_urls(
@@ -116,15 +127,18 @@ def judge_urls(
     parent_weight: float = 1.0,
     threshold: float = 0.5,
     damping: float = 0.85,
-    rounds: int = 12,
+    tolerance: float = 1e-4,
+    few: int = 1_000_000,
 ) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, trust, distrust.
 
     A fitting rule decides. Else the host does: it is blocked where its share of distrust in trust plus distrust
-    is above threshold; a host that neither reaches is allowed. Seeds: the named hosts, hosts of which rules
+    is above threshold (at it, it is allowed); a host that neither reaches is allowed. Seeds: the named hosts, hosts of which rules
     block more than half of the pages (bad), and other hosts with pages that rules allow (good).
     Null urls and urls without :// have empty host and path, take no part in the graph and are allowed; null html has no links.
-    Repeated rows are judged alike; an empty table gives no rows; other columns are not read.
+    Repeated rows are judged alike, and a page that repeats a link counts it once; very long html is searched whole; an empty table gives no
+    rows; other columns are not read, whatever their names. Ranks of up to `few` hosts are broadcast to the pages, so that
+    the pages of a large host stay where they are; more meet them in a join whose large partitions are split at run time.
     """
     seen = pages.select(
         F.col(id_col).alias("id"),
@@ -140,9 +154,10 @@ def judge_urls(
     bad = (2 * F.col("no") > F.col("n")) | F.col("host").isin(list(blocked))
     good = F.col("host").isin(list(trusted)) | ((F.col("yes") > 0) & ~bad)
     seeds = per_host.select("host", F.when(good, F.col("n")).otherwise(0).cast("double").alias("good"), F.when(bad, F.col("n")).otherwise(0).cast("double").alias("bad"))
-    ranks = propagate(settle(host_edges(seen, "host", "html", parent_weight)), seeds, damping, rounds)
+    ranks = propagate(settle(host_edges(seen, "host", "html", parent_weight)), seeds, damping, tolerance)
     share = F.col("distrust") / (F.col("trust") + F.col("distrust"))
-    out = ruled.select("id", "host", "path", "rule").join(ranks, "host", "left")
+    near = F.broadcast(ranks) if ranks.count() <= few else ranks
+    out = ruled.select("id", "host", "path", "rule").join(near, "host", "left")
     return out.select(
         "id", "host", "path", "rule",
         F.coalesce(_verdict(F.col("rule"), rules), F.when(share > threshold, "block").otherwise("allow")).alias("verdict"),
