@@ -33,7 +33,7 @@ _PHONE = "|".join((
     rf"(?<![\w+])(?:\+\d{{1,3}}{_S}?(?:\(\d{{2,4}}\)|\d{{2,4}})|\(\d{{3}}\)){_S}?\d{{3,4}}{_S}\d{{3,4}}(?!\w)",
     r"(?<![\w+])\+[1-9]\d{6,14}(?!\w)",
     rf"(?<![\w+])(?=\+){_AREA}(?:(?:{_S}\d{{2}}){{3,4}}|{_S}?\d{{3}}{_S}\d{{2}}{_S}\d{{2}}|{_S}\d{{4}}{_S}\d{{4}}|{_S}?\d{{4,9}})(?!\w)",
-    r"(?<![\w+.-])(?:1[.-])?[2-9]\d\d(?:-[2-9]\d\d-|\.[2-9]\d\d\.| [2-9]\d\d )\d{4}(?!\w|[.-]\d)",
+    r"(?<![\w+.-])(?:1[.-])?[2-9]\d\d(?:-\d{3}-|\.\d{3}\.| [2-9]\d\d )\d{4}(?!\w|[.-]\d)",
 ))
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
@@ -50,6 +50,7 @@ ENTITY = "|".join(PATTERNS.values())
 # what a text must hold for any of the patterns to fit; tested first, as most texts hold none of it
 HINT = rf"[0-9@]|(?=\p{{Lu}})\b(?:{_TITLE})\.? \p{{Lu}}"
 HINT_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
+HINT_KEYS = ("AKIA", "ASIA")
 # fixed values: given names by script and gender, and syllables of made-up family names by script
 GIVEN = {
     "latin": {
@@ -148,15 +149,18 @@ def _spelled(canon: Column, digest: Column, keep: Column) -> Column:
     return let(canon.rlike("^(?=.*[a-f])(?=.*[0-9])[0-9a-f]{12,}$"), one)
 
 
-def _name(canon: Column, gender: Column, digest: Column) -> Column:
-    """Family name of three syllables, after a given name of the gender if there were two words or more."""
+def _name(canon: Column, gender: Column, digest: Column, attempt: Column) -> Column:
+    """Family name of three syllables, and one more for each attempt, after a given name of the gender if there were two
+    words or more. So the names never run out: each attempt has a dozen times as many as the one before."""
+
     def of(script: str) -> Column:
         syllables, m, f = FAMILY[script].split(), GIVEN[script]["m"].split(), GIVEN[script]["f"].split()
 
         def one(words: list[str], i: int) -> Column:
             return F.element_at(F.array(*map(F.lit, words)), _draw(digest, F.lit(i), len(words)) + 1)
 
-        family = F.concat(*(one(syllables, i) for i in range(3)))
+        more = F.transform(F.sequence(F.lit(0), attempt), lambda i: F.when(i > 0, F.element_at(F.array(*map(F.lit, syllables)), _draw(digest, i + 10, len(syllables)) + 1)).otherwise(""))
+        family = F.concat(*(one(syllables, i) for i in range(3)), F.array_join(more, ""))
         first = F.when(gender == "m", one(m, 9)).when(gender == "f", one(f, 9)).otherwise(one(m + f, 9))
         return F.lower(F.when(canon.contains(" "), F.concat_ws(" ", first, family)).otherwise(family))
 
@@ -173,7 +177,9 @@ def surrogate(key: str, kind: Column, canon: Column, gender: Column, attempt: Co
             top = F.substring_index(domain, ".", -1)
             head = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
             whole = let(_digest(key, F.lit("domain"), domain, none), lambda d: _spelled(head, d, none))
-            return F.concat(_spelled(F.substring_index(canon, "@", 1), digest, none), F.lit("@"), whole, top)
+            # a letter more for every attempt after the second, as short names before the @ run out
+            longer = F.array_join(F.transform(F.sequence(F.lit(0), attempt), lambda i: F.when(i > 2, F.substring(F.lit(LOWER), _draw(digest, 60 - i, 26) + 1, F.lit(1))).otherwise("")), "")
+            return F.concat(_spelled(F.substring_index(canon, "@", 1), digest, none), longer, F.lit("@"), whole, top)
 
         octets = F.transform(F.split(canon, r"\."), lambda _, i: (_draw(digest, i, 254) + 1).cast("string"))
         stay = F.when(kind.isin("card", "phone"), 1).when(kind == "iban", 2).when(kind == "key", 4).otherwise(0)
@@ -186,7 +192,7 @@ def surrogate(key: str, kind: Column, canon: Column, gender: Column, attempt: Co
             F.when(kind == "email", let(F.substring_index(canon, "@", -1), email))
             .when(kind == "ip", F.array_join(octets, "."))
             .when(kind == "card", card)
-            .when(kind == "name", _name(canon, gender, digest))
+            .when(kind == "name", _name(canon, gender, digest, attempt))
             .otherwise(plain)
         )
 
@@ -202,6 +208,7 @@ def rendered(kind: Column, value: Column, other: Column) -> Column:
         return F.when(c.rlike(plain), c).otherwise(F.substring(other, at, F.lit(1)))
 
     spread = F.array_join(F.transform(F.split(value, ""), one), "")
+    same = F.length(value) == F.length(other)
     mailed = F.array_join(
         F.transform(
             F.split(value, ""),
@@ -211,7 +218,7 @@ def rendered(kind: Column, value: Column, other: Column) -> Column:
     )
     named = F.when((F.upper(value) == value) & (F.length(value) > 1), F.upper(other)).otherwise(F.initcap(other))
     return (
-        F.when(kind == "email", mailed).when(kind == "name", named).when(kind.isin("phone", "card", "ssn", "iban"), spread).otherwise(other)
+        F.when((kind == "email") & same, mailed).when(kind == "email", other).when(kind == "name", named).when(kind.isin("phone", "card", "ssn", "iban"), spread).otherwise(other)
     )
 
 
@@ -241,7 +248,7 @@ def mentions(text: Column) -> Column:
 
     split = F.struct(F.split(text, ENTITY, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(ENTITY), 0).alias("values"))
     hinted = text.rlike(HINT) | F.lower(text).rlike("|".join(HINT_WORDS))
-    for word in HINT_WORDS:
+    for word in (*HINT_WORDS, *HINT_KEYS):
         hinted = text.contains(word) | hinted
     return F.when(hinted, let(split, of))
 
@@ -274,14 +281,17 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text", count_name: st
     Mentions of one entity get one surrogate in all texts, different entities different ones: the distinct
     entities are gathered (counted per task first, so a hot one costs a row) and checked for collisions; those that had
     to be drawn again are looked up, all others are computed where they stand. Up to `few` of them are broadcast, more
-    meet their texts in a join. Texts without entities pass unchanged; null and empty texts stay; no rows in an empty table; repeated
-    rows are treated alike. A number that fails the card checksum is left, and so is
-    a compact IBAN of odd length that fails its own.
+    meet their texts in a join on the text's digest. A family name after a title is the person whose whole name ends with it in the same
+    text, and a whole name found after a title is replaced in the same text where it stands without one (n_entities counts
+    what was detected, not these). Texts without entities pass unchanged; null and empty texts stay; very long texts are searched
+    whole; no rows in an empty table; repeated rows are treated alike; no other column can clash. A number that fails the card checksum is
+    left, and so is a compact IBAN of odd length that fails its own.
     """
-    text = F.col(f"`{text_col}`")
     own = [c for c in df.columns if c != count_name]
-    parsed = df.select(*(F.col(f"`{c}`") for c in own)).withColumn("__p", mentions(text))
-    only = parsed.select(F.explode("__p.found").alias("e")).where("e.kind <> 'number'")
+    text = F.col("text")
+    # the given columns travel in one struct, so none of them can clash with the names below
+    parsed = df.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col(f"`{text_col}`").alias("text")).withColumn("p", mentions(text))
+    only = parsed.select(F.explode("p.found").alias("e")).where("e.kind <> 'number'")
     # one entity, one gender: the one told most often, the first of equals
     told = only.groupBy("e.kind", "e.canon", "e.gender").agg(F.count("*").alias("n"))
     entities = told.groupBy("kind", "canon").agg(
@@ -289,28 +299,41 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text", count_name: st
     )
     drawn = collisions_settled(settle(entities), key)
     # what can't be computed in place: later attempts, and names, whose gender other mentions may tell
-    special = drawn.where("attempt > 0 or kind = 'name'").select(F.concat_ws("\x1f", "kind", "canon").alias("k"), "surrogate")
+    entity = lambda e: F.concat_ws("\x1f", e["kind"], e["canon"])
+    special = settle(drawn.where("attempt > 0 or kind = 'name'").select(F.concat_ws("\x1f", "kind", "canon").alias("k"), "surrogate"))
     if special.count() <= few:
-        table = special.agg(F.map_from_entries(F.collect_list(F.struct("k", "surrogate"))).alias("__known"))
-        parsed = parsed.join(F.broadcast(table))
+        parsed = parsed.join(F.broadcast(special.agg(F.map_from_entries(F.collect_list(F.struct("k", "surrogate"))).alias("known"))))
     else:
-        parsed = parsed.withColumn("__row", F.monotonically_increasing_id())
-        asked = parsed.select("__row", F.explode("__p.found").alias("e"))
-        asked = asked.select("__row", F.concat_ws("\x1f", "e.kind", "e.canon").alias("k")).distinct()
-        known = asked.join(special, "k").groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("k", "surrogate"))).alias("__known"))
-        parsed = parsed.join(known, "__row", "left")
+        asked = parsed.where("size(p.found) > 0").select(F.md5("text").alias("digest"), F.explode("p.found").alias("e"))
+        asked = asked.select("digest", entity(F.col("e")).alias("k")).distinct()
+        known = asked.join(special, "k").groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("k", "surrogate"))).alias("known"))
+        parsed = parsed.withColumn("digest", F.md5("text")).join(known, "digest", "left")
+    looked_up = lambda e: F.try_element_at("known", entity(e))
 
-    def replaced(e: Column) -> Column:
-        known = F.try_element_at("__known", F.concat_ws("\x1f", e["kind"], e["canon"]))
-        new = F.coalesce(known, surrogate(key, e["kind"], e["canon"], e["gender"], F.lit(0)))
-        return F.when(e["kind"] == "number", e["value"]).otherwise(let(new, lambda n: rendered(e["kind"], e["value"], n)))
+    def replaced(e: Column, p: Column) -> Column:
+        new = F.coalesce(looked_up(e), surrogate(key, e["kind"], e["canon"], e["gender"], F.lit(0)))
+        family = (e["kind"] == "name") & ~e["canon"].contains(" ")
+        of = F.when(family, F.get(F.filter(p["found"], lambda x: (x["kind"] == "name") & x["canon"].endswith(F.concat(F.lit(" "), e["canon"]))), F.lit(0)))
+        whole_name = let(of, lambda x: F.when(x.isNotNull(), F.substring_index(looked_up(x), " ", -1)))
+        return F.when(e["kind"] == "number", e["value"]).otherwise(let(F.coalesce(whole_name, new), lambda n: rendered(e["kind"], e["value"], n)))
 
-    def whole(p: Column) -> Column:
-        return F.array_join(F.flatten(F.zip_with(p["gaps"], F.transform(p["found"], replaced), lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))), "")
+    def bare(gap: Column, p: Column) -> Column:
+        """gap with the whole names that the text has after titles replaced."""
+        names = F.array_distinct(F.filter(p["found"], lambda x: (x["kind"] == "name") & x["canon"].contains(" ")))
 
-    count = F.coalesce(F.size(F.filter("__p.found", lambda e: e["kind"] != "number")), F.lit(0))
-    new = F.when(F.col("__p").isNull(), text).otherwise(let(F.col("__p"), whole))
-    return parsed.select(
-        *(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in own),
-        F.when(F.col("__p").isNull(), 0).otherwise(count).alias(count_name),
-    )
+        def one(g: Column, x: Column) -> Column:
+            there = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), x["value"], F.lit(r"(?![\p{L}\p{N}])"))  # letters, blanks and hyphens only
+            return F.when(F.contains(g, x["value"]), F.regexp_replace(g, there, rendered(x["kind"], x["value"], looked_up(x)))).otherwise(g)
+
+        return F.aggregate(names, gap, one)
+
+    def whole(p: Column) -> Column:
+        new = F.transform(p["found"], lambda e: replaced(e, p))
+        named = F.exists(p["found"], lambda x: (x["kind"] == "name") & x["canon"].contains(" "))
+        gaps = F.when(named, F.transform(p["gaps"], lambda g: bare(g, p))).otherwise(p["gaps"])
+        return F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))), "")
+
+    count = F.coalesce(F.size(F.filter("p.found", lambda e: e["kind"] != "number")), F.lit(0))
+    out = F.when(F.col("p").isNull(), text).otherwise(let(F.col("p"), whole))
+    done = parsed.select("row", out.alias("new"), F.when(F.col("p").isNull(), 0).otherwise(count).alias("n"))
+    return done.select(*(F.col("new").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in own), F.col("n").alias(count_name))
