@@ -201,6 +201,15 @@ def trips(points: DataFrame, eps_km: float = 50.0, eps_days: float = 3.0, least:
     return named.withColumn("label", F.concat(name, F.lit(" · "), days))
 
 
+def trip_members(points: DataFrame, eps_km: float = 50.0, eps_days: float = 3.0, least: int = 5) -> DataFrame:
+    """(trip_id, start_day, members, content_id): the sorted ids of every trip as text, and their digest, equal for equal members."""
+    scaled = settle(trip_points(points, eps_km, eps_days).withColumn("cell", fine_cell(eps_km)))
+    labelled = density_clusters(near_points(scaled, eps_km), scaled, least).where("cluster is not null").join(scaled, "id")
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string")), ",")
+    out = labelled.groupBy(F.col("cluster").alias("trip_id")).agg(F.min("day").alias("start_day"), ids.alias("members"))
+    return out.withColumn("content_id", F.sha2("members", 256))
+
+
 # near duplicates of 64-bit hashes -----------------------------------------------------------------------------------
 
 

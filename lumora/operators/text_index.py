@@ -9,9 +9,9 @@ from lumora.functions import scalars as S
 
 
 def token_index(texts: DataFrame, key: str, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(token, id): one row for each distinct token of a text; texts without tokens have none."""
+    """(token, id): one row for each distinct token of a text, without a shuffle; texts without tokens have none."""
     rows = texts.select(F.col(id_col).alias("id"), F.explode(S.tokenize(F.col(text_col))).alias("word"))
-    return rows.select(S.blind(key, F.col("word")).alias("token"), "id").distinct()
+    return rows.select(S.blind(key, F.col("word")).alias("token"), "id")
 
 
 def reindexed(index: DataFrame, changed: DataFrame, key: str) -> DataFrame:
@@ -26,9 +26,11 @@ def and_search(index: DataFrame, query: str, key: str, limit: int | None = 100)
     """
     spark = index.sparkSession
     asked = spark.range(1).select(F.explode(S.tokenize(F.lit(query))).alias("word")).select(S.blind(key, F.col("word")).alias("token"))
-    need = asked.agg(F.count("*").alias("need"))
-    hits = index.join(F.broadcast(asked), "token").groupBy("id").agg(F.count("*").alias("n"))  # as many rows as query words
-    out = hits.join(F.broadcast(need), F.col("n") == F.col("need")).select("id").orderBy("id")
+    need = asked.count()  # as many rows as query words
+    if not need:
+        return index.select("id").limit(0)
+    hits = index.join(F.broadcast(asked), "token").distinct().groupBy("id").agg(F.count("*").alias("n"))
+    out = hits.where(F.col("n") == need).select("id").orderBy("id")
     return out if limit is None else out.limit(max(1, min(limit, 500)))
 
 

@@ -143,6 +143,18 @@ def trips(spark, d):
     return out.select("trip_id", "n", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "start_day", "end_day")
 
 
+@query(
+    with_tables("geo", "").replace("WITH ", "WITH RECURSIVE ").rstrip()
+    + ", "
+    + CORES
+    + """ SELECT cluster AS trip_id, min(day) AS start_day, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members, sha256(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id)) AS content_id
+FROM lab JOIN pts USING (id) GROUP BY 1"""
+)
+def trip_members(spark, d):
+    """Trips by first day with their sorted members and an id made of these; a trip is what one display holds."""
+    return A.trip_members(C.geo(spark, d), **TRIP).orderBy("start_day", "trip_id")
+
+
 @query()
 def trip_labels(spark, d):
     return A.trips(C.geo(spark, d), **TRIP).select("trip_id", "place", "label")
@@ -309,3 +321,32 @@ def nms(spark, d):
 def letterbox(spark, d):
     box = S.letterbox(F.col("l_quantity") * 10, F.col("l_extendedprice"), 640)
     return load(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("k"), F.round(box["scale"], 8).alias("scale"), F.round(box["pad_x"], 6).alias("pad_x"))
+
+
+@query(with_tables("asset face", """SELECT person_id, year(DATE '1970-01-01' + CAST(day AS INT)) AS year, string_agg(DISTINCT CAST(asset_id AS VARCHAR), ',' ORDER BY CAST(asset_id AS VARCHAR)) AS ids
+FROM face JOIN asset ON id = asset_id WHERE person_id IS NOT NULL AND day IS NOT NULL AND year(DATE '1970-01-01' + CAST(day AS INT)) < 2002 GROUP BY 1, 2 HAVING count(DISTINCT asset_id) >= 3"""))
+def person_year_assets(spark, d):
+    """What the memory of a person's year shows: its assets, one list a card."""
+    f, a = C.face(spark, d), C.asset(spark, d)
+    years = A.person_years(f, a, TODAY).select("person_id", "year")
+    dated = a.where("day is not null").select(F.col("id").alias("asset_id"), F.year(S.day_date(F.col("day"))).alias("year"))
+    met = f.where("person_id is not null").select("person_id", "asset_id").distinct().join(dated, "asset_id").join(years, ["person_id", "year"])
+    return met.groupBy("person_id", "year").agg(F.array_join(F.array_sort(F.collect_list(F.col("asset_id").cast("string"))), ",").alias("ids"))
+
+
+@query(with_tables("vec", "SELECT label AS cluster, count(*) AS n, min(asset_id) AS first_id FROM vec GROUP BY 1"))
+def clusters_by_size(spark, d):
+    """Clusters, the largest first."""
+    by = C.asset_vec(spark, d).groupBy(F.col("label").alias("cluster")).agg(F.count("*").alias("n"), F.min("asset_id").alias("first_id"))
+    return by.orderBy(F.col("n").desc(), "first_id")
+
+
+@query(with_tables("vec", "SELECT asset_id, label AS cluster, CASE WHEN asset_id % 4 = 0 THEN 'new' ELSE 'old' END AS model FROM vec WHERE asset_id % 3 <> 0 OR asset_id % 4 = 0"))
+def vectors_upserted(spark, d):
+    """Vectors of an older model with those of a newer one written over them by asset."""
+    from lumora.operators import library as L
+
+    v = C.asset_vec(spark, d).select("asset_id", F.col("label").alias("cluster"))
+    old = v.where("asset_id % 3 <> 0").withColumns({"model": F.lit("old"), "at": F.lit(1)})
+    new = v.where("asset_id % 4 = 0").withColumns({"model": F.lit("new"), "at": F.lit(2), "op": F.lit("upsert")})
+    return L.merge_latest(old, new, ["asset_id"], "at").select("asset_id", "cluster", "model")

@@ -62,6 +62,23 @@ def stream_totals(spark, d):
     return _run(s, "complete").withColumn("total", F.round("total", 4))
 
 
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windows(spark, d):
+    """Windows of event time as a stream over the files, in complete mode."""
+    return _run(feeds.tumbling(_event_stream(spark, d)).select("start", "event_type", "n"), "complete")
+
+
+@query(
+    """WITH j AS (SELECT event_id AS id, event_type, CASE WHEN event_type = 'view' THEN 'running' ELSE 'pending' END AS state FROM events)
+SELECT id, CASE WHEN state = 'running' AND id % 2 = 0 THEN CASE WHEN id % 3 = 0 THEN 'failed' ELSE 'done' END ELSE state END AS state, CASE WHEN state = 'running' AND id % 6 = 0 THEN 'broken' END AS error FROM j"""
+)
+def queue_finished(spark, d):
+    """Every second job reports: done, or failed with its error; only running ones change."""
+    e = load(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "view", "running").otherwise("pending").alias("state"), F.lit(None).cast("string").alias("error"))
+    told = e.where("id % 2 = 0").select("id", F.when(F.col("id") % 3 == 0, "broken").alias("error"))
+    return feeds.finished(e, told).select("id", "state", "error")
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe_watermark(spark, d):
     s = feeds.deduplicated(_event_stream(spark, d), ["user_id", "event_type"], "60 days")

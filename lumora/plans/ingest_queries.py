@@ -35,6 +35,15 @@ def text_search_limited(spark, d):
     return T.and_search(T.token_index(load(spark, d, "documents"), KEY, "doc_id"), "der DIE", KEY, 100)
 
 
+@query(f"WITH x AS (SELECT doc_id AS id, unnest({TOKENS}) AS w FROM documents WHERE doc_id % 10 <> 3 UNION ALL SELECT doc_id, unnest({TOKENS.replace('lower(text)', 'lower(html)')}) FROM (SELECT page_id AS doc_id, html FROM pages WHERE page_id % 10 = 3)) SELECT id, count(DISTINCT w) AS n FROM x GROUP BY 1")
+def text_index_reindexed(spark, d):
+    """The keyed index after every tenth text was replaced by a page: the old tokens go, the new ones come."""
+    index = T.token_index(load(spark, d, "documents"), KEY, "doc_id")
+    changed = load(spark, d, "pages").where("page_id % 10 = 3").select(F.col("page_id").alias("id"), F.col("html").alias("text"))
+    gone = load(spark, d, "documents").where("doc_id % 10 = 3").select(F.col("doc_id").alias("id"))
+    return T.reindexed(index.join(gone, "id", "left_anti").select("token", "id"), changed, KEY).groupBy("id").agg(F.count_distinct("token").alias("n"))
+
+
 @query("SELECT doc_id AS id FROM documents WHERE 1 = 0")
 def text_search_empty(spark, d):
     return T.and_search(T.token_index(load(spark, d, "documents"), KEY, "doc_id"), " !? ", KEY)
@@ -171,6 +180,20 @@ def announced_blobs(spark, d):
     return I.announced(assets, docs.where("doc_id % 7 = 0").select(I.content_key(F.col("text")).alias("hash")))
 
 
+@query(
+    """WITH p AS (SELECT DISTINCT '/r/' || (o_custkey % 7) || '/DSC' || (o_orderkey // 3) || CASE o_orderkey % 3 WHEN 0 THEN '.NEF' WHEN 1 THEN '.jpg' ELSE '.mov' END AS path FROM orders),
+q AS (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, regexp_extract(path, '([^/]*?)(\\.[^./]*)?$', 1) AS stem FROM p)
+SELECT folder, stem, min(path) FILTER (path LIKE '%.jpg') AS still, min(path) FILTER (path LIKE '%.mov') AS motion, min(path) FILTER (path LIKE '%.NEF') AS raw FROM q GROUP BY 1, 2
+HAVING count(*) FILTER (path LIKE '%.jpg') > 0 AND count(*) FILTER (path NOT LIKE '%.jpg') > 0"""
+)
+def pairs_raw(spark, d):
+    """Stills with the raw file or the clip of the same folder and stem."""
+    k = F.col("o_orderkey")
+    ext = F.when(k % 3 == 0, ".NEF").when(k % 3 == 1, ".jpg").otherwise(".mov")
+    path = F.concat(F.lit("/r/"), (F.col("o_custkey") % 7).cast("string"), F.lit("/DSC"), F.expr("cast(o_orderkey div 3 as string)"), ext)
+    return I.sibling_pairs(load(spark, d, "orders").select(path.alias("path")).distinct())
+
+
 @query("SELECT hash, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT sha256(text) AS hash, doc_id FROM documents) GROUP BY 1")
 def dedupe_by_hash(spark, d):
     docs = load(spark, d, "documents").select(I.content_key(F.col("text")).alias("hash"), "doc_id")
