@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +45,15 @@ def discard(*frames: DataFrame) -> None:
         spark, path = df.sparkSession, df.settled_path
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Fewer rows a batch between the JVM and Python for the actions inside: whole texts are long, and both sides hold a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(rows if int(was) <= 0 else min(int(was), rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
