@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumora.llm.tokens import ChunkIds, held
-from lumora.session import settle
+from lumora.session import settle, small_batches
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
@@ -152,7 +152,8 @@ def best_fit(
     other columns are not read.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    now = settle(token_pieces(df, path, capacity, end_id, id_col, text_col))
+    with small_batches(df.sparkSession):
+        now = settle(token_pieces(df, path, capacity, end_id, id_col, text_col))
     lead, done, before = 0, None, None
     while True:
         packed = settle(_pack(_shuffled(now, parts), capacity, many, lead))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumora.session import settle
+from lumora.session import discard, settle
 
+RANGE_BYTES = 1 << 30
+MOST_RANGES = 16_384
 COARSE = 3  # hex digits of a key that lead to its few candidate splitters: 4096 rows at most
 
 
@@ -28,19 +30,14 @@ def _splitters(items: DataFrame, ranges: int, per_range: int) -> DataFrame:
     return drawn.withColumn("part", part).groupBy("part").agg(first).where("part > 1").select("first")
 
 
-def _ranged(items: DataFrame, ranges: int, per_range: int) -> DataFrame:
-    """items with a range number: how many splitters are not above (key, id).
-
-    A key that holds many bytes is met by several splitters with the same key and different ids, which
-    subdivide what would be an overfull range.
-    """
-    cuts = _splitters(items, ranges, per_range)
+def _ranged(items: DataFrame, cuts: DataFrame) -> DataFrame:
+    """items with a range number: how many of cuts(first) are not above (key, id)."""
     near = cuts.groupBy(F.substring("first.key", 1, COARSE).alias("coarse")).agg(
         F.collect_list("first").alias("firsts"), F.count("*").alias("here")
     )
     below = F.coalesce(F.sum("here").over(Window.orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     near = near.withColumn("below", below)
-    # ranges is a parameter, so both broadcast tables have at most that many rows and splitters
+    # there are a bounded number of ranges, so both broadcast tables have at most that many rows and splitters
     coarse = F.substring("key", 1, COARSE)
     starts = near.agg(F.sort_array(F.collect_list(F.struct("coarse", (F.col("below") + F.col("here")).alias("upto")))).alias("all"))
     here = F.struct("key", F.col("id").isNotNull().alias("some"), "id")
@@ -55,29 +52,52 @@ def _ranged(items: DataFrame, ranges: int, per_range: int) -> DataFrame:
     return out.select("key", "id", "size", "crc", "n", number.cast("int").alias("range"))
 
 
+def _balanced(items: DataFrame, ranges: int, per_range: int, most: float = 2.0, tries: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(items with a range number, bytes and records of each range); ranges measured above `most` times the mean are subdivided.
+
+    The splitters come from a sample, so a range can be larger than meant. Its records are sampled again for splitters of
+    their own, until no range is overfull or one holds a single record. A key that holds many bytes is met by splitters
+    with the same key and different ids, which subdivide it too.
+    """
+    cuts = settle(_splitters(items, ranges, per_range))
+    for again in range(tries + 1):
+        ranged = settle(_ranged(items, cuts))
+        sums = settle(ranged.groupBy("range").agg(F.sum(F.col("size") * F.col("n")).alias("b"), F.sum("n").alias("c"), F.count("*").alias("k")))
+        total = sums.agg(F.sum("b").alias("b")).first()["b"] or 0
+        full = sums.where((F.col("b") > most * total / ranges) & (F.col("k") > 1))
+        told = full.agg(F.sum("b").alias("b"), F.count("*").alias("n")).first()
+        if not told["n"] or again == tries:
+            return ranged, sums
+        pieces = int(told["b"] * ranges // total) + 2 * told["n"]
+        inside = ranged.join(F.broadcast(full.select("range")), "range", "left_semi").drop("range")
+        was, cuts = cuts, settle(cuts.unionByName(_splitters(inside, pieces, per_range)).distinct())
+        discard(was, ranged, sums)
+
+
 def shard_by_bytes(
     df: DataFrame,
     shards: int,
     id_col: str = "doc_id",
     text_col: str = "text",
     overhead: int = 8,
-    ranges: int = 192,
+    ranges: int | None = None,
     per_range: int = 64,
     tolerance: float = 0.02,
 ) -> DataFrame:
     """One row per input row: id, size, crc, key (md5 of the text), shard, slot. Only DataFrame functions.
 
-    Records are ordered by (key, id); splitters from a size-weighted sample deal them into ranges, whose exact
-    sizes give every record its place in the total order of bytes, and the shards are equal stretches of it. So
-    shard sizes differ from the mean by one record and tolerance at most, whatever the sample was. A boundary that falls
-    into a group of equal texts moves to the group's nearer end where that costs no more than tolerance of a
-    shard's size; larger groups are cut. Slots count 0, 1, ... within a shard.
+    Records are ordered by (key, id); splitters from a size-weighted sample deal them into ranges; ranges that turn out
+    overfull are subdivided; and the ranges' exact sizes give every record its place in the total order of bytes, of which the
+    shards are equal stretches. So shard sizes differ from the mean by one record and tolerance at most, whatever the
+    sample was. A boundary that falls into a group of equal texts moves to the group's nearer end where that costs no more than
+    tolerance of a shard's size; larger groups are cut. Slots count 0, 1, ... within a shard.
 
-    Null texts are one group of size overhead; null ids come first in their group; repeated rows are counted
-    together and spread again at the end; an empty table gives no rows. Other columns are not read. ranges, shards and
-    per_range are parameters that bound everything that is broadcast or gathered (at 100 TB: up to 4096).
+    Null texts are one group of size overhead, empty texts another; null ids come first in their group; records that tie in key and
+    id are alike; repeated rows are counted together and spread again at the end; a very long text is one record, cut by no shard; an
+    empty table gives no rows. Other columns are not read. Ranges hold about RANGE_BYTES, from 192 to MOST_RANGES of them
+    unless given; with shards and per_range that bounds everything that is broadcast or gathered.
     """
-    if shards < 1 or ranges < 2:
+    if shards < 1 or (ranges is not None and ranges < 2):
         raise ValueError("shards is 1 and ranges 2 at least")
     text = F.col(text_col)
     items = settle(
@@ -90,8 +110,10 @@ def shard_by_bytes(
         .groupBy("id", "size", "crc", "key")
         .agg(F.count("*").alias("n"))
     )
-    ranged = settle(_ranged(items, ranges, per_range))
-    sums = ranged.groupBy("range").agg(F.sum(F.col("size") * F.col("n")).alias("b"), F.sum("n").alias("c"))
+    if ranges is None:
+        total = items.agg(F.sum(F.col("size") * F.col("n"))).first()[0] or 0
+        ranges = min(MOST_RANGES, max(192, total // RANGE_BYTES))
+    ranged, sums = _balanced(items, ranges, per_range)
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(
         "range",

@@ -124,6 +124,21 @@ def test_a_hot_group_is_cut_and_small_ones_stay_whole(spark):
     assert sorted(len(x) for x in of.values())[-2] == 1
 
 
+def test_overfull_ranges_are_subdivided(spark):
+    """One splitter for each of 40 ranges, from samples of one record a range: ranges come out uneven, and are cut until none is overfull."""
+    F = quality.F
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.col("id").cast("string"), F.when(F.col("id") % 10 == 0, 400).otherwise(5)).alias("text"))
+    items = df.select(F.col("doc_id").alias("id"), F.octet_length("text").cast("long").alias("size"), F.lit(0).cast("long").alias("crc"), F.md5("text").alias("key"), F.lit(1).cast("long").alias("n"))
+    first = shards._ranged(items, shards._splitters(items, 40, 1)).groupBy("range").agg(F.sum("size").alias("b")).collect()
+    _, sums = shards._balanced(items, 40, 1)
+    mean = sum(r["b"] for r in first) / 40
+    rows = sums.collect()
+    assert max(r["b"] for r in first) > 2 * mean >= max(r["b"] for r in rows) and sum(r["c"] for r in rows) == 3000
+    for ranges in (2, 40):
+        out = shards.shard_by_bytes(df, 7, ranges=ranges, per_range=1).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("s")).collect()
+        assert len(out) == 7 and max(r["b"] for r in out) - min(r["b"] for r in out) < 2 * 2000 and all(r["s"] == r["n"] - 1 for r in out)
+
+
 def test_shards_odd_rows(spark):
     rows = shards.shard_by_bytes(odd(spark), 3).collect()
     assert len(rows) == len(ODD)
