@@ -24,7 +24,7 @@ m AS (SELECT d.k, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_
 f AS (SELECT *, CAST(n_lines - n_kinds AS BIGINT) AS n_dup_lines,
   CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (100 * (n_lines - n_kinds) > 30 * n_lines)::INT
   + 16 * (word_chars > 12 * n_words)::INT + 32 * (word_chars < 2 * n_words)::INT + 64 * (2 * n_caps > n_letters AND n_letters > 0)::INT
-  + 128 * (10 * n_marked > 3 * n_words)::INT + 256 * (2 * n_same_next > n_words)::INT AS BIGINT) AS failed FROM m)
+  + 128 * (10 * n_marked > 3 * n_words)::INT + 256 * (2 * n_same_next > n_words)::INT + 512 * (n_words < 1)::INT AS BIGINT) AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed & (1 + 2 + 4 + 16 + 32 + 256) = 0 AS kept, failed FROM f
 """
 

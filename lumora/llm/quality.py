@@ -23,12 +23,15 @@ RULES: tuple[tuple[str, str], ...] = (
     ("capitals", "2 * n_caps > n_letters and n_letters > 0"),
     ("marked_words", "10 * n_marked > 3 * n_words"),
     ("stutter", "2 * n_same_next > n_words"),
+    ("no_words", "n_words < 1"),
 )
 BASE = ("few_words", "repeated_windows")
 POLICIES: dict[str, tuple[str, ...]] = {
     "v1": BASE,
     "v2": (*BASE, "symbols", "long_words", "short_words", "stutter"),
     "v3": tuple(name for name, _ in RULES),
+    # short texts stay if nothing else is wrong with them
+    "v4": ("repeated_windows", "symbols", "long_words", "short_words", "stutter", "no_words"),
 }
 
 

@@ -16,7 +16,7 @@ def test_stages_against_plain_python(spark, sf):
     names = [x.split()[0] for x in quality.MEASURES.split(", ")]
     for k, r in given.items():
         m = dict(zip(names, quality.measure(r["text"])))
-        if not any(eval(rules[n], {}, m) for n in quality.POLICIES["v2"]):
+        if not any(eval(rules[n], {}, m) for n in quality.POLICIES["v4"]):
             want_kept[k] = r
     now = settle(corpus_pipeline.keep_quality(spark, docs, sf))
     assert now.columns == COLUMNS and {r["doc_id"]: r for r in now.collect()} == want_kept
