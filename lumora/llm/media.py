@@ -166,7 +166,8 @@ def read_media(media: Column) -> Column:
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = 576, width: int = 192) -> DataFrame:
     """id, n_bytes, media (PNG), payload (read back from media), feature (binary cosine hash), one row per row.
 
-    Null texts count as empty; equal texts give equal media and features; ids may be null or repeated; an
+    Null texts count as empty; equal texts give equal media and features; a very long text is one tall picture; coefficients of the
+    feature that tie with their median count as below it; ids may be null or repeated; an
     empty table gives no rows and other columns are not read. Rows never move: there is no shuffle.
     """
     stored = df.select(

@@ -115,14 +115,15 @@ def mask(names: tuple[str, ...]) -> int:
 def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """id, measures and `failed` (long, bit k: rule k failed), one row per row; with keep, df's columns too.
 
-    Each rule is evaluated once per text over the whole text. Null texts have no words and fail few_words.
-    Null ids and repeated rows are measured like any other, an empty table gives no rows; columns of df that share a
-    measure's name give way. Rows never move: there is no shuffle.
+    Each rule is evaluated once per text over the whole text, however long. Null texts have no words and fail few_words and no_words.
+    Null ids and repeated rows are measured like any other, ties at a rule's limit pass it, an empty table gives no rows; columns of df
+    that share a measure's name, or are named failed, give way, all other names are free. Rows never move: there is no shuffle.
     """
     names = [x.split()[0] for x in MEASURES.split(", ")]
-    own = [c for c in df.columns if c not in {*names, "failed", "__m"}] if keep else []
+    own = [c for c in df.columns if c not in {*names, "failed"}] if keep else []
+    free = max(df.columns, key=len) + "_"  # longer than any given name
     first = [F.col(f"`{c}`") for c in own] if keep else [F.col(id_col).alias("id")]
-    out = df.select(*first, measures(F.col(text_col)).alias("__m")).select(*([f"`{c}`" for c in own] or ["id"]), "__m.*")
+    out = df.select(*first, measures(F.col(f"`{text_col}`")).alias(free)).select(*([f"`{c}`" for c in own] or ["id"]), f"`{free}`.*")
     bits = sum((F.when(F.expr(test), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, test) in enumerate(RULES)), F.lit(0))
     return out.withColumn("failed", bits.cast("long"))
 
