@@ -317,10 +317,10 @@ def nms(spark, d):
     return _boxes(spark, d).select(F.col("l_orderkey").alias("id"), F.size("boxes").alias("n"), F.size(kept).alias("n_kept"), F.array_join(F.transform(kept, lambda b: b["k"].cast("string")), ",").alias("kept"))
 
 
-@query("SELECT l_orderkey AS id, l_linenumber AS n, l_partkey AS k, round(640.0 / greatest(l_quantity * 10, l_extendedprice), 8) AS scale, round((640.0 - l_quantity * 10 * (640.0 / greatest(l_quantity * 10, l_extendedprice))) / 2, 6) AS pad_x FROM lineitem")
+@query("SELECT l_orderkey AS id, l_linenumber AS n, l_partkey AS k, round(640.0 / greatest(l_quantity * 10, l_extendedprice), 8) AS scale, round((640.0 - l_quantity * 10 * (640.0 / greatest(l_quantity * 10, l_extendedprice))) / 2, 6) AS pad_x, round((640.0 - l_extendedprice * (640.0 / greatest(l_quantity * 10, l_extendedprice))) / 2, 6) AS pad_y FROM lineitem")
 def letterbox(spark, d):
     box = S.letterbox(F.col("l_quantity") * 10, F.col("l_extendedprice"), 640)
-    return load(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("k"), F.round(box["scale"], 8).alias("scale"), F.round(box["pad_x"], 6).alias("pad_x"))
+    return load(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("k"), F.round(box["scale"], 8).alias("scale"), F.round(box["pad_x"], 6).alias("pad_x"), F.round(box["pad_y"], 6).alias("pad_y"))
 
 
 @query(with_tables("asset face", """SELECT person_id, year(DATE '1970-01-01' + CAST(day AS INT)) AS year, string_agg(DISTINCT CAST(asset_id AS VARCHAR), ',' ORDER BY CAST(asset_id AS VARCHAR)) AS ids

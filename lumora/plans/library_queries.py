@@ -379,3 +379,16 @@ def timeline_headers(spark, d):
     a = C.asset(spark, d).withColumn("label", zoom_label(F.col("day"), "year"))
     new = (~F.col("label").eqNullSafe(F.lag("label").over(w))).cast("int")
     return a.withColumn("new", new).select("source_id", "id", "label", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("header_no"))
+
+
+@query(
+    with_tables(
+        "asset",
+        """SELECT id, CASE WHEN day IS NULL THEN 'Undated' ELSE strftime(DATE '1970-01-01' + CAST(day AS INT), '%B %Y') END AS month, CASE WHEN day IS NULL THEN 'Undated' ELSE strftime(DATE '1970-01-01' + CAST(day AS INT), '%b %-d, %Y') END AS day_label FROM asset""",
+    )
+)
+def timeline_labels(spark, d):
+    """Headers of the month and day zooms."""
+    from lumora.functions.scalars import zoom_label
+
+    return C.asset(spark, d).select("id", zoom_label(F.col("day"), "month").alias("month"), zoom_label(F.col("day"), "day").alias("day_label"))
