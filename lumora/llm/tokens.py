@@ -129,7 +129,7 @@ class Chunks:
 
     GAP = b""
 
-    def __init__(self, vocabulary: Vocabulary, keep: int = 800_000):
+    def __init__(self, vocabulary: Vocabulary, keep: int = 1_200_000):
         self.v = vocabulary
         self.keep = keep
         self.known: dict[str, bytes] = {"": b""}
