@@ -58,3 +58,26 @@ z AS (SELECT host, coalesce(good / nullif(sum(good) OVER (), 0), 0) AS good, coa
 SELECT page_id, p.host AS host, path, rule, coalesce({told}, CASE WHEN bad / nullif(good + bad, 0) > {threshold} THEN 'block' ELSE 'allow' END) AS verdict,
 round(coalesce(good, 0), 8) AS trust, round(coalesce(bad, 0), 8) AS distrust FROM p LEFT JOIN z r ON r.host = p.host
 """
+
+
+def merkle_sql(fields: tuple[str, ...], changed: str = "n_chars") -> str:
+    """op11: leaves, levels pairwise upward by language and over languages, and the climb of each leaf with its claimed hash."""
+    told = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = " || ".join(map(told, fields))
+    other = " || ".join(told(f"({c} + 1)" if c == changed else c) for c in fields)
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, lang, sha256({leaf}) AS leaf, sha256({other}) AS told,
+  list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, s: CASE WHEN s >= 0 THEN xor(c, s) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM documents),
+x AS (SELECT doc_id, lang, leaf, CASE WHEN xor(c, 4294967295) % 7 = 0 THEN told ELSE leaf END AS claimed, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM w),
+up AS (SELECT lang, 0 AS level, pos, leaf AS h, n FROM x UNION ALL SELECT lang, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value(n + 1) // 2 FROM up WHERE n > 1 GROUP BY lang, level, pos // 2),
+sub AS (SELECT lang, level AS height, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS rank, count(*) OVER () AS m FROM up WHERE n = 1),
+top AS (SELECT 0 AS level, rank AS pos, subroot AS h, m AS n FROM sub UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value(n + 1) // 2 FROM top WHERE n > 1 GROUP BY level, pos // 2),
+nodes AS (SELECT lang, level, pos, h FROM up WHERE n > 1 UNION ALL SELECT s.lang, s.height + t.level, t.pos, t.h FROM sub s, top t WHERE t.n > 1),
+climb AS (SELECT doc_id, x.lang, leaf, 0 AS level, pos, claimed AS f, '' AS proof, height, rank, subroot FROM x JOIN sub s ON s.lang IS NOT DISTINCT FROM x.lang
+  UNION ALL SELECT doc_id, c.lang, leaf, c.level + 1, p // 2, sha256(CASE WHEN p % 2 = 1 THEN coalesce(b.h, '') || f ELSE f || coalesce(b.h, '') END), proof || coalesce(b.h, ''), height, rank, subroot
+  FROM (SELECT *, CASE WHEN level = height THEN rank ELSE pos END AS p FROM climb) c JOIN nodes a ON a.lang IS NOT DISTINCT FROM c.lang AND a.level = c.level AND a.pos = c.p
+  LEFT JOIN nodes b ON b.lang IS NOT DISTINCT FROM c.lang AND b.level = c.level AND b.pos = xor(c.p, 1))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified
+FROM climb, (SELECT h AS root, (SELECT max(level) FROM top) AS crown FROM top WHERE n = 1) WHERE level = height + crown
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import lm, media, mixing, oracles, packing, pii, quality, shards, simhash, tokens, url_trust
+from lumora.llm import lm, media, merkle, mixing, oracles, packing, pii, quality, shards, simhash, tokens, toxicity, url_trust, whiten
 from lumora.session import load
 
 URL_RULES = {
@@ -110,5 +110,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_trust, op2_sharding, op3_simhash, op4_media, op5_quality, op6_surrogates, op7_token_counts, op8_packing, op9_lm_scoring, op10_mixing)}
-ORACLES: dict[str, str] = {"op1_url_trust": oracles.url_sql(URL_RULES, url_trust.rounds_for(1e-4, 0.85)), "op5_quality": oracles.quality_sql()}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return merkle.manifest(docs, merkle.tampered(docs)).withColumnRenamed("id", "doc_id")
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitened(load(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_trust, op2_sharding, op3_simhash, op4_media, op5_quality, op6_surrogates, op7_token_counts, op8_packing, op9_lm_scoring, op10_mixing, op11_merkle, op12_toxicity, op13_whitening
+    )
+}
+ORACLES: dict[str, str] = {
+    "op1_url_trust": oracles.url_sql(URL_RULES, url_trust.rounds_for(1e-4, 0.85)),
+    "op5_quality": oracles.quality_sql(),
+    "op11_merkle": oracles.merkle_sql(merkle.FIELDS),
+}
