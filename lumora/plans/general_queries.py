@@ -2,41 +2,28 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumora.plans.book import query
-from lumora.session import load, shared_dir
+from lumora.session import load
 from lumora.streaming import feeds
+from lumora.streaming.runs import run_to_end
 
-EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+# how much a batch of a stream takes
+PER_TRIGGER = {"maxBytesPerTrigger": str(1 << 30)}
 
 
 def _event_stream(spark, d):
     """A stream over the table's own files, whether it is one file (a stream wants a folder, so a glob names it) or a folder of them."""
     e = load(spark, d, "events")
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(e.schema).options(**PER_TRIGGER).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _batch(spark, d):
     return load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _run(stream, mode):
-    """The result of a stream over all files, written to the shared folder batch by batch."""
-    spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/lumora-stream-{uuid.uuid4().hex}"
-
-    def keep(batch, number):
-        batch.write.mode("overwrite").parquet(f"{base}/out/v={number}")
-
-    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out").select(*stream.columns)
-
-
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def windows_tumbling(spark, d):
     return feeds.tumbling(_batch(spark, d)).withColumn("total", F.round("total", 4))
@@ -59,13 +46,13 @@ def windows_session(spark, d):
 def stream_totals(spark, d):
     """A streaming aggregate in complete mode; its last batch equals the batch result."""
     s = _event_stream(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return _run(s, "complete").withColumn("total", F.round("total", 4))
+    return run_to_end(s, "complete").withColumn("total", F.round("total", 4))
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
     """Windows of event time as a stream over the files, in complete mode."""
-    return _run(feeds.tumbling(_event_stream(spark, d)).select("start", "event_type", "n"), "complete")
+    return run_to_end(feeds.tumbling(_event_stream(spark, d)).select("start", "event_type", "n"), "complete")
 
 
 @query(
@@ -82,7 +69,7 @@ def queue_finished(spark, d):
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe_watermark(spark, d):
     s = feeds.deduplicated(_event_stream(spark, d), ["user_id", "event_type"], "60 days")
-    return _run(s.select("user_id", "event_type"), "append")
+    return run_to_end(s.select("user_id", "event_type"), "append")
 
 
 @query(
@@ -96,7 +83,7 @@ def feed_apply(spark, d):
         (F.col("user_id") % 5).alias("namespace"), (F.col("user_id") % 4).alias("author"), F.concat(F.lit("c/"), kind, F.lit("/"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("value"), "ts"
     )
     trust = spark.createDataFrame([(0,), (2,), (3,)], "author long")
-    return _run(feeds.last_writes(feeds.trusted(s, trust)), "complete").select("namespace", "key", "value")
+    return run_to_end(feeds.last_writes(feeds.trusted(s, trust)), "complete").select("namespace", "key", "value")
 
 
 @query(
