@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumora.functions import scalars as S
 from lumora.operators.components import components
+from lumora.operators.density import Grid, density_grid
 from lumora.session import settle
 
 
@@ -123,62 +124,19 @@ def density_clusters(pairs: DataFrame, points: DataFrame, least: int) -> DataFra
     A core has `least` neighbours including itself; clusters are components of cores and take the smallest core's id;
     other points join the neighbouring cluster of smallest id (the order of discovery of a sequential
     run is not kept), and the rest is noise, cluster null.
-
-    Where points has a column cell (and pairs cell_a, cell_b) whose points are all neighbours of each other, components are
-    found over cells, of which crowded places have few.
     """
-    celled = "cell" in points.columns
-    more = [("cell_a", "cell_b"), ("cell_b", "cell_a")] if celled else []
-    both = settle(
-        pairs.select("a", "b", *(x for x, _ in more)).unionByName(
-            pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), *(F.col(y).alias(x) for x, y in more))
-        )
-    )
+    both = settle(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     cores = settle(both.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= least).select(F.col("a").alias("id")))
     if least <= 1:
         cores = points.select("id")
     inner = both.join(cores.withColumnRenamed("id", "a"), "a", "left_semi").join(cores.withColumnRenamed("id", "b"), "b", "left_semi").where("a < b")
-    if celled:
-        roots = components(inner.where("cell_a <> cell_b").select(F.col("cell_a").alias("a"), F.col("cell_b").alias("b")).distinct())
-        own = cores.join(points.select("id", "cell"), "id")
-        placed = own.join(roots, own["cell"] == roots["node"], "left").select("id", F.coalesce("root", "cell").alias("root"))
-        named = placed.join(placed.groupBy("root").agg(F.min("id").alias("cluster")), "root").select("id", "cluster")
-    else:
-        roots = components(inner.select("a", "b"))
-        named = cores.join(roots, cores["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("cluster"))
-    named = settle(named)
+    roots = components(inner.select("a", "b"))
+    named = settle(cores.join(roots, cores["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("cluster")))
     edge = both.join(named.withColumnRenamed("id", "b"), "b").join(cores.withColumnRenamed("id", "a"), "a", "left_anti")
     border = edge.groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("cluster"))
     return points.select("id").join(named.unionByName(border), "id", "left")
 
 
-def near_points(points: DataFrame, eps: float, dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """Pairs (a, b), a < b, of points(id, x, y, z) within eps: an equi-join of grid cells of side eps.
-
-    One side stays in its own cell and the other is sent to all cells around, so a pair meets once each way and the
-    order of ids keeps one. A column cell of points comes along as cell_a and cell_b.
-    """
-    cells = ["cell"] if "cell" in points.columns else []
-    cell = [F.floor(F.col(c) / eps).cast("long") for c in dims]
-    left = points.select("id", *dims, *(F.col(c).alias("cell_a") for c in cells), *(e.alias(f"c{k}") for k, e in enumerate(cell)))
-    offsets = [[]]
-    for _ in dims:
-        offsets = [[*o, d] for o in offsets for d in (-1, 0, 1)]
-    shifts = F.array(*(F.array(*map(F.lit, o)) for o in offsets))
-    right = points.select(F.col("id").alias("other"), *(F.col(c).alias("cell_b") for c in cells), *(F.col(c).alias(f"{c}2") for c in dims), *(e.alias(f"k{k}") for k, e in enumerate(cell)), F.explode(shifts).alias("s"))
-    beside = ["cell_a", "cell_b"] if cells else []
-    right = right.select("other", *beside[1:], *(f"{c}2" for c in dims), *((F.col(f"k{k}") + F.get("s", F.lit(k))).alias(f"c{k}") for k in range(len(dims))))
-    met = left.join(right, [f"c{k}" for k in range(len(dims))]).where("id < other")
-    far = sum(((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in dims), F.lit(0.0))
-    return met.where(far <= eps * eps).select(F.col("id").alias("a"), F.col("other").alias("b"), *beside)
-
-
-def fine_cell(eps: float, dims: tuple[str, ...] = ("x", "y", "z")) -> Column:
-    """A number for the small cell of a point, in which any two points are within eps."""
-    side = eps / len(dims) ** 0.5
-    return F.xxhash64(*(F.floor(F.col(c) / side).cast("long") for c in dims))
-
-
 def trip_points(points: DataFrame, eps_km: float, eps_days: float) -> DataFrame:
     """points(asset_id, lat, lon, day) in kilometres: longitude shrinks with each point's own latitude, days scale to eps."""
     on = points.where("lat is not null and lon is not null and day is not null")
@@ -188,11 +146,16 @@ def trip_points(points: DataFrame, eps_km: float, eps_days: float) -> DataFrame:
     )
 
 
+def trip_labels(points: DataFrame, eps_km: float = 50.0, eps_days: float = 3.0, least: int = 5) -> DataFrame:
+    """(asset_id, trip_id, lat, lon, day) of the points in a trip: density clusters in space and time, one row a member."""
+    scaled = trip_points(points, eps_km, eps_days)
+    found = density_grid(scaled, Grid(eps_km, least)).where("cluster is not null").select("id", F.col("cluster").alias("trip_id"))
+    return scaled.join(found, "id").select(F.col("id").alias("asset_id"), "trip_id", "lat", "lon", "day")
+
+
 def trips(points: DataFrame, eps_km: float = 50.0, eps_days: float = 3.0, least: int = 5) -> DataFrame:
     """(trip_id, n, lat, lon, start_day, end_day, place, label) of density clusters in space and time."""
-    scaled = settle(trip_points(points, eps_km, eps_days).withColumn("cell", fine_cell(eps_km)))
-    labelled = density_clusters(near_points(scaled, eps_km), scaled, least).where("cluster is not null").join(scaled, "id")
-    out = labelled.groupBy(F.col("cluster").alias("trip_id")).agg(
+    out = trip_labels(points, eps_km, eps_days, least).groupBy("trip_id").agg(
         F.count("*").alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.min("day").alias("start_day"), F.max("day").alias("end_day")
     )
     named = out.withColumn("place", S.nearest_city(F.col("lat"), F.col("lon"))["city"])
@@ -202,11 +165,12 @@ def trips(points: DataFrame, eps_km: float = 50.0, eps_days: float = 3.0, least:
 
 
 def trip_members(points: DataFrame, eps_km: float = 50.0, eps_days: float = 3.0, least: int = 5) -> DataFrame:
-    """(trip_id, start_day, members, content_id): the sorted ids of every trip as text, and their digest, equal for equal members."""
-    scaled = settle(trip_points(points, eps_km, eps_days).withColumn("cell", fine_cell(eps_km)))
-    labelled = density_clusters(near_points(scaled, eps_km), scaled, least).where("cluster is not null").join(scaled, "id")
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string")), ",")
-    out = labelled.groupBy(F.col("cluster").alias("trip_id")).agg(F.min("day").alias("start_day"), ids.alias("members"))
+    """(trip_id, start_day, members, content_id): the sorted ids of every trip as text, and their digest, equal for equal members.
+
+    For trips that one display holds; `trip_labels` has the same members as rows, for trips of any size.
+    """
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("asset_id")), lambda i: i.cast("string")), ",")
+    out = trip_labels(points, eps_km, eps_days, least).groupBy("trip_id").agg(F.min("day").alias("start_day"), ids.alias("members"))
     return out.withColumn("content_id", F.sha2("members", 256))
 
 

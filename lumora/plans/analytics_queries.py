@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lumora.functions import cities
 from lumora.functions import scalars as S
 from lumora.operators import analytics as A
+from lumora.operators.density import Grid, density_grid, grown
 from lumora.plans.book import query
 from lumora.session import load
 from lumora.sources import catalogue as C
@@ -160,6 +161,22 @@ def trip_labels(spark, d):
     return A.trips(C.geo(spark, d), **TRIP).select("trip_id", "place", "label")
 
 
+@query(with_tables("geo", "").replace("WITH ", "WITH RECURSIVE ").rstrip() + ", " + CORES + " SELECT id AS asset_id, cluster AS trip_id FROM lab")
+def trip_member_rows(spark, d):
+    """Members of trips as rows, for trips of any size."""
+    return A.trip_labels(C.geo(spark, d), **TRIP).select("asset_id", "trip_id")
+
+
+@query(with_tables("geo", "").replace("WITH ", "WITH RECURSIVE ").rstrip() + ", " + CORES + " SELECT id AS asset_id, cluster AS trip_id FROM lab")
+def trips_grown(spark, d):
+    """Members of trips after the last twentieth of the days came in on top of the rest: only the surroundings of new points are looked at."""
+    pts = A.trip_points(C.geo(spark, d), TRIP["eps_km"], TRIP["eps_days"])
+    lo, hi = pts.agg(F.min("day"), F.max("day")).first()
+    grid, cut = Grid(TRIP["eps_km"], TRIP["least"]), lo + (hi - lo) * 19 // 20 if lo is not None else 0
+    state = density_grid(pts.where(F.col("day") < cut), grid)
+    return grown(state, pts.where(F.col("day") >= cut), grid).where("cluster is not null").select(F.col("id").alias("asset_id"), F.col("cluster").alias("trip_id"))
+
+
 HASH = "(SELECT CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT) FROM (SELECT list_reduce(list_prepend(0::HUGEINT, list_transform(vec[1:64], lambda x: CAST(x > 0 AS HUGEINT))), lambda s, x: s * 2 + x) AS u))"
 
 

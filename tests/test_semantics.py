@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumora.functions import codes
 from lumora.functions import scalars as S
 from lumora.operators import analytics as A
+from lumora.operators.density import Grid, density_grid
 from lumora.operators import ingest as I
 from lumora.operators import library as L
 from lumora.operators import sharing
@@ -103,10 +104,10 @@ def test_density_clusters_equal_a_plain_run(spark):
     rng = np.random.default_rng(4)
     points = [tuple(x) for x in np.concatenate([rng.normal(c, 0.5, (25, 3)) for c in (0, 4, 9)] + [rng.uniform(-5, 15, (40, 3))])]
     df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "id long, x double, y double, z double")
-    got = {r["id"]: r["cluster"] for r in A.density_clusters(A.near_points(df, 1.0), df, 4).collect()}
+    pairs = df.alias("p").join(df.alias("q"), F.expr("p.id < q.id and pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2) <= 1.0"))
+    got = {r["id"]: r["cluster"] for r in A.density_clusters(pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")), df, 4).collect()}
     assert [got[i] for i in range(len(points))] == dbscan(points, 1.0, 4)
-    celled = df.withColumn("cell", A.fine_cell(1.0))
-    assert got == {r["id"]: r["cluster"] for r in A.density_clusters(A.near_points(celled, 1.0), celled, 4).collect()}
+    assert got == {r["id"]: r["cluster"] for r in density_grid(df, Grid(1.0, 4)).collect()}
 
 
 @pytest.mark.parametrize("rows, want", [("three", 3), ("apart", 2), ("next", 1), ("few", 0)])
