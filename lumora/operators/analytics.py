@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lumora.functions import scalars as S
 from lumora.operators.components import components
 from lumora.operators.density import Grid, density_grid
+from lumora.operators.vectors import near_vectors
 from lumora.session import settle
 
 
@@ -96,23 +97,52 @@ def map_grid(points: DataFrame, zoom: float) -> DataFrame:
     return by.agg(F.count("*").alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
 
 
+def placed_values(rows: DataFrame, wanted: dict[str, tuple[str, float]], slots: int = 1024) -> dict[str, float | None]:
+    """For each name of wanted(column, share): the value at place floor(n * share), n - 1 at most, of the column's order; null if there are no rows.
+
+    Rounds of histograms: the slot that holds the place is the next range, until it holds one value only. A round counts `slots` slots a name, so
+    neither a sort nor a window is needed, whatever the number of rows or ties.
+    """
+    head = rows.agg(F.count("*").alias("n"), *(f(c).alias(f"{k}_{m}") for k, (c, _) in wanted.items() for f, m in ((F.min, "lo"), (F.max, "hi")))).first()
+    n = head["n"]
+    if not n:
+        return dict.fromkeys(wanted)
+    state = {k: (head[f"{k}_lo"], head[f"{k}_hi"], min(int(n * share), n - 1)) for k, (_, share) in wanted.items()}
+    while open_ := {k: v for k, v in state.items() if v[0] < v[1]}:
+        parts = []
+        for k, (lo, hi, _) in open_.items():
+            v = F.col(wanted[k][0]).cast("double")
+            slot = F.least(F.floor((v - F.lit(lo)) / (F.lit(hi) - F.lit(lo)) * slots), F.lit(slots - 1)).cast("int")
+            parts.append(F.when((v >= lo) & (v <= hi), F.struct(F.lit(k).alias("name"), slot.alias("slot"), v.alias("v"))))
+        each = rows.select(F.explode(F.array_compact(F.array(*parts))).alias("x")).groupBy("x.name", "x.slot")
+        got = each.agg(F.count("*").alias("k"), F.min("x.v").alias("lo"), F.max("x.v").alias("hi")).collect()
+        for name, (_, _, place) in open_.items():
+            for r in sorted((r for r in got if r["name"] == name), key=lambda r: r["slot"]):
+                if place < r["k"]:
+                    state[name] = (r["lo"], r["hi"], place)
+                    break
+                place -= r["k"]
+    return {k: v[0] for k, v in state.items()}
+
+
 def bounds(points: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """One row: for lat and lon the values at places floor(n * low) and floor(n * high) of their order.
+    """One row: for lat and lon the values at places floor(n * low) and floor(n * high) of their order; nulls without points."""
+    on = points.where("lat is not null and lon is not null")
+    got = placed_values(on, {f"{c}_{e}": (c, p) for c in ("lat", "lon") for e, p in (("low", low), ("high", high))})
+    return points.sparkSession.createDataFrame([tuple(got.values())], ", ".join(f"{k} double" for k in got))
+
 
-    The places come from counts by value, so only distinct values are ordered.
+def fitted_view(edges: DataFrame, width: float = 720.0, height: float = 360.0) -> DataFrame:
+    """bounds with span_lat, span_lon (one degree at least), zoom and the centre (cx, cy) on a canvas of the whole world at zoom 1.
+
+    The tighter of both axes fills four fifths of the canvas, zoom is 8 at most; without points the whole world at zoom 1.
     """
-    out = None
-    for c in ("lat", "lon"):
-        counts = points.where("lat is not null and lon is not null").groupBy(F.col(c).alias("v")).agg(F.count("*").alias("k"))
-        run = F.sum("k").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-        whole = F.sum("k").over(Window.partitionBy())
-        ranked = counts.withColumn("upto", run).withColumn("n", whole)
-        at = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
-        one = ranked.agg(
-            F.min(F.when(F.col("upto") > at(low), F.col("v"))).alias(f"{c}_low"), F.min(F.when(F.col("upto") > at(high), F.col("v"))).alias(f"{c}_high")
-        )
-        out = one if out is None else out.crossJoin(one)  # two single rows
-    return out
+    lat, lon = F.greatest(F.col("lat_high") - F.col("lat_low"), F.lit(1.0)), F.greatest(F.col("lon_high") - F.col("lon_low"), F.lit(1.0))
+    out = edges.withColumns({"span_lat": lat, "span_lon": lon})
+    fit = F.least(F.lit(180 * 0.8) / F.col("span_lat"), F.lit(360 * 0.8) / F.col("span_lon"), F.lit(8.0))
+    middle = lambda c: (F.col(f"{c}_low") + F.col(f"{c}_high")) / 2
+    cx, cy = middle("lon") / 360 * width, -(middle("lat") / 180) * height
+    return out.withColumns({"zoom": F.when(F.col("lat_low").isNull(), 1.0).otherwise(F.least(F.greatest(fit, F.lit(1.0)), F.lit(128.0))), "cx": F.coalesce(cx, F.lit(0.0)), "cy": F.coalesce(cy, F.lit(0.0))})
 
 
 # density clusters ---------------------------------------------------------------------------------------------------
@@ -204,19 +234,6 @@ def near_clusters(hashes: DataFrame, most: int, quality: DataFrame | None = None
 # vectors ------------------------------------------------------------------------------------------------------------
 
 
-def near_vectors(vectors: DataFrame, least_cosine: float, blocks: int = 16) -> DataFrame:
-    """Pairs (a, b, score) of unit vectors(asset_id, vec) with at least that dot product, exact, in blocks.
-
-    Every row joins the others block by block: row blocks are replicated to the blocks they meet, so no task sees more
-    than two blocks. Exact search is quadratic by nature; it is meant for one table of identities or one partition key.
-    """
-    own = vectors.select(F.col("asset_id").alias("a"), F.col("vec").alias("va"), F.pmod(F.xxhash64("asset_id"), F.lit(blocks)).alias("i"))
-    left = own.select("a", "va", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("j"))
-    right = own.select(F.col("a").alias("b"), F.col("va").alias("vb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("i"), F.col("i").alias("j"))
-    met = left.join(right, ["i", "j"]).where("a < b").withColumn("score", S.dot(F.col("va"), F.col("vb")))
-    return met.where(F.col("score") >= least_cosine).select("a", "b", "score")
-
-
 def vector_clusters(vectors: DataFrame, eps: float, least: int) -> DataFrame:
     """(id, cluster) by density with cosine distance at most eps; noise is null."""
     pairs = near_vectors(vectors, 1.0 - eps)
@@ -234,72 +251,11 @@ def centroids(labelled: DataFrame, key: str) -> DataFrame:
 def merged_clusters(cents: DataFrame, key: str, most: float) -> DataFrame:
     """(key, merged): clusters whose centroids are within `most` cosine distance share the smallest key."""
     vectors = cents.select(F.col(key).cast("long").alias("asset_id"), F.col("centroid").alias("vec"))
-    roots = components(near_vectors(vectors, 1.0 - most, blocks=4).select("a", "b"))
+    roots = components(near_vectors(vectors, 1.0 - most).select("a", "b"))
     own = cents.select(F.col(key).cast("long").alias(key))
     return own.join(roots, own[key] == roots["node"], "left").select(key, F.coalesce("root", key).alias("merged"))
 
 
-def assigned(benefit: np.ndarray) -> list[int]:
-    """The column of each row in a one-to-one assignment of largest total, for a square matrix.
-
-    Rows enter one after another; each follows a cheapest augmenting path under prices that keep all reduced costs
-    from being negative.
-    """
-    n = len(benefit)
-    cost = benefit.max(initial=0) - benefit.astype(np.int64)
-    row_price, col_price, owner = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1)
-    for row in range(n):
-        dist, came, done = cost[row] - row_price[row] - col_price, np.full(n, row), np.zeros(n, bool)
-        while True:
-            open_ = np.where(done, np.iinfo(np.int64).max, dist)
-            col = int(open_.argmin())
-            reach = int(dist[col])
-            done[col] = True
-            if owner[col] < 0:
-                break
-            by = int(owner[col])
-            other = reach + cost[by] - row_price[by] - col_price
-            better = ~done & (other < dist)
-            dist, came = np.where(better, other, dist), np.where(better, by, came)
-        passed = np.flatnonzero(done)
-        row_price[row] += reach
-        for c in passed:
-            if owner[c] >= 0:
-                row_price[owner[c]] += reach - dist[c]
-            col_price[c] += min(0, int(dist[c]) - reach)
-        while True:
-            by = int(came[col])
-            before = int(np.flatnonzero(owner == by)[0]) if by != row else -1
-            owner[col] = by
-            if by == row:
-                break
-            col = before
-    out = [0] * n
-    for c, r in enumerate(owner):
-        out[int(r)] = c
-    return out
-
-
-def reassigned(new: list[tuple[int, list[float]]], old: list[tuple[int, list[float]]], least: float) -> dict[int, int]:
-    """New cluster labels onto old ids, one to one by largest similarity; below `least` they get ids past the old ones.
-
-    For the few centroids of one library, on the driver.
-    """
-    size = max(len(new), len(old))
-    sim = np.full((size, size), -1.0)
-    if new and old:
-        a, b = np.array([v for _, v in new], float), np.array([v for _, v in old], float)
-        sim[: len(new), : len(old)] = a @ b.T
-    got, fresh, out = assigned(((sim + 1) * 1e6).astype(np.int64)), max((k for k, _ in old), default=-1) + 1, {}
-    for i, (label, _) in enumerate(new):
-        j = got[i]
-        if j < len(old) and sim[i, j] >= least:
-            out[label] = old[j][0]
-        else:
-            out[label], fresh = fresh, fresh + 1
-    return out
-
-
 def pairwise_f1(labelled: DataFrame, truth: str, found: str) -> DataFrame:
     """One row tp, fp, fn, precision, recall, f1 over all pairs, from the contingency table; rows without a cluster are alone."""
     pairs = lambda n: n * (n - 1) / 2

@@ -10,6 +10,7 @@ from lumora.functions import cities
 from lumora.functions import scalars as S
 from lumora.operators import analytics as A
 from lumora.operators.density import Grid, density_grid, grown
+from lumora.operators.vectors import near_vectors, reassigned
 from lumora.plans.book import query
 from lumora.session import load
 from lumora.sources import catalogue as C
@@ -123,6 +124,19 @@ def geo_bounds(spark, d):
     return A.bounds(C.geo(spark, d))
 
 
+@query(
+    with_tables(
+        "geo",
+        """p AS (SELECT list_sort(list(lat)) AS a, list_sort(list(lon)) AS o, count(*) AS n FROM geo WHERE lat IS NOT NULL), b AS (SELECT a[1 + CAST(floor(n * 0.05) AS BIGINT)] AS lat_low, a[1 + CAST(floor(n * 0.95) AS BIGINT)] AS lat_high,
+o[1 + CAST(floor(n * 0.05) AS BIGINT)] AS lon_low, o[1 + CAST(floor(n * 0.95) AS BIGINT)] AS lon_high FROM p), s AS (SELECT *, greatest(lat_high - lat_low, 1.0) AS span_lat, greatest(lon_high - lon_low, 1.0) AS span_lon FROM b)
+SELECT lat_low, lat_high, lon_low, lon_high, span_lat, span_lon, greatest(least(144.0::DOUBLE / span_lat, 288.0::DOUBLE / span_lon, 8.0), 1.0) AS zoom, (lon_low + lon_high) / 2 / 360 * 720 AS cx, -((lat_low + lat_high) / 2 / 180) * 360 AS cy FROM s""",
+    ).replace("\np AS", ",\np AS")
+)
+def map_view(spark, d):
+    """Where the map opens: bounds without outliers, spans, zoom and centre."""
+    return A.fitted_view(A.bounds(C.geo(spark, d)))
+
+
 TRIP = dict(eps_km=60.0, eps_days=20.0, least=4)
 CORES = """pts AS (SELECT asset_id AS id, lat, lon, day, lat * 111.0 AS x, lon * 111.0 * cos(radians(lat)) AS y, day * 3.0::DOUBLE AS z FROM geo WHERE lat IS NOT NULL AND day IS NOT NULL),
 nb AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON a.id <> b.id AND abs(a.z - b.z) <= 60 AND abs(a.x - b.x) <= 60 AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= 3600),
@@ -264,6 +278,29 @@ def face_clusters(spark, d):
     return A.vector_clusters(C.asset_vec(spark, d), **FACES)
 
 
+@query(
+    with_tables("vec", "").rstrip()
+    + f""", big AS (SELECT v.asset_id AS a, q.asset_id AS b, round({DOT}, 6) AS score FROM vec v JOIN vec q ON v.asset_id < q.asset_id WHERE {DOT} >= 0.4::DOUBLE) SELECT * FROM big"""
+)
+def near_vector_pairs(spark, d):
+    """All pairs of vectors with a dot product of 0.4 or more, by pivots."""
+    return near_vectors(C.asset_vec(spark, d), 0.4).withColumn("score", F.round("score", 6))
+
+
+@query(
+    with_tables("vec", "").rstrip()
+    + """, x AS (SELECT asset_id // 16 AS library, asset_id % 16 AS label FROM vec), o AS (SELECT library, max(label + 100) AS top FROM x WHERE label % 5 <> 0 GROUP BY 1)
+SELECT x.library, label, label + 100 AS identity, 1.0::DOUBLE AS score FROM x WHERE label % 5 <> 0
+UNION ALL SELECT x.library, label, coalesce(top, -1) + row_number() OVER (PARTITION BY x.library ORDER BY label), NULL FROM x LEFT JOIN o ON o.library = x.library WHERE label % 5 = 0"""
+)
+def identities_carried(spark, d):
+    """New clusters of many libraries as identities of the ones before: those that stayed keep theirs, new ones come after."""
+    k = F.col("asset_id")
+    new = C.asset_vec(spark, d).select(F.expr("asset_id div 16").alias("library"), (k % 16).alias("label"), "vec")
+    old = new.where("label % 5 <> 0").select("library", (F.col("label") + 100).alias("identity"), "vec")
+    return reassigned(new, old, "library", 0.55).withColumn("score", F.round("score", 4))
+
+
 @query()
 def merge_centroids(spark, d):
     """Clusters of identities whose centroids are near take the smallest id."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumora.functions import codes
+from lumora.functions import codes, tables
 from lumora.functions import scalars as S
 from lumora.operators import sharing
 from lumora.plans.book import query
@@ -141,6 +141,21 @@ def grid_detections(spark, d):
     return load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.size(boxes).alias("n"), F.aggregate(boxes, F.lit(0.0), lambda s, b: s + b["x1"]).alias("x1"))
 
 
+@query(
+    """SELECT o_orderkey AS id, CAST(i AS INT) AS anchor, CAST((o_orderkey * (i + 1)) % 97 AS DOUBLE) AS score, (i % 4 - (o_orderkey + 4 * i) % 5 / 2.0) * 8 AS x1, (i // 4 - (o_orderkey + 4 * i + 1) % 5 / 2.0) * 8 AS y1,
+(i % 4 + (o_orderkey + 4 * i + 2) % 5 / 2.0) * 8 AS x2, (i // 4 + (o_orderkey + 4 * i + 3) % 5 / 2.0) * 8 AS y2 FROM orders, range(16) t(i) WHERE (o_orderkey * (i + 1)) % 97 >= 50"""
+)
+def detections_expanded(spark, d):
+    """Detected boxes as rows, by a table function in SQL; all fields of each box."""
+    tables.register(spark)
+    grids = load(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: ((F.col("o_orderkey") * (i + 1)) % 97).cast("double")).alias("scores"),
+        F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: ((F.col("o_orderkey") + i) % 5) / 2.0).alias("offsets"),
+    )
+    return spark.sql("SELECT g.id, b.* FROM {grids} g, LATERAL expand_detections(g.scores, g.offsets, 8, 4, 50.0D) b", grids=grids)
+
+
 @query(
     """WITH g AS (SELECT o_orderkey AS id, i // 9 AS y, i % 9 AS x, CAST((o_orderkey * (i + 3) * 7919) % 251 AS DOUBLE) AS v FROM orders, range(72) t(i) WHERE o_orderkey <= 400)
 SELECT c.id, round(var_pop(u.v + dn.v + l.v + r.v - 4 * c.v), 4) AS sharpness FROM g c JOIN g u ON u.id = c.id AND u.x = c.x AND u.y = c.y - 1 JOIN g dn ON dn.id = c.id AND dn.x = c.x AND dn.y = c.y + 1

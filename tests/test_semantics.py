@@ -15,6 +15,7 @@ from lumora.operators import ingest as I
 from lumora.operators import library as L
 from lumora.operators import sharing
 from lumora.operators import text_index as T
+from lumora.operators import vectors as V
 from lumora.operators.components import components
 from lumora.streaming import feeds
 
@@ -145,10 +146,9 @@ def test_assignment_is_optimal():
     rng = np.random.default_rng(2)
     for n in (1, 2, 3, 5, 6):
         m = rng.integers(0, 1000, (n, n))
-        got = A.assigned(m)
+        got = V.assigned(m)
         assert sorted(got) == list(range(n))
         assert sum(m[i, j] for i, j in enumerate(got)) == max(sum(m[i, j] for i, j in enumerate(p)) for p in permutations(range(n)))
-    assert A.reassigned([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [-1.0, 0.0])], [(10, [1.0, 0.0]), (11, [0.0, 1.0])], 0.55) == {0: 10, 1: 11, 2: 12}
 
 
 def test_vector_clusters_and_centroids(spark):
