@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 
-@udtf(returnType="anchor int, score double, x1 double, y1 double, x2 double, y2 double")
+@udtf(returnType=StructType([StructField("anchor", IntegerType()), *(StructField(c, DoubleType()) for c in ("score", "x1", "y1", "x2", "y2"))]))
 class ExpandDetections:
     """A row for each anchor of a grid whose score reaches the threshold: its place, score and box.
 
