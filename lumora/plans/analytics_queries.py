@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -10,9 +11,10 @@ from lumora.functions import cities
 from lumora.functions import scalars as S
 from lumora.operators import analytics as A
 from lumora.operators.density import Grid, density_grid, grown
+from lumora.operators import vector_lists
 from lumora.operators.vectors import near_vectors, reassigned
 from lumora.plans.book import query
-from lumora.session import load
+from lumora.session import load, shared_dir
 from lumora.sources import catalogue as C
 from lumora.sources.catalogue import with_tables
 
@@ -287,6 +289,27 @@ def near_vector_pairs(spark, d):
     return near_vectors(C.asset_vec(spark, d), 0.4).withColumn("score", F.round("score", 6))
 
 
+def _lists(spark, d):
+    vecs = C.asset_vec(spark, d)
+    lists = vector_lists.build(vecs, f"{shared_dir(spark)}/lumora-lists-{uuid.uuid4().hex}")
+    return lists, vecs.where("asset_id % 50 = 0").select(F.col("asset_id").alias("query_id"), "vec")
+
+
+@query(with_tables("vec", f"SELECT query_id, CAST(rank AS INT) AS rank, asset_id, round(score, 6) AS score FROM (SELECT q.asset_id AS query_id, v.asset_id, {DOT} AS score, row_number() OVER (PARTITION BY q.asset_id ORDER BY {DOT} DESC, v.asset_id) AS rank FROM vec v, vec q WHERE q.asset_id % 50 = 0) WHERE rank <= 20"))
+def vector_lists_exact(spark, d):
+    """The twenty nearest of every fiftieth vector from the stored lists, all of them read."""
+    lists, asked = _lists(spark, d)
+    return vector_lists.search(spark, lists, asked, exact=True).withColumn("score", F.round("score", 6))
+
+
+@query(with_tables("vec", "SELECT DISTINCT asset_id AS query_id, true AS enough FROM vec WHERE asset_id % 50 = 0"))
+def vector_lists_recall(spark, d):
+    """Every query with whether the search of a few lists, as measured when they were built, finds nine tenths of the true neighbours of all queries."""
+    lists, asked = _lists(spark, d)
+    share = vector_lists.recall_at(vector_lists.search(spark, lists, asked), vector_lists.search(spark, lists, asked, exact=True))
+    return asked.select("query_id").distinct().withColumn("enough", F.lit(share >= 0.9))
+
+
 @query(
     with_tables("vec", "").rstrip()
     + """, x AS (SELECT asset_id // 16 AS library, asset_id % 16 AS label FROM vec), o AS (SELECT library, max(label + 100) AS top FROM x WHERE label % 5 <> 0 GROUP BY 1)

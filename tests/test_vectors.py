@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumora.functions import tables
 from lumora.operators import analytics as A
+from lumora.operators import vector_lists as L
 from lumora.operators import vectors as V
 
 
@@ -90,3 +91,28 @@ def test_expand_detections(spark):
     rows = spark.sql("SELECT * FROM expand_detections(array(0.9D, 0.2D, null, 0.7D), array(0D,0D,1D,1D, 0D,0D,1D,1D, 0D,0D,1D,1D, 1D,0D,2D,1D), 8, 2, 0.5D)").collect()
     assert [tuple(r) for r in rows] == [(0, 0.9, 0.0, 0.0, 8.0, 8.0), (3, 0.7, 0.0, 8.0, 24.0, 16.0)]
     assert spark.range(1).select(F.lit(1)).count() == 1 and spark.sql("SELECT * FROM expand_detections(null, null, 8, 2, 0.5D)").count() == 0
+
+
+def test_lists_find_neighbours_and_read_few(spark, tmp_path):
+    m = clumps(np.random.default_rng(9), 60, 50, 16, 0.1)
+    df = frame(spark, m)
+    lists = L.build(df, str(tmp_path / "lists"))
+    asked = df.where("asset_id % 50 = 0").select(F.col("asset_id").alias("query_id"), "vec")
+    found, true = L.search(spark, lists, asked), L.search(spark, lists, asked, exact=True)
+    plain = m.astype(np.float32).astype(float)
+    want = {(q, r, int(j)) for q in range(0, len(m), 50) for r, j in enumerate(np.argsort(-np.round(plain @ plain[q], 12), kind="stable")[:20], 1)}
+    assert {(r["query_id"], r["rank"], r["asset_id"]) for r in true.collect()} == want
+    assert L.recall_at(found, true) >= 0.9 and lists.probes <= len(lists.centroids) / 8
+    one = L.search(spark, lists, asked.limit(1))
+    files = {f.rsplit("/", 2)[1] for f in spark.read.parquet(lists.path).where(F.col("list").isin([0])).inputFiles()}
+    assert one.count() == 20 and sum(lists.sizes.values()) == len(m) and len(files) > 1
+
+
+def test_lists_of_copies_nulls_and_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 16)
+    df = frame(spark, np.repeat(np.eye(3), 40, axis=0)).unionByName(spark.createDataFrame([(None, [1.0, 0.0, 0.0]), (500, None)], "asset_id long, vec array<float>"))
+    lists = L.build(df, str(tmp_path / "copies"), many=5)
+    got = L.search(spark, lists, df.where("asset_id in (0, 500)").select(F.col("asset_id").alias("query_id"), "vec"), k=50, exact=True).orderBy("rank").collect()
+    assert [r["asset_id"] for r in got] == list(range(50)) and [r["score"] for r in got] == [1.0] * 40 + [0.0] * 10
+    none = L.build(df.limit(0), str(tmp_path / "none"))
+    assert L.search(spark, none, df.select(F.col("asset_id").alias("query_id"), "vec")).count() == 0
