@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.operators.library import RULE
+from lumora.operators.order import numbered
+from lumora.sources.versions import publish
 
 INCOMING = "__incoming_shares__"
 # fixed values: kinds of background work, and those that need a model
@@ -81,15 +83,12 @@ def updated(rows: DataFrame, changes: DataFrame, key: str, guard: Column | None
 
 
 def appended(rows: DataFrame, new: DataFrame, order: str, key: str = "id") -> DataFrame:
-    """rows and the new ones with keys that go on from the largest, in the order given.
-
-    The new rows of one call are a request's worth and get their numbers in one place; rows are only aggregated.
-    """
+    """rows and the new ones with keys that go on from the largest, in the order given; new rows are numbered in sorted ranges, however many they are."""
     top = rows.agg(F.coalesce(F.max(key), F.lit(0)).alias("__top"))
-    numbered = new.withColumn("__r", F.row_number().over(Window.orderBy(order))).join(F.broadcast(top))
-    numbered = numbered.withColumn(key, (F.col("__top") + F.col("__r")).cast(rows.schema[key].dataType))
-    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name not in numbered.columns]
-    return rows.unionByName(numbered.select("*", *missing).select(*rows.columns))
+    added = numbered(new, [order], "__r").join(F.broadcast(top))
+    added = added.withColumn(key, (F.col("__top") + F.col("__r") + 1).cast(rows.schema[key].dataType))
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name not in added.columns]
+    return rows.unionByName(added.select("*", *missing).select(*rows.columns))
 
 
 def split_person(faces: DataFrame, ids: DataFrame, new_person: int) -> DataFrame:
@@ -98,9 +97,8 @@ def split_person(faces: DataFrame, ids: DataFrame, new_person: int) -> DataFrame
 
 
 def replaced(rows: DataFrame, path: str) -> DataFrame:
-    """The table at path after its rows were written over the old ones."""
-    rows.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    """The table at path after its rows took the place of the old ones, at once (see sources.versions)."""
+    return publish(rows, path)
 
 
 def incoming_source(sources: DataFrame, owner: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.functions import scalars as S
@@ -34,6 +34,43 @@ def and_search(index: DataFrame, query: str, key: str, limit: int | None = 100)
     return out if limit is None else out.limit(max(1, min(limit, 500)))
 
 
+def store(texts: DataFrame, key: str, path: str, batch: int = 0, id_col: str = "id", text_col: str = "text") -> None:
+    """Add texts to the stored index below path: tokens(prefix, token, id, batch) in a folder for each first hex digit pair, and ids(id, batch).
+
+    A later batch that has an id again stands for all of that id (a text without tokens clears it): nothing that is stored is rewritten. Token rows of one frequent
+    word are dealt out over several files; within a file rows are sorted, so a search skips what can't hold its tokens. A batch that is written again replaces itself.
+    """
+    rows = token_index(texts, key, id_col, text_col).withColumn("prefix", F.substring("token", 1, 2))
+    rows.hint("rebalance", "prefix").sortWithinPartitions("prefix", "token", "id").write.partitionBy("prefix").mode("overwrite").parquet(f"{path}/tokens/batch={batch}")
+    texts.select(F.col(id_col).alias("id")).where("id is not null").distinct().write.mode("overwrite").parquet(f"{path}/ids/batch={batch}")
+
+
+def stored(spark: SparkSession, path: str, tokens: list[str] | None = None) -> DataFrame:
+    """(token, id, batch) rows of the stored index, those of tokens only if given: their prefixes' folders, and in these their rows."""
+    out = spark.read.schema("token string, id long, prefix string, batch int").parquet(f"{path}/tokens")
+    if tokens is not None:
+        out = out.where(F.col("prefix").isin(sorted({t[:2] for t in tokens})) & F.col("token").isin(tokens))
+    return out.select("token", "id", "batch")
+
+
+def search_stored(spark: SparkSession, path: str, query: str, key: str, limit: int | None = 100) -> DataFrame:
+    """What and_search finds, from the stored index alone: no text is read, and only the parts that may hold the query's tokens."""
+    words = spark.range(1).select(F.explode(S.tokenize(F.lit(query))).alias("word")).select(S.blind(key, F.col("word")).alias("token"))
+    tokens = [r["token"] for r in words.collect()]  # a query's words
+    if not tokens:
+        return spark.createDataFrame([], "id long")
+    hits = stored(spark, path, tokens).groupBy("id", "batch").agg(F.count_distinct("token").alias("n")).where(F.col("n") == len(tokens))
+    ids = spark.read.schema("id long, batch int").parquet(f"{path}/ids")
+    latest = ids.join(hits.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.max("batch").alias("batch"))
+    out = hits.join(latest, ["id", "batch"]).select("id").orderBy("id")
+    return out if limit is None else out.limit(max(1, min(limit, 500)))
+
+
+def store_lines(lines: DataFrame, key: str, path: str, batch: int, id_col: str = "id", lines_col: str = "lines") -> None:
+    """Index assets by the text of their recognised lines (JSON): the tokens of all lines of an asset together."""
+    store(lines.select(F.col(id_col).alias("id"), lines_text(F.col(lines_col)).alias("text")), key, path, batch)
+
+
 LINES = "array<struct<text:string,bbox:array<int>,conf:float>>"
 
 

@@ -235,8 +235,9 @@ DOT = "list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(v.vec, q.ve
 
 @query(with_tables("vec", f"SELECT v.asset_id, round({DOT}, 6) AS score FROM vec v, (SELECT vec FROM vec WHERE asset_id = 0) q ORDER BY {DOT} DESC, v.asset_id LIMIT 20"))
 def vector_topk(spark, d):
-    score = S.dot(F.col("vec"), F.array(*map(F.lit, _query_vector(spark, d))))
-    top = C.asset_vec(spark, d).withColumn("s", score).orderBy(F.col("s").desc(), "asset_id").limit(20)
+    vecs = C.asset_vec(spark, d)
+    asked = F.broadcast(vecs.where("asset_id = 0").select(F.col("vec").alias("asked")))  # one row
+    top = vecs.crossJoin(asked).withColumn("s", S.dot(F.col("vec"), F.col("asked"))).orderBy(F.col("s").desc(), "asset_id").limit(20)
     return top.select("asset_id", F.round("s", 6).alias("score"))
 
 

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lumora.functions import scalars as S
 from lumora.operators import ingest as I
 from lumora.operators import text_index as T
 from lumora.plans.book import query
-from lumora.session import load
+from lumora.session import load, shared_dir
 
 KEY = "demo-key"
 TOKENS = r"list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')))"
 
 
-@query(f"SELECT doc_id, len({TOKENS}) AS n, array_to_string({TOKENS}[1:20], ' ') AS first_tokens FROM documents")
+@query(f"SELECT doc_id, len({TOKENS}) AS n, array_to_string({TOKENS}, ' ') AS tokens FROM documents")
 def text_tokens(spark, d):
     t = S.tokenize(F.col("text"))
-    return load(spark, d, "documents").select("doc_id", F.size(t).alias("n"), F.array_join(F.slice(t, 1, 20), " ").alias("first_tokens"))
+    return load(spark, d, "documents").select("doc_id", F.size(t).alias("n"), F.array_join(t, " ").alias("tokens"))
 
 
 @query(f"SELECT substr(sha256('{KEY}' || 'tok' || chr(31) || word), 1, 32) AS token, count(*) AS n FROM (SELECT unnest({TOKENS}) AS word FROM documents) GROUP BY 1")
@@ -35,6 +37,29 @@ def text_search_limited(spark, d):
     return T.and_search(T.token_index(load(spark, d, "documents"), KEY, "doc_id"), "der DIE", KEY, 100)
 
 
+def _stored_index(spark, d):
+    """The stored index of all texts, in which every tenth asset was indexed anew by its recognised lines, and every hundredth by none."""
+    path = f"{shared_dir(spark)}/lumora-index-{uuid.uuid4().hex}"
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    T.store(docs, KEY, path)
+    line = lambda t: F.struct(t.alias("text"), F.array(F.lit(0)).alias("bbox"), F.lit(0.9).alias("conf"))
+    lines = F.when(F.col("id") % 100 != 3, F.to_json(F.array(line(F.concat(F.lit("Scan, "), "lang")), line(F.concat(F.lit("of "), "source"))))).otherwise("broken")
+    T.store_lines(docs.where("id % 10 = 3").select("id", lines.alias("lines")), KEY, path, 1)
+    return path
+
+
+@query(f"SELECT doc_id AS id FROM documents WHERE doc_id % 10 <> 3 AND list_has_all({TOKENS}, ['the', 'of'])")
+def text_search_stored(spark, d):
+    """A search of the stored index: assets that were indexed anew are found by their new tokens only."""
+    return T.search_stored(spark, _stored_index(spark, d), "OF the", KEY, None)
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id % 10 = 3 AND doc_id % 100 <> 3 AND lang = 'fr' ORDER BY 1 LIMIT 100")
+def text_search_lines(spark, d):
+    """Assets found by the words of different recognised lines."""
+    return T.search_stored(spark, _stored_index(spark, d), "scan of FR", KEY)
+
+
 @query(f"WITH x AS (SELECT doc_id AS id, unnest({TOKENS}) AS w FROM documents WHERE doc_id % 10 <> 3 UNION ALL SELECT doc_id, unnest({TOKENS.replace('lower(text)', 'lower(html)')}) FROM (SELECT page_id AS doc_id, html FROM pages WHERE page_id % 10 = 3)) SELECT id, count(DISTINCT w) AS n FROM x GROUP BY 1")
 def text_index_reindexed(spark, d):
     """The keyed index after every tenth text was replaced by a page: the old tokens go, the new ones come."""

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lumora.operators import library as L
 from lumora.plans.book import ORACLES, QUERIES, query
-from lumora.session import load
+from lumora.session import load, shared_dir
 from lumora.sources import catalogue as C
 from lumora.sources.catalogue import with_tables
+from lumora.sources.versions import current, publish
 
 FEED = "ORDER BY coalesce(day, 0) DESC, id DESC"
 
@@ -139,6 +142,15 @@ def smart_album_snapshot(spark, d):
     return L.snapshot(1, L.filtered(C.asset(spark, d), L.compile_rule(RULE)), 20000)
 
 
+@query(with_tables("asset", "SELECT CAST(1 AS BIGINT) AS collection_id, id AS asset_id, CAST(20001 AS BIGINT) AS snapshot_at FROM asset WHERE is_raw AND lower(device) LIKE '%urgent%' AND day >= 9496"))
+def smart_album_refreshed(spark, d):
+    """The stored members of a saved rule after a refresh took the place of those of a wider rule."""
+    path = f"{shared_dir(spark)}/lumora-snapshot-{uuid.uuid4().hex}"
+    for at, rule in ((20000, {"is_raw": True}), (20001, RULE)):
+        publish(L.snapshot(1, L.filtered(C.asset(spark, d), L.compile_rule(rule)), at), path)
+    return current(spark, path)
+
+
 @query(with_tables("asset", f"SELECT id, day FROM asset WHERE is_raw AND lower(device) LIKE '%urgent%' AND day >= 9496 {FEED} LIMIT 120"))
 def smart_album_page(spark, d):
     members = smart_album_snapshot(spark, d).select(F.col("asset_id").alias("id"))

@@ -12,6 +12,7 @@ from lumora.plans.book import query
 from lumora.session import load, settle, shared_dir
 from lumora.sources import catalogue as C
 from lumora.sources.catalogue import with_tables
+from lumora.sources.versions import current
 
 FEED = "ORDER BY coalesce(day, 0) DESC, id DESC"
 LINK = """link AS (SELECT event_id AS id, user_id % 25 AS owner_id, substr(sha256('pub' || event_id), 1, 16) AS pub_id, user_id AS collection_id, CAST(floor(epoch(ts)) AS BIGINT) AS created FROM events)"""
@@ -187,6 +188,16 @@ def near_dup_clusters_replaced(spark, d):
     return R.replaced(docs, path)
 
 
+@query("SELECT source AS cluster, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1")
+def near_dup_clusters_versions(spark, d):
+    """A set of clusters while a newer one is being written: who reads in between has the older one whole, then the newer one."""
+    path = f"{shared_dir(spark)}/lumora-clusters-{uuid.uuid4().hex}"
+    docs = load(spark, d, "documents").groupBy(F.col("source").alias("cluster")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    for part in ("cluster like '%1%'", "cluster like '%2%'", "true"):
+        R.replaced(docs.where(part), path)
+    return current(spark, path)
+
+
 @query(with_tables("face", "SELECT person_id, count(*) AS n FROM (SELECT CASE WHEN asset_id % 10 = 0 AND person_id = 3 THEN 100000 ELSE person_id END AS person_id FROM face) GROUP BY 1"))
 def person_split(spark, d):
     """Every tenth asset's faces of person 3 become a new person."""
@@ -350,8 +361,8 @@ def label_lines(spark, d):
     return R.labels(spark, path)
 
 
-@query(with_tables("geo", "SELECT count(*) AS n_assets FROM geo WHERE lat IS NOT NULL AND source_id % 60 < 40"))
+@query(with_tables("geo", "SELECT count(*) AS n_assets FROM geo WHERE lat IS NOT NULL"))
 def place_asset_count(spark, d):
-    """Assets over all places of a part of the map, each counted where it lies."""
-    on = C.geo(spark, d).where("lat is not null and source_id % 60 < 40")
+    """Assets over all places of the map, each counted where it lies."""
+    on = C.geo(spark, d).where("lat is not null")
     return on.groupBy(F.floor("lat").alias("gy"), F.floor("lon").alias("gx")).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_assets"))
