@@ -144,9 +144,11 @@ def density_grid(points: DataFrame, grid: Grid) -> DataFrame:
     cores = pts.join(sizes.where(F.col("n") >= grid.least).select("cell"), "cell", "left_semi").unionByName(thin.join(counts, "id", "left_semi").select(*pts.columns))
     cores = settle(cores)
     cells = settle(cores.groupBy("cell").agg(F.min("id").alias("least_id")))
-    roots = components(_linked(grid, grid.around(cells, cells).where("a < b"), cores))
-    named = cells.join(roots, cells["cell"] == roots["node"], "left").select("cell", "least_id", F.coalesce("root", "cell").alias("root"))
-    named = named.join(named.groupBy("root").agg(F.min("least_id").alias("cluster")), "root").select("cell", "cluster")
+    # a cell goes by its smallest core, so the smallest name of a component is its cluster's
+    links = _linked(grid, grid.around(cells, cells).where("a < b"), cores)
+    one, two = cells.select(F.col("cell").alias("a"), F.col("least_id").alias("la")), cells.select(F.col("cell").alias("b"), F.col("least_id").alias("lb"))
+    roots = components(links.join(one, "a").join(two, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    named = cells.join(roots, cells["least_id"] == roots["node"], "left").select("cell", F.coalesce("root", "least_id").alias("cluster"))
     inside = settle(cores.join(named, "cell").select("id", *grid.dims, "cell", "cluster"))
     rest = thin.join(inside.select("id"), "id", "left_anti")
     border = _bordered(grid, rest, inside)
