@@ -68,11 +68,11 @@ def named_points(points: DataFrame) -> DataFrame:
 
 
 def places(points: DataFrame, samples: int = 6) -> DataFrame:
-    """(place_id, city, country, n, lat, lon, sample): groups of named points and a strided sample of their ids."""
+    """(place_id, city, region, country, n, lat, lon, sample): groups of named points and a strided sample of their ids."""
     named = named_points(points).select("asset_id", "lat", "lon", "place.city", "place.country", "place.region")
     named = named.withColumn("place_id", F.concat_ws(":", "country", "city"))
     sums = named.groupBy("place_id").agg(
-        F.first("city").alias("city"), F.first("country").alias("country"), F.count("*").alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon")
+        F.first("city").alias("city"), F.min("region").alias("region"), F.first("country").alias("country"), F.count("*").alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon")
     )
     stride = F.floor(F.greatest("n", F.lit(samples)) / samples)
     ranked = named.join(F.broadcast(sums.select("place_id", "n")), "place_id")  # at most one row a city of the table

@@ -176,6 +176,11 @@ def takeout(json: Column) -> Column:
     return S.each(x, lambda x: F.when(x.isNotNull(), fields(x)))
 
 
+def without_sidecars(media: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """media(path) that no file of sidecars(path) belongs to: what an import may still describe."""
+    return media.join(sidecars.select(F.regexp_extract("path", r"(?i)^(.*)\.xmp$", 1).alias("path")), "path", "left_anti")
+
+
 def with_takeout(media: DataFrame, sidecars: DataFrame) -> DataFrame:
     """media(path) with the JSON of sidecars(path, json) named `<path>.json`, else `<path>.supplemental-metadata.json`."""
     first = sidecars.select(F.regexp_extract("path", r"^(.*)\.json$", 1).alias("path"), F.col("json").alias("plain"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import date
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumora.functions import cities
@@ -62,15 +63,15 @@ def _hav(a, b, c, e):
 
 
 def _fold() -> str:
-    rows = ", ".join(f"{{'lat': {r[0]}::DOUBLE, 'lon': {r[1]}::DOUBLE, 'city': '{r[2].replace(chr(39), chr(39) * 2)}', 'country': '{r[4].replace(chr(39), chr(39) * 2)}', 'people': {r[5]}, 'd': NULL::DOUBLE}}" for r in cities.rows())
+    rows = ", ".join(f"{{'lat': {r[0]}::DOUBLE, 'lon': {r[1]}::DOUBLE, 'city': '{r[2].replace(chr(39), chr(39) * 2)}', 'region': '{r[3].replace(chr(39), chr(39) * 2)}', 'country': '{r[4].replace(chr(39), chr(39) * 2)}', 'people': {r[5]}, 'd': NULL::DOUBLE}}" for r in cities.rows())
     at = _hav("lat", "lon", "a.lat", "a.lon")
     to = _hav("lat", "lon", "b.lat", "b.lon")
     first = f"CASE WHEN a.d IS NULL THEN {at} ELSE a.d END"
     take = f"{to} < {first} - 0.5 OR ({to} < {first} + 10 AND b.people > a.people)"
-    put = lambda x, dist: f"{{'lat': {x}.lat, 'lon': {x}.lon, 'city': {x}.city, 'country': {x}.country, 'people': {x}.people, 'd': {dist}}}"
+    put = lambda x, dist: f"{{'lat': {x}.lat, 'lon': {x}.lon, 'city': {x}.city, 'region': {x}.region, 'country': {x}.country, 'people': {x}.people, 'd': {dist}}}"
     return f"""spots AS (SELECT DISTINCT lat, lon FROM geo WHERE lat IS NOT NULL AND lon IS NOT NULL), folded AS (SELECT lat, lon,
 list_reduce([{rows}], lambda a, b: CASE WHEN {take} THEN {put('b', to)} ELSE {put('a', first)} END) AS best FROM spots),
-named AS (SELECT lat, lon, best.city AS city, best.country AS country FROM folded WHERE best.d <= 500)"""
+named AS (SELECT lat, lon, best.city AS city, best.region AS region, best.country AS country FROM folded WHERE best.d <= 500)"""
 
 
 FOLD = _fold()
@@ -86,13 +87,13 @@ def reverse_geocode(spark, d):
     with_tables("geo", "").rstrip()
     + ", "
     + FOLD
-    + """, p AS (SELECT country || ':' || city AS place_id, asset_id, g.lat, g.lon FROM geo g JOIN named USING (lat, lon)),
+    + """, p AS (SELECT country || ':' || city AS place_id, region, asset_id, g.lat, g.lon FROM geo g JOIN named USING (lat, lon)),
 r AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY asset_id) - 1 AS r, count(*) OVER (PARTITION BY place_id) AS k FROM p)
-SELECT place_id, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon,
+SELECT place_id, min(region) AS region, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon,
 string_agg(CAST(asset_id AS VARCHAR), ',' ORDER BY asset_id) FILTER (r % (greatest(k, 6) // 6) = 0 AND r < 6 * (greatest(k, 6) // 6)) AS sample FROM r GROUP BY 1"""
 )
 def places_grouped(spark, d):
-    return A.places(C.geo(spark, d)).select("place_id", "n", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "sample")
+    return A.places(C.geo(spark, d)).select("place_id", "region", "n", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "sample")
 
 
 @query(with_tables("geo collection member hidden", "SELECT asset_id, lat, lon, source_id FROM geo WHERE lat IS NOT NULL AND day BETWEEN 9000 AND 10000 AND asset_id NOT IN (SELECT asset_id FROM hidden)"))
@@ -303,6 +304,20 @@ def vector_lists_exact(spark, d):
     return vector_lists.search(spark, lists, asked, exact=True).withColumn("score", F.round("score", 6))
 
 
+@query(
+    with_tables("vec", f"""SELECT round(avg(CAST(hit AS INT)), 6) AS accuracy FROM (SELECT query_id, bool_or(label = own) AS hit FROM (SELECT q.asset_id AS query_id, q.label AS own, v.label, row_number() OVER (PARTITION BY q.asset_id ORDER BY {DOT} DESC, v.asset_id) AS rank
+FROM vec v, vec q WHERE q.asset_id % 50 = 0 AND v.asset_id <> q.asset_id) WHERE rank <= 5 GROUP BY 1)""")
+)
+def retrieval_accuracy(spark, d):
+    """How often one of the five nearest other vectors has the query's own label."""
+    lists, asked = _lists(spark, d)
+    own = C.asset_vec(spark, d).select("asset_id", "label")
+    near = vector_lists.search(spark, lists, asked, k=6, exact=True).where("asset_id <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))  # six rows a query
+    hits = near.withColumn("r", rank).where("r <= 5").join(own, "asset_id").join(own.select(F.col("asset_id").alias("query_id"), F.col("label").alias("own")), "query_id")
+    return hits.groupBy("query_id").agg(F.bool_or(F.col("label") == F.col("own")).alias("hit")).agg(F.round(F.avg(F.col("hit").cast("int")), 6).alias("accuracy"))
+
+
 @query(with_tables("vec", "SELECT DISTINCT asset_id AS query_id, true AS enough FROM vec WHERE asset_id % 50 = 0"))
 def vector_lists_recall(spark, d):
     """Every query with whether the search of a few lists, as measured when they were built, finds nine tenths of the true neighbours of all queries."""

@@ -24,7 +24,7 @@ def split(spark, sf, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["stream_totals", "stream_windows", "feed_apply", "stream_dedupe_watermark", "stream_job_queue", "stream_shared_keys", "stream_tumbling_late"])
+@pytest.mark.parametrize("name", ["stream_totals", "stream_windows", "feed_apply", "stream_dedupe_watermark", "stream_job_queue"])
 def test_several_files_give_the_same_rows(spark, split, duck, name, monkeypatch):  # noqa: F811
     monkeypatch.setattr(general_queries, "PER_TRIGGER", {"maxFilesPerTrigger": "1"})
     df = registry.QUERIES[name](spark, split)
