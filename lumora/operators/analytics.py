@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from datetime import date
+from itertools import combinations
+from math import comb
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -207,18 +209,45 @@ def trip_members(points: DataFrame, eps_km: float = 50.0, eps_days: float = 3.0,
 # near duplicates of 64-bit hashes -----------------------------------------------------------------------------------
 
 
+def _wide_bands(n: int, most: int, bands: tuple[tuple[int, int], ...]) -> list[list[tuple[int, int]]]:
+    """Keys for n hashes, each a list of (shift, width) parts: a pair at most `most` bits apart agrees on one key at least.
+
+    The 64 bits are cut into blocks; of m blocks m - most are untouched by `most` bits, so a key for each choice of that many blocks finds every pair. More blocks give longer keys and more
+    of them. The way with the fewest rows and expected meetings is taken, the rule's own bands among them.
+    """
+    best, cost = [[b] for b in bands], sum(n + n * n / 2.0**w for _, w in bands)
+    for m in range(most + 1, min(64, most + 8) + 1):
+        cuts = [64 * k // m for k in range(m + 1)]
+        blocks = [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+        keys = [list(c) for c in combinations(blocks, m - most)] if comb(m, m - most) <= 300 else []
+        now = sum(n + n * n / 2.0 ** sum(w for _, w in k) for k in keys)
+        if keys and now < cost:
+            best, cost = keys, now
+    return best
+
+
 def near_hashes(hashes: DataFrame, most: int, bands: tuple[tuple[int, int], ...] = ((60, 4), (56, 4))) -> DataFrame:
     """Pairs (a, b, bits) of hashes(id, hash) at most `most` bits apart that agree on one of the bands (shift, width).
 
-    Distinct hashes meet, each with the ids it stands for hung on the smallest, so groups of equal images cost one row.
+    Distinct hashes meet, each with the ids it stands for hung on the smallest, so groups of equal images cost one row. They meet under the keys of `_wide_bands`,
+    exactly: the bands of the rule are the last filter, and keys only where nothing longer finds every pair.
     """
-    same = hashes.groupBy("hash").agg(F.min("id").alias("least"))
+    same = settle(hashes.groupBy("hash").agg(F.min("id").alias("least")))
     stars = hashes.join(same, "hash").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"), F.lit(0).alias("bits"))
-    keys = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("hash", s).bitwiseAND(F.lit((1 << w) - 1).cast("long")).alias("v")) for k, (s, w) in enumerate(bands)))
-    posts = same.select("least", "hash", F.explode(keys).alias("p")).select("least", "hash", "p.k", "p.v")
+    part = lambda c, s, w: F.shiftrightunsigned(c, s).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1).cast("long"))
+    keys = []
+    for k, parts in enumerate(_wide_bands(same.count(), most, bands)):
+        value = F.lit(0).cast("long")
+        for s, w in parts:
+            value = F.shiftleft(value, w).bitwiseOR(part("hash", s, w))
+        keys.append(F.struct(F.lit(k).alias("k"), value.alias("v")))
+    posts = same.select("least", "hash", F.explode(F.array(*keys)).alias("p")).select("least", "hash", "p.k", "p.v")
     other = posts.select(F.col("least").alias("least2"), F.col("hash").alias("hash2"), "k", "v")
     bits = S.hamming(F.col("hash"), F.col("hash2"))
-    met = posts.join(other, ["k", "v"]).where((F.col("least") < F.col("least2")) & (bits <= most))
+    shared = F.lit(False)
+    for s, w in bands:
+        shared = shared | (part("hash", s, w) == part("hash2", s, w))
+    met = posts.join(other, ["k", "v"]).where((F.col("least") < F.col("least2")) & (bits <= most) & shared)
     pairs = met.select(F.col("least").alias("a"), F.col("least2").alias("b"), bits.alias("bits")).distinct()
     return pairs.unionByName(stars)
 

@@ -173,7 +173,15 @@ def trip_members(spark, d):
     return A.trip_members(C.geo(spark, d), **TRIP).orderBy("start_day", "trip_id")
 
 
-@query()
+@query(
+    with_tables("geo", "").replace("WITH ", "WITH RECURSIVE ").rstrip()
+    + ", "
+    + CORES
+    + ", t AS (SELECT cluster AS trip_id, count(*) AS n, avg(lat) AS lat, avg(lon) AS lon, DATE '1970-01-01' + CAST(min(day) AS INT) AS s, DATE '1970-01-01' + CAST(max(day) AS INT) AS e FROM lab JOIN pts USING (id) GROUP BY 1), "
+    + FOLD.replace("FROM geo WHERE", "FROM t WHERE")
+    + """ SELECT trip_id, city AS place, coalesce(city, 'Trip · ' || n || ' photos') || ' · ' || CASE WHEN e = s THEN strftime(s, '%b %-d, %Y') WHEN year(s) = year(e) THEN strftime(s, '%b %-d') || ' → ' || strftime(e, '%b %-d, %Y')
+ELSE strftime(s, '%b %-d, %Y') || ' → ' || strftime(e, '%b %-d, %Y') END AS label FROM t LEFT JOIN named USING (lat, lon)"""
+)
 def trip_labels(spark, d):
     return A.trips(C.geo(spark, d), **TRIP).select("trip_id", "place", "label")
 
@@ -212,6 +220,20 @@ def near_dup_pairs(spark, d):
     return A.near_hashes(_hashes(spark, d), 20)
 
 
+@query(
+    with_tables("vec", "").rstrip()
+    + f""", o AS (SELECT asset_id AS id, {HASH} AS hash FROM vec), h AS (FROM o UNION ALL SELECT id + 1000000, xor(hash, CAST(1 AS BIGINT) << (id % 60)) FROM o UNION ALL SELECT id + 2000000, xor(hash, CAST(21 AS BIGINT) << (id % 50)) FROM o), c AS (SELECT hash, min(id) AS id FROM h GROUP BY 1)
+SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.hash, b.hash)) AS INT) AS bits FROM c a JOIN c b ON a.id < b.id AND bit_count(xor(a.hash, b.hash)) <= 6
+AND (((a.hash >> 60) & 15) = ((b.hash >> 60) & 15) OR ((a.hash >> 56) & 15) = ((b.hash >> 56) & 15))
+UNION ALL SELECT c.id, h.id, 0 FROM h JOIN c ON c.hash = h.hash AND c.id <> h.id"""
+)
+def near_dup_pairs_close(spark, d):
+    """Pairs within six bits, among hashes and changed copies of them, where long keys find every pair."""
+    h = _hashes(spark, d)
+    changed = lambda n, bits, most: h.select((F.col("id") + n).alias("id"), F.expr(f"hash ^ shiftleft({bits}L, CAST(id % {most} AS INT))").alias("hash"))
+    return A.near_hashes(h.unionByName(changed(1_000_000, 1, 60)).unionByName(changed(2_000_000, 21, 50)), 6)
+
+
 @query(
     with_tables("vec", "").replace("WITH ", "WITH RECURSIVE ").rstrip()
     + f""", h AS (SELECT asset_id AS id, {HASH} AS hash FROM vec),
@@ -403,7 +425,13 @@ def iou_pairs(spark, d):
     return b.select(F.col("l_orderkey").alias("id"), F.round(each, 6).alias("total"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE g AS (SELECT l_orderkey AS id, list({{'s': -l_extendedprice, 'k': l_partkey, 'x1': {BOX[0]}, 'y1': {BOX[1]}, 'x2': {BOX[2]}, 'y2': {BOX[3]}}} ORDER BY -l_extendedprice, l_partkey, {BOX[0]}, {BOX[1]}, {BOX[2]}, {BOX[3]}) AS boxes FROM lineitem GROUP BY 1),
+r AS (SELECT id, boxes, 0 AS i, boxes[1:0] AS kept FROM g UNION ALL SELECT id, boxes, i + 1, CASE WHEN len(list_filter(kept, lambda a: greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0)
+  > 0.4 * ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0)))) > 0 THEN kept ELSE list_append(kept, b) END
+  FROM (SELECT *, boxes[i + 1] AS b FROM r WHERE i < len(boxes)))
+SELECT id, CAST(len(boxes) AS INT) AS n, CAST(len(kept) AS INT) AS n_kept, array_to_string(list_transform(kept, lambda b: CAST(b.k AS VARCHAR)), ',') AS kept FROM r WHERE i = len(boxes)"""
+)
 def nms(spark, d):
     """Boxes left after greedy suppression, best price first."""
     kept = S.suppressed(F.col("boxes"), 0.4)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumora.operators.library import merge_latest
+from lumora.streaming.runs import forget
 
 OPEN = ("pending", "running")
 
@@ -32,7 +33,7 @@ def last_writes(entries: DataFrame) -> DataFrame:
 def apply_feed(stream: DataFrame, path: str, keys: list[str], at: str, checkpoint: str):
     """Keep the table at path up to date from a stream of upserts and deletes; each batch is merged and versioned.
 
-    A batch writes version <batch id> beside the earlier one, so a repeated batch (after a failure) starts from the version before it.
+    A batch writes version <batch id> beside the earlier one, so a repeated batch (after a failure) starts from the version before it; older ones are deleted.
     """
     spark = stream.sparkSession
 
@@ -40,6 +41,7 @@ def apply_feed(stream: DataFrame, path: str, keys: list[str], at: str, checkpoin
         names = [c for c in batch.columns if c != "op"]
         old = spark.read.parquet(f"{path}/v={number - 1}") if number else batch.select(*names).limit(0)
         merge_latest(old.select(*names), batch, keys, at).write.mode("overwrite").parquet(f"{path}/v={number}")
+        forget(spark, f"{path}/v={number - 2}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

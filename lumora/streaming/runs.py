@@ -36,6 +36,12 @@ def _files(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    fs, at = _files(spark, path)
+    fs.delete(at, True)
+
+
 def land(rows: DataFrame, folder: str, number: Column, numbers: range) -> None:
     """Append rows to a landing folder, one file for each number in turn: a stream over the folder meets them in that order."""
     fs, at = _files(rows.sparkSession, folder)
@@ -62,8 +68,7 @@ def run_to_end(stream: DataFrame, mode: str, base: str | None = None) -> DataFra
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/v={number}")
         if mode == "complete" and done and done[-1] != number:
-            fs, at = _files(spark, f"{base}/out/v={done[-1]}")
-            fs.delete(at, True)
+            forget(spark, f"{base}/out/v={done[-1]}")
         done.append(number)
 
     q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()

@@ -76,3 +76,20 @@ def test_growth_equals_the_full_run(spark):
         state = grown(state, spark.createDataFrame(rows[a:b], POINT), grid)
         have += rows[a:b]
         assert labels(state) == plain(have, 1.0, 5)
+
+
+def test_wide_bands_find_every_near_pair(spark):
+    from lumora.operators import analytics as A
+
+    rng = random.Random(11)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    values = base + [b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(9))) for b in base for _ in range(6)]
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    df = spark.createDataFrame(list(enumerate(signed)), "id long, hash long")
+    for most in (0, 3, 6):
+        first = {v: i for i, v in reversed(list(enumerate(values)))}
+        own = sorted(first.values())
+        ok = lambda x, y: (x ^ y).bit_count() <= most and (x >> 60 == y >> 60 or (x >> 56) & 15 == (y >> 56) & 15)
+        want = {(i, j) for i in own for j in own if i < j and ok(values[i], values[j])} | {(first[v], i) for i, v in enumerate(values) if first[v] != i}
+        assert {(r["a"], r["b"]) for r in A.near_hashes(df, most).collect()} == want
+    assert len(A._wide_bands(10**7, 6, ((60, 4), (56, 4)))) > 7 and A._wide_bands(1000, 20, ((60, 4), (56, 4))) == [[(60, 4)], [(56, 4)]]
