@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumora.functions import scalars as S
 from lumora.operators.library import insert_new
+from lumora.operators.order import numbered
 
 # fixed values: extensions taken in, by kind
 IMAGES = "jpg jpeg png heic heif webp bmp gif tif tiff".split()
@@ -243,7 +244,14 @@ def orphans(stored: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def export_names(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """rows with out_name: repeats of a file name get -1, -2, ... before the extension."""
-    r = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    dotted = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"(\.[^.]*)?$", 1)
-    return rows.withColumn("__r", r).withColumn("out_name", F.when(F.col("__r") == 0, F.col(name)).otherwise(F.concat(dotted[0], F.lit("-"), F.col("__r").cast("string"), dotted[1]))).drop("__r")
+    """rows with out_name: repeats of a file name get -1, -2, ... before the extension, in the order given.
+
+    All rows are numbered by name and order in sorted ranges; a row's number less the first of its name is its repeat, so a name that most files
+    share is no one task's.
+    """
+    placed = numbered(rows, [F.col(name), F.col(order)], "__p")
+    first = placed.groupBy(name).agg(F.min("__p").alias("__first"))
+    r = F.col("__p") - F.col("__first")
+    stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"(\.[^.]*)?$", 1)
+    out = F.when(r == 0, F.col(name)).otherwise(F.concat(stem, F.lit("-"), r.cast("string"), ext))
+    return placed.join(first, name).select(*rows.columns, out.alias("out_name"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumora.functions import codes
+from lumora.operators.order import running
 
 
 def published(album: DataFrame, members: DataFrame) -> DataFrame:
@@ -64,13 +65,6 @@ def blob_path(hash_col):
 
 
 def evicted(files: DataFrame, max_bytes: int) -> DataFrame:
-    """Files(path, bytes, mtime) to drop, oldest first, until the rest fits.
-
-    Newest files stay while their running sum fits; sums are taken by modification time first, so only distinct times
-    are put in one order.
-    """
-    by = files.groupBy("mtime").agg(F.sum("bytes").alias("b"))
-    before = by.withColumn("newer", F.coalesce(F.sum("b").over(Window.orderBy(F.col("mtime").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("mtime").orderBy("path")
-    ranked = files.join(before.select("mtime", "newer"), "mtime").withColumn("upto", F.col("newer") + F.sum("bytes").over(inside))
+    """Files(path, bytes, mtime) to drop, oldest first, until the rest fits: newest files stay while their running sum fits, ties by path."""
+    ranked = running(files, [F.col("mtime").desc(), F.col("path")], "bytes", "upto")
     return ranked.where(F.col("upto") > max_bytes).select(*files.columns)

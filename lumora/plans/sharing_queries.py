@@ -141,6 +141,21 @@ def grid_detections(spark, d):
     return load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.size(boxes).alias("n"), F.aggregate(boxes, F.lit(0.0), lambda s, b: s + b["x1"]).alias("x1"))
 
 
+@query(
+    """WITH p AS (SELECT o_orderkey AS k, len(list_distinct([[o_orderkey % 7, o_orderkey % 11], [o_orderkey % 13, o_orderkey % 5], [o_orderkey % 3, o_orderkey % 17], [o_orderkey % 19, o_orderkey % 23], [o_orderkey % 29, o_orderkey % 2]])) AS n FROM orders)
+SELECT k AS id, CASE WHEN n > 1 THEN round((k % 9 + 1) / 5.0, 6) END AS a, CASE WHEN n > 1 THEN round((k % 4) / 3.0, 6) END AS b, CASE WHEN n > 1 THEN 12.5::DOUBLE END AS tx, CASE WHEN n > 1 THEN -3.0::DOUBLE END AS ty FROM p"""
+)
+def similarity_fitted(spark, d):
+    """The transform fitted to five moved points is the one that moved them; five equal points fix none."""
+    k = F.col("o_orderkey")
+    src = F.array(*(F.struct((k % p).cast("double").alias("x"), (k % q).cast("double").alias("y")) for p, q in ((7, 11), (13, 5), (3, 17), (19, 23), (29, 2))))
+    true = F.struct(((k % 9 + 1) / 5.0).alias("a"), ((k % 4) / 3.0).alias("b"), F.lit(12.5).alias("tx"), F.lit(-3.0).alias("ty"))
+    rows = load(spark, d, "orders").select(k.alias("id"), src.alias("src"), true.alias("true"))
+    rows = rows.withColumn("dst", F.transform("src", lambda p: codes.moved(F.col("true"), p["x"], p["y"])))
+    m = F.when(F.size(F.array_distinct("src")) > 1, codes.fitted_similarity(F.col("src"), F.col("dst")))
+    return rows.withColumn("m", m).select("id", *(F.round(F.col(f"m.{c}"), 6).alias(c) for c in ("a", "b", "tx", "ty")))
+
+
 @query(
     """SELECT o_orderkey AS id, CAST(i AS INT) AS anchor, CAST((o_orderkey * (i + 1)) % 97 AS DOUBLE) AS score, (i % 4 - (o_orderkey + 4 * i) % 5 / 2.0) * 8 AS x1, (i // 4 - (o_orderkey + 4 * i + 1) % 5 / 2.0) * 8 AS y1,
 (i % 4 + (o_orderkey + 4 * i + 2) % 5 / 2.0) * 8 AS x2, (i // 4 + (o_orderkey + 4 * i + 3) % 5 / 2.0) * 8 AS y2 FROM orders, range(16) t(i) WHERE (o_orderkey * (i + 1)) % 97 >= 50"""
