@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumora.plans.book import query
 from lumora.session import load
 from lumora.streaming import feeds, stateful
-from lumora.streaming.runs import arriving, fresh_folder, keyed_state, land, run_to_end
+from lumora.streaming.runs import arriving, fresh_folder, keyed_state, land, run_to_end, state_partitions
 
 DAY_MS = 86_400_000
 #: Files hold three days of events each; rows may come one file late, which the watermark allows, or five, which it doesn't.
@@ -17,21 +17,21 @@ IDLE_MS, BACKOFF_MS = 2 * DAY_MS, DAY_MS
 
 
 def _numbered(spark, d, stragglers: bool):
-    """events with `file`, the landing file they come in, and the range of file numbers."""
+    """events with `file`, the landing file they come in, the range of file numbers, and how many there are."""
     e = load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     span = F.floor(F.unix_micros("ts") / (SPAN_DAYS * DAY_MS * 1000)).cast("long")
-    lo, hi = e.agg(F.min(span), F.max(span)).first()
+    lo, hi, n = e.agg(F.min(span), F.max(span), F.count("*")).first()
     if lo is None:
-        return e.withColumn("file", F.lit(0)), range(0)
+        return e.withColumn("file", F.lit(0)), range(0), 0
     more = F.when(F.col("event_id") % 4 == 0, 1).otherwise(0)
     if stragglers:
         more = F.when((F.col("event_id") % 17 == 3) & (span + 5 <= hi), 5).otherwise(more)
-    return e.withColumn("file", span - lo + more), range(hi - lo + 2)
+    return e.withColumn("file", span - lo + more), range(hi - lo + 2), n
 
 
 def _landed(spark, d, columns, build, mode: str, stragglers: bool = False, runs: int = 1):
     """The output of build(stream) over landed files; with several runs the stream stops in between and starts again from its checkpoint."""
-    rows, numbers = _numbered(spark, d, stragglers)
+    rows, numbers, n = _numbered(spark, d, stragglers)
     rows, base = rows.select(*columns, "file"), fresh_folder(spark)
     given = rows.drop("file").schema
     cuts = [len(numbers) * k // runs for k in range(runs + 1)]
@@ -39,7 +39,8 @@ def _landed(spark, d, columns, build, mode: str, stragglers: bool = False, runs:
     for a, b in zip(cuts, cuts[1:]):
         land(rows, f"{base}/in", F.col("file"), numbers[a:b])
         stream = arriving(spark, f"{base}/in", rows.schema).select(*given.names)
-        out = run_to_end(build(stream), mode, base)
+        with state_partitions(spark, n):
+            out = run_to_end(build(stream), mode, base)
     return out
 
 

@@ -31,6 +31,21 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(STORE) if was is None else spark.conf.set(STORE, was)
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, rows: int, each: int = 50_000, least: int = 8) -> Iterator[None]:
+    """Streams that start inside keep their state in a part for every `each` rows expected, as many as the session's shuffles have at most.
+
+    A stream keeps the number that it began with, so what counts is the size that its state will grow to; every batch opens every part.
+    """
+    name = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(was), max(least, rows // each + 1))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def _files(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at

@@ -34,7 +34,7 @@ def test_several_files_give_the_same_rows(spark, split, duck, name, monkeypatch)
 
 
 def test_late_rows_are_dropped_and_counted(spark, sf):
-    rows, _ = stream_queries._numbered(spark, sf, True)
+    rows, _, _ = stream_queries._numbered(spark, sf, True)
     late = rows.where("event_id % 17 = 3").count()
     out = stream_queries.stream_tumbling_late(spark, sf)
     assert 0 < out.dropped_late <= late
