@@ -148,7 +148,7 @@ class Chunks:
     def learn(self, texts: list[list[str]]) -> None:
         if len(self.known) > self.keep // 2:  # frequent chunks come over from the older half
             self.before, self.known = self.known, {"": b""}
-        new = set().union(*texts) - self.known.keys()
+        new = set().union(*texts).difference(self.known)  # asks for each new key; `- keys()` would walk all known ones
         again = new & self.before.keys()
         self.known.update(zip(again, map(self.before.__getitem__, again)))
         plain, odd, fits = [], [], SIMPLE.fullmatch
@@ -159,7 +159,7 @@ class Chunks:
             pieces = PIECES_OF_LINES.findall("\n".join([*part, ""]).lower())
             if len(self.pieces) > self.keep:
                 self.pieces = {}
-            self.learn_pieces(list(set(pieces) - self.pieces.keys() - {"\n"}))
+            self.learn_pieces(list(set(pieces).difference(self.pieces) - {"\n"}))
             self.known.update(zip(part, self.cut(part, pieces)))
         self.known.update(zip(odd, self.learn_odd(odd)))
 
@@ -291,7 +291,7 @@ class PrefixSteps(Chunks):
             # the library's own split of the whole; characters that normalise one by one keep their places
             whole, out, at = "".join(map(normal, chunk)), [], 0
             found = [(whole[a:b], a, b) for _, (a, b) in self.v.encoder.pre_tokenizer.pre_tokenize_str(whole)]
-            self.learn_pieces(list({p for p, _, _ in found} - self.pieces.keys()))
+            self.learn_pieces(list({p for p, _, _ in found}.difference(self.pieces)))
             for p, a, b in found:
                 out += [b"\0\0" * (a - at), self.pieces[p]]
                 at = b
