@@ -6,7 +6,9 @@ import os
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,18 @@ def _byte_letters() -> dict[int, str]:
 LETTERS = _byte_letters()
 
 
+def _letters(text: str) -> str:
+    return "".join(map(LETTERS.__getitem__, text.encode("utf-8")))
+
+
+@cache
+def second_characters() -> frozenset[str]:
+    """Characters that may combine with the one before them although they start a cluster themselves."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    jamo = map(chr, range(0x1161, 0x1200))
+    return frozenset(jamo) | {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<"}
+
+
 class Vocabulary:
     """A tokenizer file with word ends: the library's encoder, and its merges for prefix counts."""
 
@@ -51,6 +65,8 @@ class Vocabulary:
             [pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
         self.ids = self.encoder.get_vocab()
+        special = sorted((t.content for t in self.encoder.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, special)) or "(?!)")
         self.ends = np.zeros(max(self.ids.values()) + 1, bool)
         self.ends[[n for t, n in self.ids.items() if t.endswith(END)]] = True
         self.longest = max(len(t.removesuffix(END)) for t in self.ids)
@@ -257,46 +273,123 @@ class PrefixSteps(Chunks):
         if len(piece) > 1 and piece[0] == "'" and piece[1].isalpha():
             return self._each([piece[:i] for i in range(1, len(piece) + 1)])
         data = piece.encode("utf-8")
-        counts = np.cumsum(self._long("".join(map(LETTERS.__getitem__, data))))
-        kept = [c for c, after in zip(counts.tolist(), [*data[1:], 0]) if after & 0xC0 != 0x80]
+        kept = [c for c, after in zip(self._long(_letters(piece))[0], [*data[1:], 0]) if after & 0xC0 != 0x80]
         return np.diff(kept, prepend=0).astype("<i2").tobytes()
 
-    def _long(self, letters: str) -> list[int]:
-        """Steps of the count over letters[:1], letters[:2], ... as whole words; letters are byte-level characters.
-
-        The encoding of each beginning ends in exactly one token that can follow the encoding of what is before
-        it, so the count there is an earlier one plus one. Only the states within a token's length are kept.
+    def _next(self, states: dict[int, tuple[str, int]], letters: str, i: int) -> int:
+        """The count of letters[:i] as a whole word; adds the state at i."""
+        v, closed = self.v, 0
+        for end in ("", END):
+            for k in v.reach.get(letters[max(0, i - 2) : i] + end, ()) or v.reach[letters[i - 1 : i] + end]:
+                if k <= i:
+                    token, (left, count) = letters[i - k : i] + end, states[i - k]
+                    if token in v.ids and (v.follows(left, token) if left else v.alone(token)):
+                        break
+            closed = count + 1
+            if not end:
+                states[i] = (token, closed)
+        return closed
+
+    def _long(self, letters: str, turns: dict[int, set[str]] | None = None) -> tuple[list[int], dict[tuple[int, str], int]]:
+        """Counts of letters[:1], letters[:2], ... as whole words, and of letters[:k] + end for each k and end of turns.
+
+        letters are byte-level characters. The encoding of each beginning ends in exactly one token that can follow the encoding
+        of what is before it, so the count there is an earlier one plus one. Only the states within a token's length are kept.
         """
         states: dict[int, tuple[str, int]] = {0: ("", 0)}
-        v, was, out = self.v, 0, []
+        turns, wide, out, turned = turns or {}, self.v.longest, [], {}
         for i in range(1, len(letters) + 1):
-            closed = None
-            for end in ("", END):
-                for k in v.reach.get(letters[max(0, i - 2) : i] + end, ()) or v.reach[letters[i - 1 : i] + end]:
-                    if k <= i:
-                        token, (left, count) = letters[i - k : i] + end, states[i - k]
-                        if token in v.ids and (v.follows(left, token) if left else v.alone(token)):
-                            break
-                closed = count + 1
-                if not end:
-                    states[i] = (token, closed)
-            out.append(closed - was)
-            was = closed
-            states.pop(i - v.longest - 1, None)
-        return out
+            out.append(self._next(states, letters, i))
+            states.pop(i - wide - 1, None)
+            for end in turns.get(i, ()):
+                low = max(0, i - wide - 2)
+                near, own = letters[low:i] + end, {k - low: s for k, s in states.items() if k >= low}
+                for k in range(i - low + 1, len(near) + 1):
+                    turned[i, end] = self._next(own, near, k)
+        return out, turned
 
     def _odd(self, chunk: str) -> bytes:
-        normal = self.v.encoder.normalizer.normalize_str
-        if "<|" not in chunk and all(unicodedata.combining(c) == 0 and len(normal(c)) == 1 for c in chunk):
-            # the library's own split of the whole; characters that normalise one by one keep their places
-            whole, out, at = "".join(map(normal, chunk)), [], 0
-            found = [(whole[a:b], a, b) for _, (a, b) in self.v.encoder.pre_tokenizer.pre_tokenize_str(whole)]
-            self.learn_pieces(list({p for p, _, _ in found}.difference(self.pieces)))
-            for p, a, b in found:
-                out += [b"\0\0" * (a - at), self.pieces[p]]
-                at = b
-            return b"".join([*out, b"\0\0" * (len(whole) - at)])
-        return self._each([chunk[:i] for i in range(1, len(chunk) + 1)])
+        """Parts between added tokens are counted by themselves; what is not yet a whole added token is text like any other."""
+        counts, before, at = [], 0, 0
+        for found in [*self.v.added.finditer(chunk), None]:
+            own = self._normalised(chunk[at : found.end() if found else len(chunk)])
+            if found:
+                own[-1] = 1 + (own[found.start() - at - 1] if found.start() > at else 0)
+                at = found.end()
+            counts += [before + n for n in own]
+            before = counts[-1] if counts else 0
+        return np.diff(counts, prepend=0).astype("<i2").tobytes()
+
+    def _normalised(self, text: str) -> list[int]:
+        """Counts of text[:1], text[:2], ...
+
+        The normal form of a beginning is that of the segments before (a segment starts at a character that never combines with what is
+        before it) and that of a beginning of its last one. Where the latter begins the segment's own normal form, the count
+        is one of the whole text's; else (an accent is still to come) the last piece takes a turn there.
+        """
+        normal, joins = self.v.encoder.normalizer.normalize_str, second_characters()
+        starts = [i for i, c in enumerate(text) if not i or not (unicodedata.combining(c) or c in joins)]
+        segments = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
+        form = {s: normal(s) for s in set(segments)}
+        whole = "".join(map(form.__getitem__, segments))
+        # the library's own split of the whole
+        found = [ab for _, ab in self.v.encoder.pre_tokenizer.pre_tokenize_str(whole)]
+        self.learn_pieces(list({whole[a:b] for a, b in found}.difference(self.pieces)))
+        steps, at = [], 0
+        for a, b in found:
+            steps += [b"\0\0" * (a - at), self.pieces[whole[a:b]]]
+            at = b
+        steps.append(b"\0\0" * (len(whole) - at))
+        sums = [0, *np.cumsum(np.frombuffer(b"".join(steps), "<i2"), dtype=np.int64).tolist()]
+        out: list[int] = []
+        turns: list[tuple[int, int, str]] = []  # place in out, place in whole, what stands there instead
+        begun: dict[str, list[str]] = {}
+        k = 0
+        for s in segments:
+            if len(s) > 1:
+                if s not in begun:
+                    begun[s] = [normal(s[:i]) for i in range(1, len(s))]
+                for n in begun[s]:
+                    if form[s].startswith(n):
+                        out.append(sums[k + len(n)])
+                    else:
+                        turns.append((len(out), k, n))
+                        out.append(0)
+            k += len(form[s])
+            out.append(sums[k])
+        if turns:
+            self._turned(whole, found, sums, turns, out)
+        return out
+
+    def _turned(self, whole: str, found: list[tuple[int, int]], sums: list[int], turns: list[tuple[int, int, str]], out: list[int]) -> None:
+        """out[place] = count of whole[:k] + other, for each (place, k, other) of turns."""
+        split = lambda s: [s[a:b] for _, (a, b) in self.v.encoder.pre_tokenizer.pre_tokenize_str(s)]
+        first = [a for a, _ in found]
+        short: list[tuple[int, str]] = []
+        long: dict[int, dict[int, set[str]]] = {}
+        late: list[tuple[int, int, int, str]] = []
+        for place, k, other in turns:
+            a = first[bisect_left(first, k) - 1] if k else 0
+            if k == 0 or k - a < LONG or whole[k - 1] == "'":
+                out[place] = sums[a]
+                short += [(place, p) for p in split(whole[a:k] + other)]
+                continue
+            head, *rest = split(whole[k - 1] + other)  # pieces are runs of one kind, so one character tells whether it goes on
+            short += [(place, p) for p in rest]
+            if len(head) == 1:
+                out[place] = sums[k]
+                continue
+            end, at = _letters(head[1:]), len(whole[a:k].encode("utf-8"))
+            out[place] = sums[a]
+            long.setdefault(a, {}).setdefault(at, set()).add(end)
+            late.append((place, a, at, end))
+        ends = self.v.encoded([p for _, p in short])[1] if short else []
+        for (place, _), n in zip(short, np.diff(ends, prepend=0).tolist()):
+            out[place] += n
+        stop = dict(found)
+        turned = {a: self._long(_letters(whole[a : stop[a]]), at)[1] for a, at in long.items()}
+        for place, a, at, end in late:
+            out[place] += turned[a][at, end]
 
     def counts(self, text: str) -> list[int]:
         """Token counts of the prefixes of 0, 1, 2, ... characters."""

@@ -44,6 +44,30 @@ def test_prefix_counts_equal_the_library(vocabulary):
         assert counter.counts(text) == want, text
 
 
+@pytest.mark.parametrize("letters", ["สวัสดีครับผมชื่อ", "नमस्तेदुनियाकैसे", "e\u0301a\u0300u\u0308n\u0303sl", "<|endoftext|>ab\u0301", "\u1100\u1161\u11a8가a", "e\u0301'\u0308l1½!sİ"])
+def test_scripts_of_combining_characters_and_added_tokens(vocabulary, letters):
+    """Random runs without white space, long enough for pieces that are stepped along: every prefix equals the library's count."""
+    rng, counter = random.Random(len(letters)), tokens.PrefixSteps(vocabulary)
+    for n in (7, 60, 300):
+        text = "".join(rng.choice(letters) for _ in range(n))
+        assert counter.counts(text) == [len(x) for x in library(vocabulary, [text[:i] for i in range(n + 1)])], text
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["a<|endoftext|>\u0301b<|endoftext|><|startoftext|>e\u0301", "x" * 100 + "e\u0301" * 50, "<|endoftext|" * 9, "'" * 80 + "e\u0301", "a" * 70 + "'e\u0301", "İ" * 90 + "\u0307"],
+)
+def test_turns_in_long_pieces(vocabulary, text):
+    assert tokens.PrefixSteps(vocabulary).counts(text) == [len(x) for x in library(vocabulary, [text[:i] for i in range(len(text) + 1)])]
+
+
+@pytest.mark.parametrize("text", ["สวัสดีครับ" * 10_000, "नमस्तेदुनिया" * 8_000, "e\u0301" * 50_000, "<|" + "ab" * 50_000, "<|endoftext|>" * 8_000])
+def test_a_hundred_thousand_characters_in_one_run(vocabulary, text):
+    """Seconds, where asking for each beginning would take hours; the last count is the library's."""
+    counts = tokens.PrefixSteps(vocabulary).counts(text)
+    assert len(counts) == len(text) + 1 and counts[-1] == len(library(vocabulary, [text])[0])
+
+
 def test_a_full_cache_changes_nothing(vocabulary):
     small = tokens.PrefixSteps(vocabulary, keep=3)
     ids = tokens.ChunkIds(vocabulary, keep=2)
