@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumora.session import settle
 
 PIECE = 500.0  # a larger mean is drawn as a sum of independent draws of at most this mean
 FEW = 10_000
-SALTS = 256
+UNFOLD = 1_000
 
 
 def poisson_count(rate: Column, seed: int, *key: Column) -> Column:
@@ -59,23 +59,42 @@ def source_rates(df: DataFrame, source_col: str, text_col: str, weights: dict[st
     return sums.join(F.broadcast(total)).select("source", rate.alias("rate"))
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """rows(id, content, ...) with at: 0, or different numbers for rows that repeat an id and content.
+def _told(rows: DataFrame, given: list[str]) -> DataFrame:
+    """rows(id, source, text, *given) without text, and content, other, at: what, beside the id, a row's draw hangs on.
 
-    Only repeated rows are shuffled, and salted, so that one that makes up much of the table is numbered in many tasks.
-    They are alike, so it doesn't matter which of them gets which number.
+    A row whose id no other row has stays where it is (content and other null, at 0). Rows without an id and rows that repeat one
+    are told apart by text and source, and where these are alike by all they hold (other; null for the first kind). Equal rows are one with a
+    count, unfolded into at = 0, 1, ...: neither the layout of the files nor the order in which a task reads them changes a draw.
+    The count is unfolded in pieces of UNFOLD, dealt anew in between, so a row that makes up much of the table is written by many tasks.
     """
-    again = settle(rows.groupBy("id", "content").agg(F.count("*").alias("n")).where("n > 1").select("id", "content"))
+    again = settle(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select("id"))
     many = again.count()
+    none = F.lit(None).cast("long")
+    single = rows.select("id", "source", *given, none.alias("content"), none.alias("other"), F.lit(0).cast("long").alias("at"))
     if not many:
-        return rows.withColumn("at", F.lit(0).cast("long"))
-    mark = again.select(F.col("id").alias("id2"), F.col("content").alias("content2"), F.lit(True).alias("repeated"))
-    same = F.col("id").eqNullSafe(F.col("id2")) & F.col("content").eqNullSafe(F.col("content2"))
-    met = rows.join(F.broadcast(mark) if many <= FEW else mark, same, "left").drop("id2", "content2")
-    by = Window.partitionBy("id", "content", "salt").orderBy("salt")
-    salted = met.where("repeated").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-    number = (F.row_number().over(by) * SALTS + F.col("salt")).cast("long")
-    return met.where("repeated is null").withColumn("at", F.lit(0).cast("long")).unionByName(salted.withColumn("at", number).drop("salt")).drop("repeated")
+        return single
+    found = F.broadcast(again) if many <= FEW else again
+    text = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))).alias("content")
+    slim = rows.select("id", "source", *given, text)
+    fold = lambda some: some.groupBy(*slim.columns).agg(F.count("*").alias("n"))
+    # where the join deals rows by id, equal ones are folded first: one id may hold much of the table
+    known = fold(slim.join(found, "id", "left_semi")) if many <= FEW else fold(slim).join(found, "id", "left_semi")
+    every = F.xxhash64(F.to_json(F.struct(*given), {"ignoreNullFields": "false"}))  # with names and nulls, so unlike rows look unlike
+    folded = settle(known.unionByName(fold(slim.where("id is null"))).withColumn("other", every))
+    kinds = folded.groupBy("id", "content").agg(F.count("*").alias("kinds"), F.min("other").alias("least"))
+    kinds = settle(kinds.where("kinds > 1").select(F.col("id").alias("id2"), F.col("content").alias("content2"), "least"))
+    several = kinds.count()
+    if several:
+        same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("content") == F.col("content2"))
+        folded = folded.join(F.broadcast(kinds) if several <= FEW else kinds, same, "left")
+        folded = folded.withColumn("other", F.when(F.col("other") != F.col("least"), F.col("other")))
+    else:
+        folded = folded.withColumn("other", none)
+    kept = ["id", "source", *given, "content", "other"]
+    pieces = folded.select(*kept, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(UNFOLD).cast("long"))).alias("from"))
+    last = F.least(F.col("from") + UNFOLD, F.col("n")) - 1
+    whole = pieces.repartition("id", "content", "other", "from").select(*kept, F.explode(F.sequence(F.col("from"), last)).alias("at"))
+    return single.where("id is not null").join(found, "id", "left_anti").select(whole.columns).unionByName(whole)
 
 
 def mix(
@@ -94,23 +113,23 @@ def mix(
 
     Returns df's columns and copy (from 0) and mix_key (long, ascending over the whole result); columns of df with
     these two names give way, all other names are free. A row's count depends on its id and seed alone, with its source's rate as
-    the mean. Rows without an id draw by their text and source, and rows that repeat each draw for themselves. Null and empty texts weigh
+    the mean. Rows without an id, or with one that repeats, draw by text and source, and each for itself where these are alike: the same rows
+    give the same result in whatever files and order they come. Null and empty texts weigh
     no bytes but are repeated at their source's rate; a very long text weighs all its bytes; rows that tie in mix_key come in any order;
     an empty table gives no rows. The sort deals rows by a hash of all that tells them apart, so a source, an id or a text that holds
     most rows is spread like any other.
     """
     name = lambda c: F.col(f"`{c}`")
     kept = [c for c in df.columns if c not in (copy_name, order_name)]
-    # the given columns travel in one struct, so none of them can clash with the names below
+    given = [f"given{k}" for k in range(len(kept))]  # so none of them can clash with the names below
     rows = df.select(
-        F.struct(*map(name, kept)).alias("row"), name(id_col).alias("id"), name(source_col).alias("source"), name(text_col).alias("text"),
-        F.when(name(id_col).isNull(), F.xxhash64(F.coalesce(name(text_col), F.lit("")), F.coalesce(name(source_col).cast("string"), F.lit("")))).alias("content"),
+        *(name(c).alias(g) for c, g in zip(kept, given)), name(id_col).alias("id"), name(source_col).alias("source"), name(text_col).alias("text"),
     )
     rates = source_rates(rows, "source", "text", weights, power, volume).select(F.col("source").alias("source2"), "rate")
     if rates.count() <= FEW:
         rates = F.broadcast(rates)  # counted: few sources; more of them meet in a plain join
-    met = _numbered(rows.drop("text")).join(rates, F.col("source").eqNullSafe(F.col("source2")))
-    told = ["id", "content", "at"]
+    met = _told(rows, given).join(rates, F.col("source").eqNullSafe(F.col("source2")))
+    told = ["id", "content", "other", "at"]
     out = (
         met.withColumn("n", poisson_count(F.col("rate"), seed, *told))
         .where("n > 0")
@@ -118,7 +137,7 @@ def mix(
         .withColumn("order", F.xxhash64(F.lit(seed + 1), *told, "copy"))
         .orderBy("order")
     )
-    return out.select("row.*", F.col("copy").alias(copy_name), F.col("order").alias(order_name))
+    return out.select(*(F.col(g).alias(c) for g, c in zip(given, kept)), F.col("copy").alias(copy_name), F.col("order").alias(order_name))
 
 
 def exact_poisson(u: float, rate: float) -> int:
