@@ -29,6 +29,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 
+def ablations_sql(rules: dict[str, int]) -> str:
+    """What each of the rules (name, bit) rejects, alone rejects, and what would stay without it."""
+    whole = sum(rules.values())
+    return f"""
+WITH masks AS (SELECT failed & {whole} AS m, count(*) AS n FROM ({quality_sql()}) GROUP BY 1),
+r (rule, bit) AS (VALUES {", ".join(map(str, rules.items()))})
+SELECT rule, CAST(sum(CASE WHEN m & bit <> 0 THEN n ELSE 0 END) AS BIGINT) AS n_failed, CAST(sum(CASE WHEN m = bit THEN n ELSE 0 END) AS BIGINT) AS n_only,
+CAST(sum(CASE WHEN m & ({whole} - bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS n_kept_without FROM masks, r GROUP BY rule
+"""
+
+
 def url_sql(rules: dict[str, str], rounds: int, damping: float = 0.85, threshold: float = 0.5) -> str:
     """op1: rules, then the ranks round by round over the graph of hosts. Pages' links must be relative or absolute with a scheme."""
     tests = []

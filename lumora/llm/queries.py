@@ -71,6 +71,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of op5's policy: documents that it rejects, that it alone rejects, and that stay without it."""
+    return quality.ablations(quality.ledger(load(spark, sf_dir, "documents")), "v2")
+
+
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymise(load(spark, sf_dir, "documents"), key="query-key")
     return out.select("doc_id", "text", "n_entities")
@@ -126,11 +131,12 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_url_trust, op2_sharding, op3_simhash, op4_media, op5_quality, op6_surrogates, op7_token_counts, op8_packing, op9_lm_scoring, op10_mixing, op11_merkle, op12_toxicity, op13_whitening
+        op1_url_trust, op2_sharding, op3_simhash, op4_media, op5_quality, quality_ablations, op6_surrogates, op7_token_counts, op8_packing, op9_lm_scoring, op10_mixing, op11_merkle, op12_toxicity, op13_whitening
     )
 }
 ORACLES: dict[str, str] = {
     "op1_url_trust": oracles.url_sql(URL_RULES, url_trust.rounds_for(1e-4, 0.85)),
     "op5_quality": oracles.quality_sql(),
+    "quality_ablations": oracles.ablations_sql({name: quality.mask((name,)) for name in quality.POLICIES["v2"]}),
     "op11_merkle": oracles.merkle_sql(merkle.FIELDS),
 }

@@ -277,6 +277,18 @@ def test_mix_counts_by_plain_arithmetic(spark, sf):
     assert {r["doc_id"]: r["count"] for r in got} == want
 
 
+@pytest.mark.parametrize("few", [10_000, 10])
+def test_repeated_rows_draw_alike_in_any_layout(spark, tmp_path, monkeypatch, few):
+    """The same rows in one file, in eight and in another order: the same multiset of rows, copies and places."""
+    monkeypatch.setattr(mixing, "FEW", few)
+    rows = [(k % 200, f"text {k % 400}", "ab"[k % 2], None) for k in range(1000)] + [(None, "lost", None, "en"), (None, None, "lost", "en")] * 1500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/one")
+    docs.orderBy(quality.F.rand(3)).repartition(8).write.parquet(f"{tmp_path}/eight")
+    one, eight = (sorted(map(repr, mixing.mix(spark.read.parquet(f"{tmp_path}/{x}")).collect())) for x in ("one", "eight"))
+    assert one == eight and len(set(one)) == len(one)
+
+
 def test_rows_without_ids_and_repeated_rows_draw_for_themselves(spark):
     F = quality.F
     rows = [(None, "same text", "a", 5, 6, 7)] * 4000 + [(None, f"text {k}", "a", 5, 6, 7) for k in range(2000)] + [(9, "x", "a", 5, 6, 7)] * 1000
