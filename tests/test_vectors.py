@@ -52,6 +52,15 @@ def test_near_vectors_with_copies_and_odd_rows(spark):
     assert V.near_vectors(df.limit(0), 0.9).count() == 0
 
 
+def test_rows_are_copied_to_few_pivots_where_all_are_near(spark):
+    m = np.random.default_rng(11).standard_normal((900, 32))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    df = frame(spark, m)
+    assert V._placed(df.select("asset_id", "vec"), 0.3, 4096)[0].count() <= 4 * len(m)
+    got = [(r["a"], r["b"]) for r in V.near_vectors(df, 0.3).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(m, 0.3)
+
+
 def test_reassigned_by_group(spark):
     rng = np.random.default_rng(7)
     new, old, want = [], [], {}
