@@ -93,3 +93,19 @@ def test_wide_bands_find_every_near_pair(spark):
         want = {(i, j) for i in own for j in own if i < j and ok(values[i], values[j])} | {(first[v], i) for i, v in enumerate(values) if first[v] != i}
         assert {(r["a"], r["b"]) for r in A.near_hashes(df, most).collect()} == want
     assert len(A._wide_bands(10**7, 6, ((60, 4), (56, 4)))) > 7 and A._wide_bands(1000, 20, ((60, 4), (56, 4))) == [[(60, 4)], [(56, 4)]]
+
+
+def test_many_members_of_a_key_meet_in_blocks(spark, monkeypatch):
+    from lumora.operators import analytics as A
+
+    rng = random.Random(4)
+    hashes = {(5 << 60 | rng.getrandbits(60)) - (1 << 63) for _ in range(300)}
+    rows = list(enumerate(sorted(hashes)))
+    df = spark.createDataFrame(rows, "id long, hash long")
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and ((x ^ y) & (1 << 64) - 1).bit_count() <= 22}
+    plain = A.near_hashes(df, 22)
+    monkeypatch.setattr(A, "FEW", 8)
+    monkeypatch.setattr(A, "HASH_BLOCK", 50)
+    for found in (plain, A.near_hashes(df, 22)):
+        got = [(r["a"], r["b"]) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
