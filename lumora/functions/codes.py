@@ -14,8 +14,11 @@ BASE32 = "abcdefghijklmnopqrstuvwxyz234567"
 
 
 def _bits(data: Column) -> Column:
-    pairs = F.transform(F.sequence(F.lit(1), F.length(F.hex(data)), F.lit(2)), lambda i: F.lpad(F.conv(F.substring(F.hex(data), i, F.lit(2)), 16, 2), 8, "0"))
-    return F.array_join(pairs, "")
+    def of(digits: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.lpad(F.conv(F.substring(digits, i, F.lit(2)), 16, 2), 8, "0"))
+        return F.when(F.length(digits) > 0, F.array_join(pairs, "")).when(digits.isNotNull(), "")
+
+    return each(F.hex(data), of)
 
 
 def base32(data: Column) -> Column:
@@ -23,9 +26,12 @@ def base32(data: Column) -> Column:
 
     def letters(bits: Column) -> Column:
         count = F.ceil(F.length(bits) / 5).cast("int")
-        padded = F.rpad(bits, 5 * 1_000, "0")
-        one = lambda i: F.substring(F.lit(BASE32), F.conv(F.substring(padded, (i - 1) * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))
-        return F.when(count > 0, F.array_join(F.transform(F.sequence(F.lit(1), count), one), "")).otherwise("")
+
+        def of(padded: Column) -> Column:
+            one = lambda i: F.substring(F.lit(BASE32), F.conv(F.substring(padded, (i - 1) * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))
+            return F.array_join(F.transform(F.sequence(F.lit(1), count), one), "")
+
+        return F.when(count > 0, each(F.rpad(bits, count * 5, F.lit("0")), of)).otherwise("")
 
     return each(_bits(data), letters)
 
@@ -33,10 +39,14 @@ def base32(data: Column) -> Column:
 def from_base32(text: Column, size: int = 16) -> Column:
     """The bytes of a base-32 text if it has no foreign sign and holds exactly `size` of them; else null."""
     place = lambda c: F.position(c, F.lit(BASE32)) - 1
-    bits = F.array_join(F.transform(F.split(F.lower(text), ""), lambda c: F.lpad(F.conv(place(c).cast("string"), 10, 2), 5, "0")), "")
     hexa = lambda b: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2 * size - 1)), lambda i: F.conv(F.substring(b, i * 4 + 1, F.lit(4)), 2, 16)), "")
-    ok = text.rlike("^[A-Za-z2-7]+$") & (F.floor(F.length(text) * 5 / 8) == size)
-    return F.when(ok, F.unhex(each(bits, hexa)))
+
+    def of(known: Column) -> Column:
+        bits = F.array_join(F.transform(F.split(F.lower(known), ""), lambda c: F.lpad(F.conv(place(c).cast("string"), 10, 2), 5, "0")), "")
+        ok = known.rlike("^[A-Za-z2-7]+$") & (F.floor(F.length(known) * 5 / 8) == size)
+        return F.when(ok, F.unhex(each(bits, hexa)))
+
+    return each(text, of)
 
 
 def text_key(kind: str) -> Column:

@@ -288,3 +288,13 @@ def test_cities_of_a_cell_are_enough(spark):
     want = {r[0]: r[1] for r in points.select("asset_id", S.nearest_city(F.col("lat"), F.col("lon")).alias("p")).collect()}
     got = {r["asset_id"]: r["place"] for r in A.named_points(points).collect()}
     assert got == {k: v for k, v in want.items() if v is not None} and len(got) > 200
+
+
+def test_rasters_and_digests_are_computed_once(spark):
+    import base64
+
+    row = spark.range(1).select(F.array("id").alias("g"), F.lit("x" * 700).alias("text"), F.lit("x" * 700).cast("binary").alias("raw"))
+    for column, name in ((S.difference_hash(F.reverse("g")), "reverse("), (codes.base32(F.unhex(F.md5("raw"))), "md5("), (codes.from_base32(F.reverse("text")), "reverse(")):
+        assert row.select(column.alias("c"))._jdf.queryExecution().logical().toString().count(name) == 1
+    want = base64.b32encode(b"x" * 700).decode().lower().rstrip("=")
+    assert row.select(codes.base32(F.col("raw")).alias("b")).first()["b"] == want
