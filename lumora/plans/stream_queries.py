@@ -33,6 +33,9 @@ def _landed(spark, d, columns, build, mode: str, stragglers: bool = False, runs:
     """The output of build(stream) over landed files; with several runs the stream stops in between and starts again from its checkpoint."""
     rows, numbers, n = _numbered(spark, d, stragglers)
     rows, base = rows.select(*columns, "file"), fresh_folder(spark)
+    if n:  # dealt once, so that landing a file reads that file's rows only
+        rows.write.partitionBy("file").parquet(f"{base}/dealt")
+        rows = spark.read.schema(rows.schema).parquet(f"{base}/dealt")
     given = rows.drop("file").schema
     cuts = [len(numbers) * k // runs for k in range(runs + 1)]
     out = None

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections import namedtuple
 from collections.abc import Iterator
+from itertools import chain, islice
+from operator import itemgetter
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
@@ -10,20 +14,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
+#: Events that wait in one piece of state.
+CHUNK = 4096
+
+
 class InOrder(StatefulProcessor):
     """Events of a key, applied in the order of (at, id) once the watermark has passed them, whatever order they came in.
 
-    Events wait in state until then. Between events a key may have one deadline, which comes before events of the same time. A key holds
-    one timer, for what comes next, and no state at all once nothing waits and `memory` says nothing is left.
+    Events wait in state until then, packed many to a piece: a call to the state costs far more than an event. Between events a key may have one deadline, which comes before
+    events of the same time. A key holds one timer, for what comes next, and no state at all once nothing waits and `memory` says nothing is left.
     """
 
     waiting = "at long, id long"
     keeps = "x long"
+    puts = "x long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.queue = handle.getListState("waiting", self.waiting)
+        self.queue = handle.getListState("waiting", "events binary")
+        self.clock = handle.getValueState("clock", "first long, due long")  # of what waits, and of the key itself
         self.own = handle.getValueState("own", self.keeps)
+        self.names = [x.split()[0] for x in self.waiting.split(", ")]
+        self.event = namedtuple("Event", self.names)
+        self.made = Row(*(x.split()[0] for x in self.puts.split(", ")))
 
     def close(self) -> None:
         pass
@@ -39,49 +52,50 @@ class InOrder(StatefulProcessor):
     def expire(self, key: tuple, memory: Any, at: int) -> Iterator[Row]:
         return iter(())
 
-    def apply(self, key: tuple, memory: Any, event: Row) -> Iterator[Row]:
+    def apply(self, key: tuple, memory: Any, event: Any) -> Iterator[Row]:
         raise NotImplementedError
 
-    def load(self) -> Any:
+    def load(self, kept: tuple) -> Any:
         raise NotImplementedError
 
     def save(self, memory: Any) -> None:
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        names = [x.split()[0] for x in self.waiting.split(", ")]
-        self.queue.appendList([tuple(r[n] for n in names) for r in rows])
-        self._wait(self.load() if self.own.exists() else None)
+        first, names = None, self.names
+        while chunk := [tuple(r[n] for n in names) for r in islice(rows, CHUNK)]:
+            self.queue.appendValue((pickle.dumps(chunk),))
+            least = min(e[0] for e in chunk)
+            first = least if first is None else min(first, least)
+        if first is not None:
+            before, due = self.clock.get() or (None, None)
+            self._wait((before, due), (first if before is None else min(first, before), due))
         return iter(())
 
-    def _next(self, memory: Any) -> int | None:
-        first = min((r[0] for r in self.queue.get()), default=None) if self.queue.exists() else None
-        due = None if memory is None else self.deadline(memory)
-        return min((t for t in (first, due) if t is not None), default=None)
-
-    def _wait(self, memory: Any) -> None:
-        for old in list(self.handle.listTimers()):
+    def _wait(self, was: tuple, now: tuple) -> None:
+        old, new = (min((t for t in ts if t is not None), default=None) for ts in (was, now))
+        if old != new and old is not None:
             self.handle.deleteTimer(old)
-        at = self._next(memory)
-        if at is not None:
-            self.handle.registerTimer(at)
+        if old != new and new is not None:
+            self.handle.registerTimer(new)
+        if was != now:
+            self.clock.clear() if new is None else self.clock.update(now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        memory = self.load() if self.own.exists() else self.start()
-        names = [x.split()[0] for x in self.waiting.split(", ")]
-        rows = [Row(**dict(zip(names, r))) for r in self.queue.get()] if self.queue.exists() else []
-        ready, rest = sorted((r for r in rows if r.at <= now), key=lambda r: (r.at, r.id)), [tuple(r) for r in rows if r.at > now]
-        out: list[Row] = []
-        for event in [*ready, None]:
+        kept, was = self.own.get(), tuple(self.clock.get() or (None, None))
+        memory = self.start() if kept is None else self.load(kept)
+        rows = list(chain.from_iterable(pickle.loads(bytes(r[0])) for r in self.queue.get())) if was[0] is not None else []
+        ready, rest = sorted((r for r in rows if r[0] <= now), key=itemgetter(0, 1)), [r for r in rows if r[0] > now]
+        for event in [*map(self.event._make, ready), None]:
             while (due := self.deadline(memory)) is not None and due <= (now if event is None else event.at):
-                out.extend(self.expire(key, memory, due))
+                yield from self.expire(key, memory, due)
             if event is not None:
-                out.extend(self.apply(key, memory, event))
-        self.queue.put(rest) if rest else self.queue.clear()
+                yield from self.apply(key, memory, event)
+        if ready:
+            self.queue.put([(pickle.dumps(rest[k : k + CHUNK]),) for k in range(0, len(rest), CHUNK)]) if rest else self.queue.clear()
         self.save(memory)
-        self._wait(memory)
-        return iter(out)
+        self._wait(was, (min((r[0] for r in rest), default=None), self.deadline(memory)))
 
 
 class JobQueue(InOrder):
@@ -102,8 +116,8 @@ class JobQueue(InOrder):
     def start(self) -> dict:
         return {"state": None, "attempts": 0, "error": None, "due": None}
 
-    def load(self) -> dict:
-        return dict(zip(("state", "attempts", "error", "due"), self.own.get()))
+    def load(self, kept: tuple) -> dict:
+        return dict(zip(("state", "attempts", "error", "due"), kept))
 
     def save(self, memory: dict) -> None:
         if memory["state"] is None:
@@ -115,7 +129,7 @@ class JobQueue(InOrder):
         return memory["due"]
 
     def _row(self, key: tuple, memory: dict, at: int, step: int, cause: str) -> Row:
-        return Row(kind=key[0], asset_id=key[1], at=at, step=step, state=memory["state"], attempts=memory["attempts"], error=memory["error"], cause=cause)
+        return self.made(key[0], key[1], at, step, memory["state"], memory["attempts"], memory["error"], cause)
 
     def expire(self, key, memory, at) -> Iterator[Row]:
         if memory["state"] == "failed":  # the back-off is over and nothing was asked for
@@ -168,19 +182,24 @@ class SharedKeys(InOrder):
         self.peers = handle.getMapState("peers", "peer string", "since long")
 
     def start(self) -> dict:
-        return {"version": 1}
+        return {"version": 1, "peers": {}, "changed": set()}
 
-    def load(self) -> dict:
-        return {"version": self.own.get()[0]}
+    def load(self, kept: tuple) -> dict:
+        return {"version": kept[0], "peers": {peer: since for (peer,), (since,) in self.peers.iterator()} if self.peers.exists() else {}, "changed": set()}
 
     def save(self, memory: dict) -> None:
         self.own.update((memory["version"],))
+        for peer in memory["changed"]:
+            if peer in memory["peers"]:
+                self.peers.updateValue((peer,), (memory["peers"][peer],))
+            else:
+                self.peers.removeKey((peer,))
 
     def apply(self, key, memory, event) -> Iterator[Row]:
         def row(output: str, peer: str | None, status: str | None, reason: str | None = None) -> Row:
-            return Row(output=output, namespace=key[0], at=event.at, id=event.id, peer=peer, status=status, version=memory["version"], reason=reason)
+            return self.made(output, key[0], event.at, event.id, peer, status, memory["version"], reason)
 
-        held = event.peer is not None and self.peers.containsKey((event.peer,))
+        held = event.peer is not None and event.peer in memory["peers"]
         bad = None
         if not event.trusted:
             bad = "untrusted"
@@ -193,15 +212,16 @@ class SharedKeys(InOrder):
         if bad:
             yield row("dead", event.peer, None, bad)
         elif event.op == "grant" and not held:
-            self.peers.updateValue((event.peer,), (event.at,))
+            memory["peers"][event.peer] = event.at
+            memory["changed"].add(event.peer)
             yield row("key", event.peer, "active")
         elif event.op == "revoke":
-            self.peers.removeKey((event.peer,))
+            del memory["peers"][event.peer]
+            memory["changed"].add(event.peer)
             memory["version"] += 1
             yield row("key", event.peer, "revoked")
-            if self.peers.exists():
-                for (peer,) in sorted(self.peers.keys()):
-                    yield row("key", peer, "rotated")
+            for peer in sorted(memory["peers"]):
+                yield row("key", peer, "rotated")
 
 
 def shared_keys(entries: DataFrame, trust: DataFrame) -> DataFrame:

@@ -78,3 +78,39 @@ def test_nothing_arrives(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
     for name in ("stream_totals", "stream_job_queue", "stream_sessions_late", "stream_dead_letters"):
         assert registry.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+class Kept:
+    """A handle and its states, which count what is written."""
+
+    def __init__(self):
+        self.items, self.value, self.calls, self.timers = [], None, 0, set()
+
+    def getListState(self, *_):
+        return self
+
+    def getValueState(self, name, _):
+        return self if name == "clock" else Kept()
+
+    def appendValue(self, v):
+        self.items.append(v)
+        self.calls += 1
+
+    def get(self):
+        return self.value
+
+    def update(self, v):
+        self.value = v
+        self.calls += 1
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+        self.calls += 1
+
+
+def test_events_wait_in_packs():
+    kept, queue = Kept(), stream_queries.stateful.JobQueue(100, 50)
+    queue.init(kept)
+    rows = iter([{"at": 9000 - k, "id": k, "op": "enqueue", "error": None} for k in range(5000)])
+    list(queue.handleInputRows(("faces", 1), rows, None))
+    assert kept.calls <= 4 and len(kept.items) == 2 and kept.timers == {4001}
