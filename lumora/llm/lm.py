@@ -197,11 +197,10 @@ class Symbols:
         return words
 
 
-def fit_words(rows: DataFrame, code: WordCode, known: Symbols, tasks: int, share: int) -> WordModel:
+def fit_words(rows: DataFrame, code: WordCode, known: Symbols, tasks: int) -> WordModel:
     """Tables from all words of rows(text) in context; then mixing weights, learnt online along the texts.
 
-    The weights are a few hundred numbers: they learn from one text in `share`, drawn by hash, each word left out of the counts
-    that predict it. known: symbols of END, the code's words and classes.
+    The weights learn from all texts too, each word left out of the counts that predict it. known: symbols of END, the code's words and classes.
     """
     shared = rows.sparkSession.sparkContext.broadcast((code, known))
 
@@ -228,8 +227,7 @@ def fit_words(rows: DataFrame, code: WordCode, known: Symbols, tasks: int, share
         if total:
             yield pd.DataFrame({"seen": [total], "state": [own.mixer.state()]})
 
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
-    states = drawn.mapInPandas(learn, "seen double, state binary").collect()
+    states = rows.mapInPandas(learn, "seen double, state binary").collect()
     if states:
         model.mixer.restore([r["state"] for r in states], [r["seen"] for r in states])
     return model
@@ -244,7 +242,6 @@ def score_documents(
     least: int = 3,
     table_bits: int = 22,
     spell_bits: int = 20,
-    share: int = 8,
     hot: int = 100_000,
 ) -> DataFrame:
     """One row per row: id, held_out, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
@@ -288,7 +285,7 @@ def score_documents(
 
         width = train.rdd.getNumPartitions()
         tasks = max(2, min(width, max(spark.sparkContext.defaultParallelism, width // 8)))
-        model = fit_words(train.coalesce(tasks), code, names, tasks, share)
+        model = fit_words(train.coalesce(tasks), code, names, tasks)
         scored = settle(spelled(rare, fit_speller(rare, spell_bits, tasks), by_class))
 
         more = scored.orderBy(F.col("n").desc(), "word").limit(hot).collect()

@@ -16,7 +16,6 @@ STEM = 4  # words with the same first bytes come to the same task; below, the wh
 CLASS = 2  # a rare word's class is its first bytes, with the stop if it is shorter
 LEVELS = 10
 PLACES = 6
-LEARNT = 4
 COUNTED = 1 << 17
 SETS = PLACES * LEVELS  # gates: place in the word by how much the longest context has seen
 
@@ -132,9 +131,8 @@ class Speller:
         return stretch, np.minimum(place, PLACES - 1) * LEVELS + level
 
     def learn(self, e: Events) -> float:
-        """From events in random order: the first 1 / LEARNT of them, as all are alike and the mixer has few numbers."""
+        """From all events, in random order."""
         order = np.random.default_rng(5).permutation(len(e.byte))
-        order = order[: -(-len(order) // LEARNT)]
         mixed = Events(e.slots[:, order], e.byte[order], e.weight[order], e.place[order], e.exact[:, :, order])
         for part in _parts(len(order)):
             for at, bit, exact in _bit_steps(mixed, self.table_bits, part):

@@ -174,3 +174,26 @@ def test_odd_rows(spark):
     assert len(same) == 1 and len([r for r in rows if r["n_tokens"] == 1]) == 3
     assert [r["held_out"] for r in rows if r["id"] is None] == [False]
     assert lm.score_documents(odd(spark).limit(0), table_bits=12, spell_bits=12).count() == 0
+
+
+def test_weights_learn_from_every_text_and_event(spark):
+    import numpy as np
+
+    from lumora.llm import lm, spelling
+    from lumora.llm.words import WordCode, WordModel
+
+    code = WordCode(np.array([1, 2, 40, 30]), 0, 10)
+    names = lm.Symbols({lm.END: 0, b"a": code.first_word, b"b": code.first_word + 1}, {})
+    for k in range(3):
+        model = lm.fit_words(spark.createDataFrame([("a b a " * (9 + k),)], "text string").coalesce(1), code, names, 2)
+        fresh = WordModel(code, model.tables).mixer
+        fresh.begin()
+        assert model.mixer.state() != fresh.state()
+    words = sorted({f"w{k}".encode() for k in range(50)})
+    events = spelling.events_of(words, np.ones(len(words)), spelling.STEM)
+    table = np.zeros((spelling.HASHED, 1 << 10), np.uint8)
+    own, seen = spelling.Speller(10, table, table), []
+    own.mixer.begin()
+    own.mixer.learn = lambda bit, *_: seen.append(len(bit))
+    own.learn(events)
+    assert sum(seen) == 8 * len(events.byte)
