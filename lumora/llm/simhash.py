@@ -28,9 +28,14 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         hashes = [digest(b" ".join(words), 42)]
     else:
         hashes = [digest(b" ".join(g), 42) for g in zip(*(words[k:] for k in range(width)))]
+    return majority(hashes)
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The fingerprint of hashes: as a signed long, the bits that are set in over half of them. No hash: 0."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), BLOCK):
-        part = np.array(hashes[at : at + BLOCK], dtype=">u8")
+        part = np.asarray(hashes[at : at + BLOCK], dtype=np.uint64).astype(">u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     bits = np.packbits(2 * ones > len(hashes))
     return int(bits.view(">i8")[0])
