@@ -145,7 +145,7 @@ class Chunks:
 
     GAP = b""
 
-    def __init__(self, vocabulary: Vocabulary, keep: int = 1_200_000):
+    def __init__(self, vocabulary: Vocabulary, keep: int = 400_000):
         self.v = vocabulary
         self.keep = keep
         self.known: dict[str, bytes] = {"": b""}

@@ -188,3 +188,11 @@ def test_pieces_that_do_not_combine_never_meet_in_one_task(spark, monkeypatch):
     out = packing.best_fit(docs, PATH, parts=64)
     assert out.select("sequence_id").distinct().count() == 600
     assert all(parts > 1 for rows, parts in passes if rows == 600), passes
+
+
+def test_chunk_caches_stay_small(vocabulary):
+    ids = tokens.ChunkIds(vocabulary)
+    for at in range(0, 900_000, 50_000):
+        for _ in ids.batches([" ".join(f"a{k:x}" for k in range(at, at + 50_000))]):
+            pass
+    assert len(ids.known) + len(ids.before) + len(ids.pieces) < 500_000
