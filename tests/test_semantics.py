@@ -298,3 +298,13 @@ def test_rasters_and_digests_are_computed_once(spark):
         assert row.select(column.alias("c"))._jdf.queryExecution().logical().toString().count(name) == 1
     want = base64.b32encode(b"x" * 700).decode().lower().rstrip("=")
     assert row.select(codes.base32(F.col("raw")).alias("b")).first()["b"] == want
+
+
+def test_persons_assets_are_dealt_by_number_of_rows(spark, monkeypatch):
+    assert A.parts_for(spark.range(5_000_001)) == 11
+    monkeypatch.setattr(A, "parts_for", lambda rows: 13)
+    faces = spark.createDataFrame([(k % 50, k % 3 or None) for k in range(400)], "asset_id long, person_id long")
+    assets = spark.createDataFrame([(k, 1000 + k) for k in range(50)], "id long, day long")
+    met = A.person_assets(faces, assets, date(2024, 1, 1))
+    assert met.rdd.getNumPartitions() == 13 and met.count() == 100
+    assert sorted((r["person_id"], r["n"]) for r in A.person_years(faces, assets, date(2024, 1, 1)).collect()) == [(1, 50), (2, 50)]
