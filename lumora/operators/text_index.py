@@ -16,7 +16,18 @@ def token_index(texts: DataFrame, key: str, id_col: str = "id", text_col: str =
 
 def reindexed(index: DataFrame, changed: DataFrame, key: str) -> DataFrame:
     """The index after texts changed: their old tokens go, the new ones come."""
-    return index.join(changed.select("id"), "id", "left_anti").select("token", "id").unionByName(token_index(changed, key))
+    return without(index, changed).unionByName(token_index(changed, key))
+
+
+def without(index: DataFrame, gone: DataFrame) -> DataFrame:
+    """The index without the tokens of gone(id). Tokens travel as bytes, half as long as their digits."""
+    packed = index.select("id", F.unhex("token").alias("token"))
+    return packed.join(gone.select("id"), "id", "left_anti").select(F.lower(F.hex("token")).alias("token"), "id")
+
+
+def token_counts(index: DataFrame) -> DataFrame:
+    """(id, n): the different tokens of each id; what meets is the tokens' bytes."""
+    return index.select("id", F.unhex("token").alias("token")).groupBy("id").agg(F.count_distinct("token").alias("n"))
 
 
 def and_search(index: DataFrame, query: str, key: str, limit: int | None = 100) -> DataFrame:

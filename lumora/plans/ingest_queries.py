@@ -66,7 +66,7 @@ def text_index_reindexed(spark, d):
     index = T.token_index(load(spark, d, "documents"), KEY, "doc_id")
     changed = load(spark, d, "pages").where("page_id % 10 = 3").select(F.col("page_id").alias("id"), F.col("html").alias("text"))
     gone = load(spark, d, "documents").where("doc_id % 10 = 3").select(F.col("doc_id").alias("id"))
-    return T.reindexed(index.join(gone, "id", "left_anti").select("token", "id"), changed, KEY).groupBy("id").agg(F.count_distinct("token").alias("n"))
+    return T.token_counts(T.reindexed(T.without(index, gone), changed, KEY))
 
 
 @query("SELECT doc_id AS id FROM documents WHERE 1 = 0")

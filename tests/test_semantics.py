@@ -308,3 +308,11 @@ def test_persons_assets_are_dealt_by_number_of_rows(spark, monkeypatch):
     met = A.person_assets(faces, assets, date(2024, 1, 1))
     assert met.rdd.getNumPartitions() == 13 and met.count() == 100
     assert sorted((r["person_id"], r["n"]) for r in A.person_years(faces, assets, date(2024, 1, 1)).collect()) == [(1, 50), (2, 50)]
+
+
+def test_tokens_travel_as_bytes(spark):
+    index = T.token_index(spark.createDataFrame([(1, "a b b"), (2, "c"), (3, "a"), (4, "")], "id long, text string"), "k")
+    kept = T.without(index, spark.createDataFrame([(2,), (9,)], "id long"))
+    assert sorted(map(tuple, kept.collect())) == sorted(tuple(r) for r in index.collect() if r["id"] != 2)
+    assert sorted(map(tuple, T.token_counts(kept).collect())) == [(1, 2), (3, 1)]
+    assert "unhex" in kept._jdf.queryExecution().optimizedPlan().toString().split("LeftAnti")[1]
