@@ -80,9 +80,9 @@ def album_exported(spark, d):
     k = F.col("doc_id")
     side = F.when(k % 2 == 0, I.render_sidecar(F.col("lang"), F.lit(None).cast("string"), F.array("source")))
     files.export(load(spark, d, "documents").select(k.alias("id"), F.concat("source", F.lit(".jpg")).alias("name"), F.col("text").alias("content"), side.alias("sidecar")), folder)
-    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,xmp}").load(folder)
     name, is_side = F.regexp_extract("path", "([^/]*)$", 1), F.col("path").endswith(".xmp")
-    return there.select(name.alias("file"), F.when(~is_side, F.col("length")).alias("bytes"), F.when(is_side, I.sidecar(F.decode("content", "UTF-8"))["title"]).alias("title"))
+    title = F.when(is_side, I.sidecar(F.decode("content", "UTF-8"))["title"])
+    return files.lying(spark, folder, "*.{jpg,xmp}", name.alias("file"), F.when(~is_side, F.col("length")).alias("bytes"), title.alias("title"))
 
 
 def _inbox(spark, d):

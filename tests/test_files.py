@@ -92,3 +92,12 @@ def test_ingest_from_a_folder(spark, tmp_path):
     out = ingest_run.ingested(found, known)
     assert tuple(ingest_run.totals(out).first()) == (8, 3, 2, 2, 1) and ingest_run.jobs(out).count() == 6
     assert tuple(ingest_run.totals(ingest_run.ingested(found.limit(0), known)).first()) == (0, 0, 0, 0, 0)
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for k in range(640):
+        (tmp_path / f"f{k}.jpg").write_bytes(b"x" * (k % 7 + 1))
+    was = spark.conf.get("spark.sql.files.openCostInBytes")
+    got = files.lying(spark, str(tmp_path), "*.jpg", F.col("length"))
+    assert sorted(r["length"] for r in got.collect()) == sorted(k % 7 + 1 for k in range(640))
+    assert len(got.inputFiles()) <= 6 and spark.conf.get("spark.sql.files.openCostInBytes") == was
