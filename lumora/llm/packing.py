@@ -64,15 +64,17 @@ class OpenBins:
             yield free, self._take(free)
 
 
-def token_pieces(df: DataFrame, path: str, limit: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(
+    df: DataFrame, path: str, limit: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", keep: int | None = None
+) -> DataFrame:
     """id, piece, start, length, ids_crc32: every text's ids and end_id, cut only where longer than limit.
 
-    Null texts count as empty (one piece that is end_id). Null ids stay null, repeated rows give repeated pieces.
+    keep bounds what a Python worker remembers of words (work and memory, not the result). Null texts count as empty (one piece that is end_id). Null ids stay null, repeated rows give repeated pieces.
     """
     end = end_id.to_bytes(4, "little")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = held(ChunkIds, path)
+        ids = held(ChunkIds, path, keep)
         for frame in frames:
             rows, keys = [], iter(frame["id"].tolist())
             for batch in ids.batches(frame["text"].tolist()):
@@ -140,6 +142,7 @@ def best_fit(
     parts: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep: int | None = None,
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, free.
 
@@ -153,7 +156,7 @@ def best_fit(
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     with small_batches(df.sparkSession):
-        now = settle(token_pieces(df, path, capacity, end_id, id_col, text_col))
+        now = settle(token_pieces(df, path, capacity, end_id, id_col, text_col, keep))
     lead, done, before = 0, None, None
     while True:
         packed = settle(_pack(_shuffled(now, parts), capacity, many, lead))

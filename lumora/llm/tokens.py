@@ -399,12 +399,12 @@ class PrefixSteps(Chunks):
 _HELD: dict[str, object] = {}
 
 
-def held(kind: type, path: str):
-    """One instance for each Python worker, which serves one task after another; its caches are bounded."""
-    key = f"{kind.__name__}:{path}"
+def held(kind: type, path: str, keep: int | None = None):
+    """One instance for each Python worker, which serves one task after another; its caches are bounded, by keep if given."""
+    key = f"{kind.__name__}:{keep}:{path}"
     if key not in _HELD:
         vocabulary = _HELD.setdefault(f"vocabulary:{path}", Vocabulary(path))
-        _HELD[key] = kind(vocabulary)
+        _HELD[key] = kind(vocabulary) if keep is None else kind(vocabulary, keep)
     return _HELD[key]
 
 

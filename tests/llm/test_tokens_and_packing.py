@@ -76,6 +76,23 @@ def test_a_full_cache_changes_nothing(vocabulary):
         assert next(ids.batches([text]))[0] == np.array(library(vocabulary, [text])[0], "<u4").tobytes()
 
 
+def test_the_pipeline_remembers_fewer_words(spark, monkeypatch):
+    """Its workers stand beside executors whose heap is full: bounded by what its stage asks for, with the same pieces."""
+    import corpus_pipeline
+
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(50))) for k in range(40)]
+    small = tokens.held(tokens.ChunkIds, PATH, 100)
+    for _, text in rows:
+        next(small.batches([text]))
+    assert len(small.known) <= 110 and len(small.before) <= 110 and tokens.held(tokens.ChunkIds, PATH).keep == 400_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces = [sorted(packing.token_pieces(docs, PATH, 64, 1, keep=k).collect()) for k in (None, 20)]
+    assert pieces[0] == pieces[1] and len(pieces[0]) > 40
+    asked, best_fit = [], packing.best_fit
+    monkeypatch.setattr(packing, "best_fit", lambda *a, **k: asked.append(k) or best_fit(*a, **k))
+    assert corpus_pipeline.pack_sequences(spark, docs, "").count() == 40 and asked[0]["keep"] <= 100_000
+
+
 def test_wide_steps_are_stored_too():
     steps = np.array([1, 300, -299, 0], "<i2").tobytes()
     assert tokens.read_table(tokens.prefix_table(steps)).tolist() == [0, 1, 301, 2, 2]
