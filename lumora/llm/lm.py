@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lumora.llm.mixer import coded
 from lumora.llm.spelling import CLASS, HASHED, STEM, Speller, count_into, events_of, stretches
 from lumora.llm.words import RARE, Pairs, WordCode, WordModel
-from lumora.session import settle, small_batches
+from lumora.session import discard, settle, small_batches
 
 END = b"\n"
 GROUP = 256  # texts that are looked at together
@@ -203,31 +203,47 @@ def fit_words(rows: DataFrame, code: WordCode, known: Symbols, tasks: int) -> Wo
     The weights learn from all texts too, each word left out of the counts that predict it. known: symbols of END, the code's words and classes.
     """
     shared = rows.sparkSession.sparkContext.broadcast((code, known))
+    kind = np.dtype("<u2" if code.symbols <= 1 << 16 else "<u4")
+
+    def name(frames):
+        for _, texts in _groups(frames):
+            symbols, lengths = shared.value[1].of(texts)
+            each = np.split(symbols.astype(kind), np.cumsum(lengths)[:-1])
+            yield pd.DataFrame({"symbols": [s.tobytes() for s in each]})
+
+    def groups(frames):
+        for frame in frames:
+            for at in range(0, len(frame), GROUP):
+                part = frame["symbols"].iloc[at : at + GROUP]
+                yield np.frombuffer(b"".join(part), kind).astype(np.int64), [len(x) // kind.itemsize for x in part]
+
+    # texts are split and their words looked up once; both passes read the symbols
+    named = settle(rows.mapInPandas(name, "symbols binary"))
+    dealt = named.coalesce(tasks)
 
     def tally(frames):
-        (own, names), task = shared.value, [0]
+        own, task = shared.value[0], [0]
         pairs = Pairs(own)
-        for _, texts in _groups(_with_task(frames, task)):
-            symbols, lengths = names.of(texts)
+        for symbols, lengths in groups(_with_task(frames, task)):
             pairs.add(symbols, *own.contexts(symbols, lengths))
         for block in _blocks(pairs.tables()):
             yield block.assign(task=task[0])
 
-    found = _gathered(rows, tally, code.sizes, tasks)
+    found = _gathered(dealt, tally, code.sizes, tasks)
     model = WordModel(code, [z.astype(np.uint16) << 8 | o for z, o in found])
     tables = rows.sparkSession.sparkContext.broadcast(model.tables)
 
     def learn(frames):
-        (given, names), total = shared.value, 0.0
+        given, total = shared.value[0], 0.0
         own = WordModel(given, tables.value)
         own.mixer.begin()
-        for _, texts in _groups(frames):
-            symbols, lengths = names.of(texts)
+        for symbols, lengths in groups(frames):
             total += own.learn(symbols, own.code.contexts(symbols, lengths))
         if total:
             yield pd.DataFrame({"seen": [total], "state": [own.mixer.state()]})
 
-    states = rows.mapInPandas(learn, "seen double, state binary").collect()
+    states = dealt.mapInPandas(learn, "seen double, state binary").collect()
+    discard(named)
     if states:
         model.mixer.restore([r["state"] for r in states], [r["seen"] for r in states])
     return model
@@ -285,7 +301,7 @@ def score_documents(
 
         width = train.rdd.getNumPartitions()
         tasks = max(2, min(width, max(spark.sparkContext.defaultParallelism, width // 8)))
-        model = fit_words(train.coalesce(tasks), code, names, tasks)
+        model = fit_words(train, code, names, tasks)
         scored = settle(spelled(rare, fit_speller(rare, spell_bits, tasks), by_class))
 
         more = scored.orderBy(F.col("n").desc(), "word").limit(hot).collect()

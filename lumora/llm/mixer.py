@@ -61,7 +61,7 @@ class Mixer:
         """Log odds after the curve (interpolated between its cells and averaged with the mixture), cell, share above it."""
         x = np.minimum((dot + np.float32(LIMIT)) * np.float32(16 / LIMIT), np.float32(31.999))
         low = x.astype(np.int32)
-        part = x - low
+        part = x - low.astype("f4")
         cell = gate * CELLS + low
         flat = self.curve.astype("f4").ravel()
         a = flat.take(cell)
@@ -70,31 +70,38 @@ class Mixer:
     def log2(self, bit: np.ndarray, stretch: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         """log2 probability of each bit."""
         odds = self.refined(self.mixed(stretch, gate), gate)[0]
-        return np.log1p(np.exp(np.where(bit == 1, -odds, odds))) * np.float32(-1 / np.log(2))
+        return np.log(1 + np.exp(np.where(bit == 1, -odds, odds))) * np.float32(-1 / np.log(2))
 
     def begin(self) -> None:
         self._bend = np.tile(np.eye(self.inputs) * 200.0, (self.gates, 1, 1))
         self._near = np.full(self.gates * CELLS, 200.0)
 
     def learn(self, bit: np.ndarray, stretch: list[np.ndarray], gate: np.ndarray, weight: np.ndarray | float = 1.0) -> None:
+        by = np.argsort(gate.astype(np.min_scalar_type(self.gates)), kind="stable")  # bits of a gate stand together
+        gate, bit, stretch = gate.take(by), bit.take(by).astype("f4"), [x.take(by) for x in stretch]
+        weight = np.take(weight, by).astype("f4") if np.ndim(weight) else np.float32(weight)
+        seen = np.flatnonzero(np.bincount(gate, minlength=self.gates))
+        first = np.searchsorted(gate, seen)
         dot = self.mixed(stretch, gate)
-        p = 1 / (1 + np.exp(-dot.astype(float)))
+        p = 1 / (1 + np.exp(-dot))
         err, curve = (bit - p) * weight, p * (1 - p) * weight
-        slope = np.stack([np.bincount(gate, err * x, self.gates) for x in stretch], axis=1)
+        slope = np.zeros((self.gates, self.inputs))
         for i in range(self.inputs):
+            slope[seen, i] = np.add.reduceat(err * stretch[i], first, dtype=float)
             bent = curve * stretch[i]
             for j in range(i, self.inputs):
-                h = np.bincount(gate, bent * stretch[j], self.gates)
-                self._bend[:, i, j] += h
+                h = np.add.reduceat(bent * stretch[j], first, dtype=float)
+                self._bend[seen, i, j] += h
                 if i != j:
-                    self._bend[:, j, i] += h
+                    self._bend[seen, j, i] += h
         step = np.linalg.solve(self._bend, slope[:, :, None])[:, :, 0]
         self.weights = np.clip(self.weights + np.clip(step, -0.1, 0.1).T, -0.5, 1.5)
         odds, cell, share = self.refined(dot, gate)
-        q = 1 / (1 + np.exp(-odds.astype(float)))
+        q = 1 / (1 + np.exp(-odds))
+        err, curve = (bit - q) * weight, q * (1 - q) * weight
         for at, s in ((cell, 1 - share), (cell + 1, share)):
-            self._near += np.bincount(at, q * (1 - q) * weight * s, self.gates * CELLS)
-            move = np.bincount(at, (bit - q) * weight * s, self.gates * CELLS) / self._near
+            self._near += np.bincount(at, curve * s, self.gates * CELLS)
+            move = np.bincount(at, err * s, self.gates * CELLS) / self._near
             self.curve += np.clip(move, -0.2, 0.2).reshape(self.gates, CELLS)
 
     def state(self) -> bytes:

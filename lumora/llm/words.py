@@ -45,7 +45,7 @@ class WordCode:
         self.symbols, self.table_bits = len(counts), table_bits
         self.first_word = RARE + 1 + classes
         offsets, nodes, bits = huffman(np.maximum(counts, 1))
-        self.offsets, self.nodes, self.bits = offsets[:-1], nodes.astype(np.int32), bits.astype(np.int32)
+        self.offsets, self.nodes, self.bits = offsets[:-1], nodes, bits
         self.size = np.diff(offsets)
         self.pairs = (FREQUENT + 1) ** 2
         self.sizes = [self.symbols, self.pairs * self.symbols, 1 << table_bits]
@@ -68,12 +68,12 @@ class WordCode:
         """(start of each symbol's bits, bits, places in each context's table)."""
         size = self.size.take(symbols)
         start = np.cumsum(size) - size
-        of = np.repeat(np.arange(len(symbols)), size)
-        at = (self.offsets.take(symbols) - start).take(of) + np.arange(len(of))
+        at = np.repeat(self.offsets.take(symbols) - start, size)
+        at += np.arange(len(at))
         node = self.nodes.take(at)
-        last = (prev.astype(np.uint64) * MIX).take(of) ^ node.astype(np.uint64) * NODE
+        last = np.repeat(prev.astype(np.uint64) * MIX, size) ^ node.view(np.uint64) * NODE
         last ^= last >> np.uint64(29)
-        places = [node, (two * self.symbols).take(of) + node, (last * MIX >> np.uint64(64 - self.table_bits)).astype(np.int64)]
+        places = [node, np.repeat(two * self.symbols, size) + node, (last * MIX >> np.uint64(64 - self.table_bits)).view(np.int64)]
         return start, self.bits.take(at), places
 
 
@@ -125,8 +125,9 @@ class WordModel:
 
     def inputs(self, places: list[np.ndarray], bit: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
         """Log odds of every context, and the gate. With bit: its own occurrence is taken off the counts first."""
-        codes = [t.take(p) for t, p in zip(self.tables, places)]
-        stretch = [PLAIN.take(c) for c in codes] if bit is None else [LESS.take(c + (bit << 16)) for c in codes]
+        codes = [t.take(p).astype(np.intp) for t, p in zip(self.tables, places)]
+        less = None if bit is None else bit << 16
+        stretch = [PLAIN.take(c) for c in codes] if bit is None else [LESS.take(c + less) for c in codes]
         off = int(bit is not None)
         return stretch, LAST[off].take(codes[2]) + OFTEN[off].take(codes[1])
 

@@ -197,3 +197,43 @@ def test_weights_learn_from_every_text_and_event(spark):
     own.mixer.learn = lambda bit, *_: seen.append(len(bit))
     own.learn(events)
     assert sum(seen) == 8 * len(events.byte)
+
+
+def test_words_are_looked_up_once_for_both_passes(spark, monkeypatch):
+    """Counting and learning read one table of symbols, which goes when both are done."""
+    code = words.WordCode(np.array([1, 2, 40, 30]), 0, 10)
+    names = lm.Symbols({lm.END: 0, b"a": code.first_word, b"b": code.first_word + 1}, {})
+    settle, written = lm.settle, []
+
+    def recorded(df):
+        out = settle(df)
+        written.append((out, out.collect()))
+        return out
+
+    monkeypatch.setattr(lm, "settle", recorded)
+    lm.fit_words(spark.createDataFrame([("a B zz a",), (None,), ("b",)], "text string").coalesce(1), code, names, 2)
+    (table, rows), = written
+    a, b = code.first_word, code.first_word + 1
+    assert [np.frombuffer(r["symbols"], "<u2").tolist() for r in rows] == [[a, b, words.RARE, a, 0], [0], [b, 0]]
+    with pytest.raises(Exception):
+        table.collect()
+
+
+def test_learning_in_single_precision_follows_the_sums_of_all_bits():
+    rng = np.random.default_rng(4)
+    n, gates = 20_000, 7
+    stretch = [rng.normal(size=n).astype("f4") * 3 for _ in range(3)]
+    bit, gate, weight = rng.integers(0, 2, n), rng.integers(0, gates - 1, n).astype(np.int32), rng.integers(1, 50, n).astype(float)
+    own = mixer.Mixer(gates, [0.5, 0.25, 0.25])
+    own.begin()
+    was = own.weights.copy()
+    odds, _, part = own.refined(own.mixed(stretch, gate), gate)
+    assert odds.dtype == part.dtype == np.float32  # doubles here cost as much again
+    own.learn(bit, stretch, gate, weight)
+    for g in range(gates):
+        x = np.stack([s[gate == g].astype(float) for s in stretch], axis=1)
+        p = 1 / (1 + np.exp(-np.clip(x @ was[:, g], -mixer.LIMIT, mixer.LIMIT)))
+        w, bend = weight[gate == g], np.eye(3) * 200.0
+        bend += (x * (p * (1 - p) * w)[:, None]).T @ x
+        step = np.linalg.solve(bend, x.T @ ((bit[gate == g] - p) * w))
+        assert own.weights[:, g] == pytest.approx(np.clip(was[:, g] + np.clip(step, -0.1, 0.1), -0.5, 1.5), rel=1e-4, abs=1e-5)
