@@ -125,3 +125,16 @@ def test_lists_of_copies_nulls_and_nothing(spark, tmp_path, monkeypatch):
     assert [r["asset_id"] for r in got] == list(range(50)) and [r["score"] for r in got] == [1.0] * 40 + [0.0] * 10
     none = L.build(df.limit(0), str(tmp_path / "none"))
     assert L.search(spark, none, df.select(F.col("asset_id").alias("query_id"), "vec")).count() == 0
+
+
+@pytest.mark.parametrize("probes, most", [(9, 40), (3, 16_384), (9, 1)])
+def test_visits_leave_in_bounded_batches(probes, most):
+    """All visits of many queries at once, each with its vector, were gigabytes."""
+    rng = np.random.default_rng(6)
+    m, centres, parts = rng.standard_normal((700, 4)), rng.standard_normal((9, 4)), np.array([1, 0, 2, 3, 1, 1, 5, 1, 0])
+    out = list(L._visits(m, centres, parts, probes, most))
+    a_row = int(np.sort(parts)[::-1][:probes].sum())
+    assert all(len(row) <= max(most, a_row) and len(set(row.tolist())) <= L.ROWS for row, _, _ in out) and len(out) > 1
+    near = np.argsort(V._lengths(m, centres), axis=1, kind="stable")[:, :probes]
+    want = [(i, int(c), p) for i, line in enumerate(near) for c in line for p in range(parts[c])]
+    assert [tuple(map(int, x)) for r in out for x in zip(*r)] == want
