@@ -40,6 +40,20 @@ def test_stored_index(spark, tmp_path):
     assert "PartitionFilters" in plan and token[:2] in plan.split("PartitionFilters")[1].split("]")[0] and "token" in plan.split("PushedFilters")[1].split("\n")[0]
 
 
+def test_ids_of_a_token_are_stored_together(spark, tmp_path):
+    """A word is blinded, dealt and sorted once for the ids that meet in a task, not once for each; the index is the same."""
+    rows = [(k, f"The {'fox' * (k % 2)} Éa{k % 5}, the") for k in range(200)] + [(7, "fox again"), (None, "fox"), (300, None), (301, " ! ")]
+    docs = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    want = sorted(map(str, T.token_index(docs, "k").collect()))
+    for most, parts in ((1_000_000, 1), (100, 5)):
+        got = T.postings(docs, "k", most=most)
+        assert sorted(map(str, got.select("token", F.explode("ids").alias("id")).collect())) == want
+        assert got.groupBy("token").count().agg(F.max("count")).first()[0] <= parts + 1 < 9
+    T.store(docs, "k", str(tmp_path / "index"))
+    assert spark.read.parquet(str(tmp_path / "index/tokens")).count() == len({r.split("'")[1] for r in want}) == 8
+    assert sorted(map(str, T.stored(spark, str(tmp_path / "index")).select("token", "id").collect())) == want
+
+
 def test_places_are_gapless(spark):
     df = spark.range(1000).select(F.when(F.col("id") % 11 == 0, None).otherwise(F.hash("id") % 50).alias("k"), "id").repartition(7)
     got = numbered(df, [F.col("k").desc_nulls_last(), F.col("id")], "place").orderBy("place").collect()
