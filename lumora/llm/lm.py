@@ -9,22 +9,24 @@ bit (spelling.py). Spelling looks at nothing outside the word, so each distinct
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumora.llm.mixer import coded
 from lumora.llm.spelling import CLASS, HASHED, STEM, Speller, count_into, events_of, stretches
+from lumora.llm.words import END as END_SYMBOL
 from lumora.llm.words import RARE, Pairs, WordCode, WordModel
 from lumora.session import discard, settle, small_batches
 
 END = b"\n"
 GROUP = 256  # texts that are looked at together
+PIECE = 1 << 23  # bytes of texts that are split together
 BLOCK = 1 << 16
 FAN = 32  # tables that are summed together
 
@@ -37,32 +39,49 @@ def crc_fold(doc_id: int, folds: int = 7) -> int:
     return zlib.crc32(str(doc_id).encode()) % folds
 
 
-def split_words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = max(1, batch.num_rows * PIECE // max(PIECE, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
-def vocabulary(df: DataFrame, id_col: str, text_col: str, keep: int = 200_000) -> DataFrame:
-    """(word, n): every word of all rows and its training occurrences, counted in tasks (keep words at a time) before they meet."""
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts, number of words of each); A-Z lower-cased, cut at ASCII white space only, null texts empty."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = lists.flatten()
+    full = pc.binary_length(flat).to_numpy() > 0  # a text that begins or ends with white space has an empty part there
+    before = np.append(0, np.cumsum(full))
+    return flat.filter(pa.array(full)).cast(pa.binary()), np.diff(before[lists.offsets.to_numpy()])
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, train = Counter(), Counter()
 
-        def rows():
-            names = [*train, *(held.keys() - train.keys())]
-            out = pd.DataFrame({"word": names, "n": [*train.values(), *([0] * (len(names) - len(train)))]})
-            held.clear()
-            train.clear()
-            return out
+def vocabulary(df: DataFrame, id_col: str, text_col: str, keep: int = 200_000) -> DataFrame:
+    """(word, n): every word of all rows and its training occurrences, counted in tasks (keep words at a time) before they meet."""
 
-        for frame in frames:
-            for text, learnt in zip(frame["text"], frame["train"]):
-                (train if learnt else held).update(split_words(text))
-                if len(train) + len(held) > keep:
-                    yield rows()
-        yield rows()
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        found = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return pa.table({"word": found["word"], "n": found["n_sum"]}).combine_chunks()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for piece in _pieces(batches):
+            flat, lengths = split_words(piece.column("text"))
+            coded = flat.dictionary_encode()
+            learnt = np.repeat(piece.column("train").to_numpy(zero_copy_only=False), lengths)
+            n = np.bincount(coded.indices.to_numpy()[learnt], minlength=len(coded.dictionary))
+            parts.append(pa.table({"word": coded.dictionary, "n": n}))
+            size += len(n)
+            if size > 2 * keep:
+                parts = [summed(parts)]
+                size = len(parts[0])
+                if size > keep:
+                    yield from parts.pop().to_batches()
+                    size = 0
+        if parts:
+            yield from summed(parts).to_batches()
 
     slim = df.select(F.col(f"`{text_col}`").alias("text"), training_rows(F.col(f"`{id_col}`")).alias("train"))
-    return slim.mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return slim.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 # tables of counts ---------------------------------------------------------------------------------------------------
@@ -171,45 +190,77 @@ def spelled(vocab: DataFrame, model: Speller, classes: dict[bytes, int]) -> Data
 # words in context ---------------------------------------------------------------------------------------------------
 
 
-def _groups(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[list[bytes]]]]:
-    for frame in frames:
-        for at in range(0, len(frame), GROUP):
-            part = frame.iloc[at : at + GROUP]
-            yield part, [[*split_words(t), END] for t in part["text"]]
+def _binaries(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The bytes of runs of data, a value for each length."""
+    ends = np.append(0, np.cumsum(lengths) * data.itemsize).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data.tobytes())])
+
+
+def _numbers(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all values, how many each value has) of what _binaries has made."""
+    lengths = pc.binary_length(column).to_numpy() // kind.itemsize
+    return np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.int64), lengths
+
+
+def _ended(of_words: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
+    """Numbers of all words, with that of the end after those of each text."""
+    out = np.full(len(of_words) + len(lengths), end, np.int64)
+    is_word = np.ones(len(out), bool)
+    is_word[np.cumsum(lengths + 1) - 1] = False
+    out[is_word] = of_words
+    return out
+
+
+def _places(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Place of each word in among; -1 if it is not there."""
+    return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy().astype(np.int64)
 
 
 class Symbols:
     """Numbers of known words; any other word is asked for by its class, which is RARE if it has none."""
 
     def __init__(self, known: dict[bytes, int], classes: dict[bytes, int]):
-        self.known, self.classes = known, classes
+        self.known, self.classes = (pa.array(list(x), pa.binary()) for x in (known, classes))
+        self.of_known, self.of_class = np.array([*known.values(), 0]), np.array([*classes.values(), RARE])
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        at = _places(words, self.known)
+        out, missing = self.of_known.take(at), np.flatnonzero(at < 0)
+        out[missing] = self.by_class(words.take(pa.array(missing)))
+        return out
+
+    def by_class(self, words: pa.Array) -> np.ndarray:
+        first = pc.binary_slice(pc.binary_join_element_wise(words, b" ", b""), 0, CLASS)
+        return self.of_class.take(_places(first, self.classes))
 
-    def of(self, texts: list[list[bytes]]) -> tuple[np.ndarray, list[int]]:
-        """(symbol of each word of all texts, number of words of each)."""
-        flat, lengths = list(chain.from_iterable(texts)), list(map(len, texts))
-        out = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
-        self.fill(out, np.flatnonzero(out < 0), flat)
-        return out, lengths
 
-    def fill(self, out: np.ndarray, missing: np.ndarray, flat: list[bytes]) -> list[bytes]:
-        words, get = [flat[i] for i in missing.tolist()], self.classes.get
-        out[missing] = [get((w + b" ")[:CLASS], RARE) for w in words]
-        return words
+def _kind(code: WordCode) -> np.dtype:
+    return np.dtype("<u2" if code.symbols <= 1 << 16 else "<u4")
 
 
 def fit_words(rows: DataFrame, code: WordCode, known: Symbols, tasks: int) -> WordModel:
-    """Tables from all words of rows(text) in context; then mixing weights, learnt online along the texts.
+    """fit_symbols of rows(text). known: symbols of END, the code's words and classes."""
+    shared, kind = rows.sparkSession.sparkContext.broadcast(known), _kind(code)
 
-    The weights learn from all texts too, each word left out of the counts that predict it. known: symbols of END, the code's words and classes.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast((code, known))
-    kind = np.dtype("<u2" if code.symbols <= 1 << 16 else "<u4")
+    def name(batches):
+        for piece in _pieces(batches):
+            words, lengths = split_words(piece.column("text"))
+            symbols = _ended(shared.value.of(words), lengths, END_SYMBOL)
+            yield pa.RecordBatch.from_arrays([_binaries(symbols.astype(kind), lengths + 1)], ["symbols"])
+
+    named = settle(rows.mapInArrow(name, "symbols binary"))
+    model = fit_symbols(named, code, tasks)
+    discard(named)
+    return model
 
-    def name(frames):
-        for _, texts in _groups(frames):
-            symbols, lengths = shared.value[1].of(texts)
-            each = np.split(symbols.astype(kind), np.cumsum(lengths)[:-1])
-            yield pd.DataFrame({"symbols": [s.tobytes() for s in each]})
+
+def fit_symbols(named: DataFrame, code: WordCode, tasks: int) -> WordModel:
+    """Tables from all words of named(symbols) in context; then mixing weights, learnt online along the texts.
+
+    The weights learn from all texts too, each word left out of the counts that predict it.
+    """
+    spark, kind = named.sparkSession, _kind(code)
+    shared, dealt = spark.sparkContext.broadcast(code), named.coalesce(tasks)
 
     def groups(frames):
         for frame in frames:
@@ -217,12 +268,8 @@ def fit_words(rows: DataFrame, code: WordCode, known: Symbols, tasks: int) -> Wo
                 part = frame["symbols"].iloc[at : at + GROUP]
                 yield np.frombuffer(b"".join(part), kind).astype(np.int64), [len(x) // kind.itemsize for x in part]
 
-    # texts are split and their words looked up once; both passes read the symbols
-    named = settle(rows.mapInPandas(name, "symbols binary"))
-    dealt = named.coalesce(tasks)
-
     def tally(frames):
-        own, task = shared.value[0], [0]
+        own, task = shared.value, [0]
         pairs = Pairs(own)
         for symbols, lengths in groups(_with_task(frames, task)):
             pairs.add(symbols, *own.contexts(symbols, lengths))
@@ -231,10 +278,10 @@ def fit_words(rows: DataFrame, code: WordCode, known: Symbols, tasks: int) -> Wo
 
     found = _gathered(dealt, tally, code.sizes, tasks)
     model = WordModel(code, [z.astype(np.uint16) << 8 | o for z, o in found])
-    tables = rows.sparkSession.sparkContext.broadcast(model.tables)
+    tables = spark.sparkContext.broadcast(model.tables)
 
     def learn(frames):
-        given, total = shared.value[0], 0.0
+        given, total = shared.value, 0.0
         own = WordModel(given, tables.value)
         own.mixer.begin()
         for symbols, lengths in groups(frames):
@@ -243,7 +290,6 @@ def fit_words(rows: DataFrame, code: WordCode, known: Symbols, tasks: int) -> Wo
             yield pd.DataFrame({"seen": [total], "state": [own.mixer.state()]})
 
     states = dealt.mapInPandas(learn, "seen double, state binary").collect()
-    discard(named)
     if states:
         model.mixer.restore([r["state"] for r in states], [r["seen"] for r in states])
     return model
@@ -297,48 +343,63 @@ def score_documents(
         told = [ends, 0, *(n for _, n in groups), *(n for _, n in often)]
         told[RARE] = total - sum(told)
         code = WordCode(np.array(told), len(groups), table_bits)
-        names = Symbols({END: 0} | {w: code.first_word + k for k, (w, _) in enumerate(often)}, by_class)
+        names = Symbols({END: END_SYMBOL} | {w: code.first_word + k for k, (w, _) in enumerate(often)}, by_class)
+
+        order = F.col("n").desc(), "word"
+        more = [(bytes(r["word"]), r["n"]) for r in rare.orderBy(*order).limit(hot).collect()]
+        words = pa.array([END, *(w for w, _ in (*often, *more))], pa.binary())
+        n = np.array([ends, *(n for _, n in (*often, *more))], float)
+        spelt, wide, kind = 1 + len(often), np.dtype("<u4"), _kind(code)  # from `spelt` on words are spelled
+        looked = spark.sparkContext.broadcast((words, names, np.append(names.of(words), RARE), np.append(np.log10(n + 1), 0.0), np.append(n > 0, False)))
+
+        def look_up(batches):
+            words, names, symbol, base, is_known = looked.value
+            for piece in _pieces(batches):
+                flat, lengths = split_words(piece.column("text"))
+                at = _places(flat, words)
+                symbols, missing = symbol.take(at), np.flatnonzero(at < 0)
+                rest = flat.take(pa.array(missing))
+                symbols[missing] = names.by_class(rest)
+                ended, sizes = _ended(at, lengths, 0), lengths + 1
+                start = np.cumsum(sizes) - sizes
+                of_text = lambda found: np.add.reduceat(found, start, dtype=np.int64)
+                cut = pa.array(np.append(0, np.cumsum(of_text(ended < 0))), pa.int32())
+                yield pa.RecordBatch.from_pydict({
+                    "row": piece.column("row"), "id": piece.column("id"), "n_bytes": piece.column("n_bytes"), "train": piece.column("train"),
+                    "n_tokens": sizes, "n_known": of_text(is_known.take(ended)), "base": np.add.reduceat(base.take(ended), start),
+                    "rare": pa.ListArray.from_arrays(cut, rest), "symbols": _binaries(_ended(symbols, lengths, END_SYMBOL).astype(kind), sizes),
+                    "spelt": _binaries((ended[ended >= spelt] - spelt).astype(wide), of_text(ended >= spelt)),
+                })
+
+        # texts are split and their words looked up once: tables, weights and scores all read the symbols
+        id_kind = df.select(F.col(f"`{id_col}`").alias("id")).schema["id"].dataType.simpleString()
+        schema = f"row long, id {id_kind}, n_bytes long, n_tokens long, n_known long, base double, rare array<binary>"
+        whole = slim.select(F.monotonically_increasing_id().alias("row"), "*", training_rows(F.col("id")).alias("train"))
+        named_schema = f"row long, id {id_kind}, n_bytes long, train boolean, n_tokens long, n_known long, base double, rare array<binary>, symbols binary, spelt binary"
+        named = settle(whole.mapInArrow(look_up, named_schema))
 
         width = train.rdd.getNumPartitions()
         tasks = max(2, min(width, max(spark.sparkContext.defaultParallelism, width // 8)))
-        model = fit_words(train, code, names, tasks)
+        model = fit_symbols(named.where("train").select("symbols"), code, tasks)
         scored = settle(spelled(rare, fit_speller(rare, spell_bits, tasks), by_class))
 
-        more = scored.orderBy(F.col("n").desc(), "word").limit(hot).collect()
-        words = [END, *(w for w, _ in often), *(bytes(r["word"]) for r in more)]
-        n = np.array([ends, *(n for _, n in often), *(r["n"] for r in more)], float)
-        shared = spark.sparkContext.broadcast((
-            model,
-            {w: k for k, w in enumerate(words)},
-            np.append(np.log10(n + 1), 0.0),
-            np.append(n > 0, False),
-            np.array([0.0] * (1 + len(often)) + [r["bits"] for r in more] + [0.0]),
-            np.append(names.of([words])[0], RARE),
-            Symbols({}, by_class),
-        ))
-
-        def read(frames):
-            own, known, base, is_known, bits, symbol, names = shared.value
-            for part, texts in _groups(frames):
-                lengths = list(map(len, texts))
-                flat = list(chain.from_iterable(texts))
-                at = np.fromiter(map(known.get, flat, repeat(-1)), np.int64, len(flat))
-                symbols, missing = symbol.take(at), np.flatnonzero(at < 0)
-                rest = names.fill(symbols, missing, flat)
-                cost = own.log2(symbols, own.code.contexts(symbols, lengths)) + bits.take(at)
-                start = np.cumsum([0, *lengths])[:-1]
-                cut = np.searchsorted(missing, np.append(start, len(at))).tolist()
-                yield pd.DataFrame({
-                    "row": part["row"].array, "id": part["id"].array, "n_bytes": part["n_bytes"].array, "n_tokens": lengths,
-                    "n_known": np.add.reduceat(is_known.take(at).astype(np.int64), start), "base": np.add.reduceat(base.take(at), start),
-                    "bits": np.add.reduceat(cost, start), "rare": [b" ".join(rest[a:b]) for a, b in zip(cut, cut[1:])],
-                })
-
-        kind = df.select(F.col(f"`{id_col}`").alias("id")).schema["id"].dataType.simpleString()
-        schema = f"row long, id {kind}, n_bytes long, n_tokens long, n_known long, base double, bits double, rare binary"
-        found = settle(slim.withColumn("row", F.monotonically_increasing_id()).mapInPandas(read, schema))
-    asked = found.where(F.octet_length("rare") > 0).select("row", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("word"))
-    asked = asked.withColumn("word", F.col("word").cast("binary"))
+        costs = np.array([r["bits"] for r in scored.orderBy(*order).limit(hot).select("bits").collect()], float)
+        shared = spark.sparkContext.broadcast((model, costs))
+
+        def read(batches):
+            own, costs = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, GROUP):
+                    part = batch.slice(at, GROUP)
+                    (symbols, sizes), (rarer, how_many) = _numbers(part.column("symbols"), kind), _numbers(part.column("spelt"), wide)
+                    cost = np.add.reduceat(own.log2(symbols, own.code.contexts(symbols, sizes)), np.cumsum(sizes) - sizes)
+                    cost += np.bincount(np.repeat(np.arange(len(sizes)), how_many), costs.take(rarer), len(sizes))
+                    yield pa.RecordBatch.from_pydict({c: part.column(c) for c in kept} | {"bits": cost})
+
+        kept = ["row", "id", "n_bytes", "n_tokens", "n_known", "base", "rare"]
+        found = settle(named.select(*kept, "symbols", "spelt").mapInArrow(read, f"{schema}, bits double"))
+        discard(named)
+    asked = found.where(F.size("rare") > 0).select("row", F.explode("rare").alias("word"))
     met = asked.join(scored, "word").groupBy("row").agg(
         F.count_if(F.col("n") > 0).alias("more_known"), F.sum(F.log10(F.col("n") + 1)).alias("more_base"), F.sum("bits").alias("more_bits")
     )

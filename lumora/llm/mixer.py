@@ -62,7 +62,7 @@ class Mixer:
         x = np.minimum((dot + np.float32(LIMIT)) * np.float32(16 / LIMIT), np.float32(31.999))
         low = x.astype(np.int32)
         part = x - low.astype("f4")
-        cell = gate * CELLS + low
+        cell = gate.astype(np.intp, copy=False) * CELLS + low
         flat = self.curve.astype("f4").ravel()
         a = flat.take(cell)
         return 0.5 * dot + 0.5 * (a + (flat.take(cell + 1) - a) * part), cell, part

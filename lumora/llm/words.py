@@ -24,7 +24,7 @@ def _of_codes(less: int | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _level(total: np.ndarray, levels: int) -> np.ndarray:
-    return np.minimum(np.ceil(np.log2(total + 1)), levels - 1).astype(np.int32)
+    return np.minimum(np.ceil(np.log2(total + 1)), levels - 1).astype(np.intp)  # gates are places, too
 
 
 PLAIN, TOTAL = _of_codes(None)

@@ -237,3 +237,31 @@ def test_learning_in_single_precision_follows_the_sums_of_all_bits():
         bend += (x * (p * (1 - p) * w)[:, None]).T @ x
         step = np.linalg.solve(bend, x.T @ ((bit[gate == g] - p) * w))
         assert own.weights[:, g] == pytest.approx(np.clip(was[:, g] + np.clip(step, -0.1, 0.1), -0.5, 1.5), rel=1e-4, abs=1e-5)
+
+
+def test_scores_are_read_from_the_symbols_that_the_tables_count(spark, monkeypatch):
+    """Texts of all rows are split once into symbols; the gates of their bits are places, which no step has to widen."""
+    settle, written = lm.settle, []
+
+    def recorded(df):
+        out = settle(df)
+        written.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(lm, "settle", recorded)
+    docs = spark.createDataFrame([(k, f"a b{k % 3} a b{k % 3}") for k in range(40)], "doc_id long, text string").coalesce(2)
+    rows = lm.score_documents(docs, table_bits=10, spell_bits=10).collect()
+    assert [n for columns, n in written if "symbols" in columns] == [40] and {r["held_out"] for r in rows} == {True, False}
+    assert words.LAST[0].dtype == words.OFTEN[1].dtype == np.intp
+
+
+def test_words_are_split_at_ascii_white_space_only():
+    import random
+
+    import pyarrow as pa
+
+    draw = random.Random(1)
+    texts = ["".join(draw.choices(" \t\n\x0b\x0c\r\x1c\x85\xa0\x00\u2003aBÀé漢", k=draw.randrange(30))) for _ in range(500)] + [None, "", "  "]
+    flat, lengths = lm.split_words(pa.array(texts).slice(3))
+    want = [(t or "").encode().lower().split() for t in texts[3:]]
+    assert flat.to_pylist() == [w for ws in want for w in ws] and lengths.tolist() == list(map(len, want))
