@@ -101,3 +101,11 @@ def test_small_files_share_tasks(spark, tmp_path):
     got = files.lying(spark, str(tmp_path), "*.jpg", F.col("length"))
     assert sorted(r["length"] for r in got.collect()) == sorted(k % 7 + 1 for k in range(640))
     assert len(got.inputFiles()) <= 6 and spark.conf.get("spark.sql.files.openCostInBytes") == was
+
+
+def test_exported_files_lie_in_several_folders_with_their_sidecars(spark, tmp_path):
+    rows = spark.range(300).select("id", F.lit("a.jpg").alias("name"), F.lit("x").alias("content"), F.when(F.col("id") % 2 == 0, "side").alias("sidecar"))
+    files.export(rows, str(tmp_path))
+    names = [f for f in listed(tmp_path)]
+    assert len(names) == 450 and 100 < len({f.rpartition("/")[0] for f in names}) <= 256
+    assert all(f"{f.removesuffix('.xmp')}" in names for f in names)
