@@ -244,12 +244,12 @@ def orphans(stored: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def export_names(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """rows with out_name: repeats of a file name get -1, -2, ... before the extension, in the order given.
+    """rows with out_name: repeats of a file name get -1, -2, ... before the extension, in the order given, nulls last.
 
     All rows are numbered by name and order in sorted ranges; a row's number less the first of its name is its repeat, so a name that most files
     share is no one task's.
     """
-    placed = numbered(rows, [F.col(name), F.col(order)], "__p")
+    placed = numbered(rows, [F.col(name), F.col(order).asc_nulls_last()], "__p")
     first = placed.groupBy(name).agg(F.min("__p").alias("__first"))
     r = F.col("__p") - F.col("__first")
     stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"(\.[^.]*)?$", 1)

@@ -103,9 +103,40 @@ def test_small_files_share_tasks(spark, tmp_path):
     assert len(got.inputFiles()) <= 6 and spark.conf.get("spark.sql.files.openCostInBytes") == was
 
 
+def _album(spark, tmp_path, rows):
+    import duckdb
+
+    from lumora.plans import registry
+    from tests.test_oracles import rows_of
+
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(registry.ORACLES["album_exported"])
+    names = [c[0] for c in want.description]
+    got = registry.QUERIES["album_exported"](spark, str(tmp_path))
+    return rows_of(got.columns, got.collect()), rows_of(names, want.fetchall())
+
+
+def test_empty_files_and_rows_without_an_id_are_in_the_album(spark, tmp_path):
+    rows = [(3, "", "de", "a"), (1, "one", "en", "a"), (None, "no id", "en", "a"), (2, "", None, "b"), (4, None, "fr", "b"), (6, "six", "fr", "_b")]
+    got, want = _album(spark, tmp_path, rows)
+    assert len(want) == 8 and got == want
+
+
 def test_exported_files_lie_in_several_folders_with_their_sidecars(spark, tmp_path):
     rows = spark.range(300).select("id", F.lit("a.jpg").alias("name"), F.lit("x").alias("content"), F.when(F.col("id") % 2 == 0, "side").alias("sidecar"))
     files.export(rows, str(tmp_path))
     names = [f for f in listed(tmp_path)]
     assert len(names) == 450 and 100 < len({f.rpartition("/")[0] for f in names}) <= 256
     assert all(f"{f.removesuffix('.xmp')}" in names for f in names)
+
+
+def test_a_file_that_cannot_be_written_fails_the_export(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a.jpg", "x", None)], "id long, name string, content string, sidecar string")
+    files.export(rows, str(tmp_path))
+    (at,) = (f for f in listed(tmp_path) if f.endswith("a.jpg"))
+    os.remove(tmp_path / at)
+    os.makedirs(tmp_path / at / "in the way")
+    with pytest.raises(Exception, match="(?i)directory"):
+        files.export(rows, str(tmp_path))
