@@ -138,3 +138,18 @@ def test_visits_leave_in_bounded_batches(probes, most):
     near = np.argsort(V._lengths(m, centres), axis=1, kind="stable")[:, :probes]
     want = [(i, int(c), p) for i, line in enumerate(near) for c in line for p in range(parts[c])]
     assert [tuple(map(int, x)) for r in out for x in zip(*r)] == want
+
+
+def test_all_rows_train_the_lists(spark):
+    rows = spark.range(120_000).select(F.col("id").alias("asset_id"), F.array(F.col("id").cast("double")).alias("vec"))
+    assert L.trained(rows, 1, rounds=1).tolist() == [[59_999.5]]
+
+
+@pytest.mark.parametrize("name", ["retrieval_accuracy", "vector_lists_exact"])
+def test_exact_searches_measure_no_sample(spark, sf, monkeypatch, name):
+    from lumora.plans import registry
+
+    asked, search = [], L.search
+    monkeypatch.setattr(L, "search", lambda spark, lists, *a, **k: asked.append((lists.probes, len(lists.centroids), k.get("exact"))) or search(spark, lists, *a, **k))
+    registry.QUERIES[name](spark, sf)
+    assert len(asked) == 1 and asked[0][0] == asked[0][1] and asked[0][2]
