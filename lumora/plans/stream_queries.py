@@ -14,6 +14,8 @@ DAY_MS = 86_400_000
 SPAN_DAYS = 3
 LATE = f"{SPAN_DAYS} days"
 IDLE_MS, BACKOFF_MS = 2 * DAY_MS, DAY_MS
+#: Events expected in a part of a Python processor's state: each batch starts a worker for each part, which takes as long as tens of thousands of events.
+PART = 500_000
 
 
 def _numbered(spark, d, stragglers: bool):
@@ -29,7 +31,7 @@ def _numbered(spark, d, stragglers: bool):
     return e.withColumn("file", span - lo + more), range(hi - lo + 2), n
 
 
-def _landed(spark, d, columns, build, mode: str, stragglers: bool = False, runs: int = 1):
+def _landed(spark, d, columns, build, mode: str, stragglers: bool = False, runs: int = 1, part: int = 50_000):
     """The output of build(stream) over landed files; with several runs the stream stops in between and starts again from its checkpoint."""
     rows, numbers, n = _numbered(spark, d, stragglers)
     rows, base = rows.select(*columns, "file"), fresh_folder(spark)
@@ -42,7 +44,7 @@ def _landed(spark, d, columns, build, mode: str, stragglers: bool = False, runs:
     for a, b in zip(cuts, cuts[1:]):
         land(rows, f"{base}/in", F.col("file"), numbers[a:b])
         stream = arriving(spark, f"{base}/in", rows.schema).select(*given.names)
-        with state_partitions(spark, n):
+        with state_partitions(spark, n, part):
             out = run_to_end(build(stream), mode, base)
     return out
 
@@ -77,13 +79,13 @@ def stream_sessions_late(spark, d):
     return _landed(spark, d, ["event_id", "ts", "user_id"], lambda s: feeds.sessions(s, late=LATE), "append", stragglers=True)
 
 
-def _jobs(stream):
+def _jobs(stream, buckets):
     op = F.when(F.col("event_type") == "view", "claim").when(F.col("event_type") == "purchase", "finish").when(F.col("event_type") == "error", "fail").otherwise("enqueue")
     events = stream.select(
         F.when(F.col("event_id") % 2 == 0, "embed_asset").otherwise("detect_faces").alias("kind"), F.col("user_id").alias("asset_id"), F.unix_millis("ts").alias("at"),
         F.col("event_id").alias("id"), op.alias("op"), F.when(op == "fail", F.col("props")).alias("error"), "ts",
     )
-    return stateful.job_changes(events.withWatermark("ts", LATE), IDLE_MS, BACKOFF_MS)
+    return stateful.job_changes(events.withWatermark("ts", LATE), IDLE_MS, BACKOFF_MS, buckets)
 
 
 @query(f"""WITH RECURSIVE j AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'embed_asset' ELSE 'detect_faces' END AS kind, user_id AS asset_id, epoch_us(ts) // 1000 AS at_ms, event_id AS id,
@@ -105,8 +107,9 @@ SELECT kind, asset_id, t1 AS at_ms, 0 AS step, 'pending' AS state, a1 AS attempt
 UNION ALL SELECT kind, asset_id, t2, 1, s2, a2, e2, c2 FROM r WHERE c2 IS NOT NULL""")
 def stream_job_queue(spark, d):
     """Every change of every (kind, asset) job, from keyed state with idle and back-off timers; the stream is stopped halfway and goes on from its checkpoint."""
+    buckets = load(spark, d, "events").count() // 4096 + 16
     with keyed_state(spark):
-        return _landed(spark, d, ["event_id", "ts", "user_id", "event_type", "props"], _jobs, "append", runs=2).withColumnRenamed("at", "at_ms")
+        return _landed(spark, d, ["event_id", "ts", "user_id", "event_type", "props"], lambda s: _jobs(s, buckets), "append", runs=2, part=PART).withColumnRenamed("at", "at_ms")
 
 
 def _entries(stream):
@@ -118,7 +121,7 @@ def _entries(stream):
 def _feed(spark, d):
     trust = spark.createDataFrame([(k,) for k in (0, 1, 2, 4, 5, 6)], "author long")
     with keyed_state(spark):
-        return _landed(spark, d, ["event_id", "ts", "user_id", "event_type", "value"], lambda s: stateful.shared_keys(_entries(s), trust), "append", runs=2)
+        return _landed(spark, d, ["event_id", "ts", "user_id", "event_type", "value"], lambda s: stateful.shared_keys(_entries(s), trust), "append", runs=2, part=PART)
 
 
 ENTRIES = f"""x AS (SELECT user_id % 20 AS namespace, user_id % 7 <> 3 AS trusted, epoch_us(ts) // 1000 AS at_ms, event_id AS id, CASE event_type WHEN 'click' THEN 'revoke' WHEN 'error' THEN 'other' ELSE 'grant' END AS op,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pickle
 from collections import namedtuple
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 from operator import itemgetter
 from typing import Any
@@ -58,9 +58,14 @@ class InOrder(StatefulProcessor):
     def load(self, kept: tuple) -> Any:
         raise NotImplementedError
 
-    def save(self, memory: Any) -> None:
+    def left(self, memory: Any) -> tuple | None:
+        """What `load` makes a memory of again; None if nothing is left."""
         raise NotImplementedError
 
+    def save(self, memory: Any) -> None:
+        left = self.left(memory)
+        self.own.clear() if left is None else self.own.update(left)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         first, names = None, self.names
         while chunk := [tuple(r[n] for n in names) for r in islice(rows, CHUNK)]:
@@ -85,17 +90,71 @@ class InOrder(StatefulProcessor):
         now = timerValues.getCurrentWatermarkInMs()
         kept, was = self.own.get(), tuple(self.clock.get() or (None, None))
         memory = self.start() if kept is None else self.load(kept)
-        rows = list(chain.from_iterable(pickle.loads(bytes(r[0])) for r in self.queue.get())) if was[0] is not None else []
+        rows = self._queued() if was[0] is not None else []
         ready, rest = sorted((r for r in rows if r[0] <= now), key=itemgetter(0, 1)), [r for r in rows if r[0] > now]
-        for event in [*map(self.event._make, ready), None]:
+        yield from self.moved(key, memory, map(self.event._make, ready), now)
+        if ready:
+            self._requeue(rest)
+        self.save(memory)
+        self._wait(was, (min((r[0] for r in rest), default=None), self.deadline(memory)))
+
+    def _queued(self) -> list[tuple]:
+        return list(chain.from_iterable(pickle.loads(bytes(r[0])) for r in self.queue.get()))
+
+    def _requeue(self, rest: list[tuple]) -> None:
+        self.queue.put([(pickle.dumps(rest[k : k + CHUNK]),) for k in range(0, len(rest), CHUNK)]) if rest else self.queue.clear()
+
+    def moved(self, key: tuple, memory: Any, ready: Iterable[Any], now: int) -> Iterator[Row]:
+        """What comes out when events in order are applied to a memory, and deadlines up to now."""
+        for event in chain(ready, [None]):
             while (due := self.deadline(memory)) is not None and due <= (now if event is None else event.at):
                 yield from self.expire(key, memory, due)
             if event is not None:
                 yield from self.apply(key, memory, event)
+
+
+class Bucketed(InOrder):
+    """The rules of an InOrder for many small keys: a bucket of keys shares one queue, one piece of memory and one timer, as calls to the state cost far more than events do.
+
+    Every key's events are applied in their own order and it has its own deadline, so what comes out is what keys by themselves would give.
+    """
+
+    keeps = "memories binary"
+
+    def __init__(self, rules: InOrder, key: str) -> None:
+        self.rules, self.waiting, self.puts = rules, f"{rules.waiting}, {key}", rules.puts
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.width = len(self.rules.waiting.split(", "))
+        self.event = namedtuple("Event", self.names[: self.width])
+        self.rules.made = self.made
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now, rules, width = timerValues.getCurrentWatermarkInMs(), self.rules, self.width
+        kept, was = self.own.get(), tuple(self.clock.get() or (None, None))
+        memories = {} if kept is None else pickle.loads(bytes(kept[0]))
+        rows = self._queued() if was[0] is not None else []
+        ready, rest = {}, []
+        for r in rows:
+            if r[0] <= now:
+                ready.setdefault(r[width:], []).append(r[:width])
+            else:
+                rest.append(r)
+        for k, left in memories.items():
+            if (due := rules.deadline(rules.load(left))) is not None and due <= now:
+                ready.setdefault(k, [])
+        for k, events in ready.items():
+            memory = rules.load(memories.pop(k)) if k in memories else rules.start()
+            yield from rules.moved(k, memory, map(self.event._make, sorted(events, key=itemgetter(0, 1))), now)
+            if (left := rules.left(memory)) is not None:
+                memories[k] = left
+        if len(rest) < len(rows):
+            self._requeue(rest)
         if ready:
-            self.queue.put([(pickle.dumps(rest[k : k + CHUNK]),) for k in range(0, len(rest), CHUNK)]) if rest else self.queue.clear()
-        self.save(memory)
-        self._wait(was, (min((r[0] for r in rest), default=None), self.deadline(memory)))
+            self.own.update((pickle.dumps(memories),)) if memories else self.own.clear()
+        dues = (rules.deadline(rules.load(left)) for left in memories.values())
+        self._wait(was, (min((r[0] for r in rest), default=None), min((t for t in dues if t is not None), default=None)))
 
 
 class JobQueue(InOrder):
@@ -119,11 +178,8 @@ class JobQueue(InOrder):
     def load(self, kept: tuple) -> dict:
         return dict(zip(("state", "attempts", "error", "due"), kept))
 
-    def save(self, memory: dict) -> None:
-        if memory["state"] is None:
-            self.own.clear()
-        else:
-            self.own.update((memory["state"], memory["attempts"], memory["error"], memory["due"]))
+    def left(self, memory: dict) -> tuple | None:
+        return None if memory["state"] is None else (memory["state"], memory["attempts"], memory["error"], memory["due"])
 
     def deadline(self, memory: dict) -> int | None:
         return memory["due"]
@@ -157,13 +213,14 @@ class JobQueue(InOrder):
             memory.update(self.start())
 
 
-def job_changes(events: DataFrame, idle_ms: int, backoff_ms: int) -> DataFrame:
+def job_changes(events: DataFrame, idle_ms: int, backoff_ms: int, buckets: int = 1024) -> DataFrame:
     """Every change of every job, from a stream of events(kind, asset_id, at, id, op, error, ts) whose watermark is on ts; at is ts in ms.
 
-    Changes come out when the watermark has passed them. The stream must run under `runs.keyed_state`.
+    Changes come out when the watermark has passed them. Jobs are dealt to `buckets` by hash, each with one piece of state; a stream keeps the number that it began
+    with, so it should follow the events expected (some thousand a bucket). The stream must run under `runs.keyed_state`.
     """
-    by = events.groupBy("kind", "asset_id")
-    return by.transformWithState(JobQueue(idle_ms, backoff_ms), JobQueue.puts, outputMode="Append", timeMode="EventTime")
+    by = events.withColumn("bucket", F.pmod(F.xxhash64("kind", "asset_id"), F.lit(buckets))).groupBy("bucket")
+    return by.transformWithState(Bucketed(JobQueue(idle_ms, backoff_ms), "kind string, asset_id long"), JobQueue.puts, outputMode="Append", timeMode="EventTime")
 
 
 class SharedKeys(InOrder):

@@ -114,3 +114,88 @@ def test_events_wait_in_packs():
     rows = iter([{"at": 9000 - k, "id": k, "op": "enqueue", "error": None} for k in range(5000)])
     list(queue.handleInputRows(("faces", 1), rows, None))
     assert kept.calls <= 4 and len(kept.items) == 2 and kept.timers == {4001}
+
+
+class Held:
+    """A handle whose states are dicts of their own; calls counts all that is asked of any of them."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def getListState(self, name, _):
+        return HeldState(self, [])
+
+    def getValueState(self, name, _):
+        return HeldState(self, None)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class HeldState:
+    def __init__(self, handle, value):
+        self.handle, self.empty, self.value = handle, value, value
+
+    def _set(self, value):
+        self.handle.calls += 1
+        self.value = value
+
+    def get(self):
+        self.handle.calls += 1
+        return iter(self.value) if isinstance(self.value, list) else self.value
+
+    def update(self, v):
+        self._set(v)
+
+    put = update
+
+    def appendValue(self, v):
+        self._set([*self.value, v])
+
+    def clear(self):
+        self._set(self.empty)
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def _played(processors, dealt, batches):
+    """Rows and state calls of one processor a group of keys: batches of (watermark, events)."""
+    held, out = {g: Held() for g in processors}, []
+    for g, p in processors.items():
+        p.init(held[g])
+    for now, events in batches:
+        for g in processors:
+            if mine := [e for e in events if dealt(e) == g]:
+                list(processors[g].handleInputRows(g, iter(mine), None))
+        for g, p in processors.items():
+            if due := [t for t in held[g].timers if t <= now]:
+                held[g].timers -= set(due)
+                out += [tuple(r) for r in p.handleExpiredTimer(g, Clock(now), None)]
+    return sorted(map(repr, out)), sum(h.calls for h in held.values())
+
+
+def test_keys_of_a_bucket_move_as_if_alone_with_few_calls():
+    import random
+
+    S, rng = stream_queries.stateful, random.Random(3)
+    keys = [("faces", k) for k in range(60)] + [("embed", None)]
+    def event(k, i, late):
+        kind, asset = rng.choice(keys)
+        return {"kind": kind, "asset_id": asset, "at": 1000 * k + rng.randrange(1000) + late, "id": i, "op": rng.choice(["enqueue", "claim", "finish", "fail"]), "error": rng.choice([None, "lost"])}
+
+    batches = [(1000 * k - 500, [event(k, 1000 * k + i, 0) for i in range(300 if k < 9 else 0)]) for k in range(12)]
+    own = lambda e: (e["kind"], e["asset_id"])
+    alone, calls = _played({k: S.JobQueue(700, 400) for k in keys}, own, batches)
+    together, fewer = _played({(0,): S.Bucketed(S.JobQueue(700, 400), "kind string, asset_id long")}, lambda e: (0,), batches)
+    assert together == alone and len(alone) > 500 and fewer * 20 < calls
